@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intervalia.llm import arc_warc, license_scan, mixing, piece_counts, quality_rules, secret_scan, token_ids
+from intervalia.llm import arc_warc, jaccard_join, license_scan, mixing, piece_counts, quality_rules, secret_scan, suffix_dedup, token_ids
 from intervalia.llm.common import read_table
 
 
@@ -15,6 +15,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(read_table(spark, sf_dir, "documents"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
@@ -45,8 +49,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts.counts(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.dedup(read_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def queries() -> dict:
-    found = [op2_source_mixing, op3_token_ids, op4_arc_to_warc, op5_secret_scan, op7_license_scan, op8_quality_rules, op9_token_counts]
+    found = [op1_jaccard_join, op2_source_mixing, op3_token_ids, op4_arc_to_warc, op5_secret_scan, op7_license_scan, op8_quality_rules, op9_token_counts, op10_suffix_dedup]
     return {f.__name__: f for f in found}
 
 
