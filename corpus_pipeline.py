@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from intervalia.llm import mixing, quality_rules, token_ids
+from intervalia.llm import decontaminate, jaccard_join, mixing, quality_rules, token_ids
 from intervalia.llm.common import read_table, saved
 from intervalia.llm.queries import tokenizer_path
 
@@ -13,6 +13,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep(docs)
 
 
+def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard_join.keep(docs)
+
+
+def unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.keep(docs, read_table(spark, sf_dir, "benchmark"))
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.keep(docs)
 
@@ -21,7 +29,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return token_ids.digests(token_ids.write(docs, tokenizer_path("byte_bpe_50k.json")))
 
 
-STAGES = [("quality rules", quality), ("mixing", mixed), ("token ids", encoded)]
+STAGES = [("quality rules", quality), ("n-gram Jaccard join", unlike), ("benchmark decontamination", unleaked), ("mixing", mixed), ("token ids", encoded)]
 #: Hash thresholds and a tokenizer are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
@@ -30,5 +38,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, each written as Parquet and read again as the next one's docs."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = saved(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

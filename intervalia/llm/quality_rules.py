@@ -11,12 +11,13 @@ Null or blank texts have no words and fail the base rule; any other column may b
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from intervalia.llm.common import saved, text_of, words
+from intervalia.llm.common import dropped, saved, text_of, words
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\f\r"
@@ -26,11 +27,11 @@ SAMPLE_ROWS = 1000
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule rejects where `reject` holds; `needs` names the measures that it reads."""
+    """A rule rejects where `reject` of the measures holds; `needs` names the measures that it reads."""
 
     name: str
-    reject: Column
-    needs: tuple[str, ...] = field(default=())
+    reject: Callable[[dict[str, Column]], Column]
+    needs: tuple[str, ...]
 
 
 def count_of(text: Column, characters: str) -> Column:
@@ -58,34 +59,37 @@ def repeated_words(w: Column, width: int = 3) -> Column:
     return F.when(F.size(w) > width, bound).otherwise(F.lit(0)).cast("long")
 
 
-def measures(text: str = "text") -> dict[str, Column]:
-    """Native measures of a text; those named with a leading underscore feed the others."""
-    t, w = text_of(text), F.col("_w")
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), with value computed once however often f uses it, in filters too."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def measures(t: Column, w: Column) -> dict[str, Column]:
+    """Native measures of a text t with words w."""
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
     return {
-        "_w": words(text),
         "n_words": F.size(w).cast("long"),
         "word_chars": (F.length(t) - count_of(t, BLANKS)).cast("long"),
         "n_symbols": count_of(t, SYMBOLS),
-        "n_dup_lines": F.get(F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x))), 0).cast("long"),
+        "n_dup_lines": once(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "n_repeat_words": repeated_words(w),
+        "n_lines": F.size(F.split(t, "\n")).cast("long"),
         "n_upper": count_of(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
         "n_exclaims": count_of(t, "!"),
     }
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+def base_fails(m: dict[str, Column]) -> Column:
+    return (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
 
 
 def default_rules() -> list[Rule]:
-    """The rules that follow the base rule; each is an OR-term of the rejection."""
-    n = F.col("n_words")
+    """The rules that follow the base rule."""
     return [
-        Rule("symbols", 100 * F.col("n_symbols") > 10 * n, ("n_symbols", "n_words")),
-        Rule("shouting", (100 * F.col("n_upper") > 40 * F.col("word_chars")) & (5 * F.col("n_exclaims") > n), ("n_upper", "word_chars", "n_exclaims", "n_words")),
-        Rule("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 14 * n), ("word_chars", "n_words")),
-        Rule("duplicate_lines", (F.col("n_dup_lines") >= 3) & (2 * F.col("n_dup_lines") > F.size(F.split(text_of(), "\n"))), ("n_dup_lines",)),
+        Rule("symbols", lambda m: 100 * m["n_symbols"] > 10 * m["n_words"], ("n_symbols", "n_words")),
+        Rule("shouting", lambda m: (100 * m["n_upper"] > 40 * m["word_chars"]) & (5 * m["n_exclaims"] > m["n_words"]), ("n_upper", "word_chars", "n_exclaims", "n_words")),
+        Rule("word_length", lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 14 * m["n_words"]), ("word_chars", "n_words")),
+        Rule("duplicate_lines", lambda m: (m["n_dup_lines"] >= 3) & (2 * m["n_dup_lines"] > m["n_lines"]), ("n_dup_lines", "n_lines")),
     ]
 
 
@@ -99,40 +103,50 @@ def plan_cascade(df: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROW
         return []
     picked = df.select(text_of().alias("text")).where(F.rand(seed) < 0.05).limit(sample_rows)
     sample = saved(picked.coalesce(1), "rule-sample")
-    made, out = measures(), []
+    out = []
     for k, rule in enumerate(rules):
-        each = sample.select("text", made["_w"].alias("_w")) if "n_words" in rule.needs or "n_repeat_words" in rule.needs else sample
-        for name in rule.needs:
-            each = each.withColumn(name, made[name])
+        hit = once(words(), lambda w, rule=rule: rule.reject(measures(F.col("text"), w)))
         began = time.perf_counter()
-        row = each.agg(F.count("*").alias("n"), F.count(F.when(rule.reject, 1)).alias("r")).first()
+        row = sample.agg(F.count("*").alias("n"), F.count(F.when(hit, 1)).alias("r")).first()
         cost = time.perf_counter() - began
         share = row["r"] / row["n"] if row["n"] else 0.0
         out.append({"rule": rule.name, "cost": cost, "rejects": share, "given": k, "per_cost": share / max(cost, 1e-9)})
+    dropped(sample)
     return sorted(out, key=lambda x: (-x["per_cost"], x["given"]))
 
 
-def apply_cascade(df: DataFrame, rules: list[Rule], order: list[dict]) -> DataFrame:
-    """Adds `rejected_by`, the first rule in the order that rejects, or null."""
+def cascade(m: dict[str, Column], rules: list[Rule], order: list[dict]) -> Column:
+    """The first rule in the order that rejects, or null; later rules are not evaluated."""
     by = {r.name: r for r in rules}
-    chain = None
+    chain = F.when(F.lit(False), F.lit(""))
     for x in order:
-        test = F.coalesce(by[x["rule"]].reject, F.lit(False))
-        chain = F.when(test, F.lit(x["rule"])) if chain is None else chain.when(test, F.lit(x["rule"]))
-    return df.withColumn("rejected_by", chain if chain is not None else F.lit(None).cast("string"))
+        chain = chain.when(F.coalesce(by[x["rule"]].reject(m), F.lit(False)), F.lit(x["rule"]))
+    return chain
 
 
 def score(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     """Every row of docs with the measures, base_failed, rejected_by and kept."""
     rules = default_rules() if rules is None else rules
     order = plan_cascade(docs, rules)
-    made = measures()
-    df = docs.withColumn("_w", made.pop("_w")).withColumns(made)
-    df = df.withColumn("base_failed", base_failed())
-    df = apply_cascade(df, rules, order)
+    df = docs.withColumn("_w", words())
+    made = measures(text_of(), F.col("_w"))
+    df = df.withColumns(made)
+    m = {name: F.col(name) for name in made}
+    df = df.withColumns({"base_failed": base_fails(m), "rejected_by": cascade(m, rules, order)})
     return df.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull()).drop("_w")
 
 
 def keep(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """The rows of docs that no rule rejects, with the columns of docs."""
-    return score(docs, rules).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that no rule rejects, with the columns of docs.
+
+    The base rule's cheap half comes first, then the cascade, then its costly half; a measure is only
+    computed where a rule that reads it is reached.
+    """
+    rules = default_rules() if rules is None else rules
+    order = plan_cascade(docs, rules)
+
+    def passes(w: Column) -> Column:
+        m = measures(text_of(), w)
+        return F.when(m["n_words"] < 50, False).when(cascade(m, rules, order).isNotNull(), False).otherwise(~base_fails(m))
+
+    return docs.where(once(words(), passes))

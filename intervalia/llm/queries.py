@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intervalia.llm import arc_warc, jaccard_join, license_scan, mixing, piece_counts, quality_rules, secret_scan, suffix_dedup, token_ids
+from intervalia.llm import arc_warc, decontaminate, jaccard_join, license_scan, mixing, piece_counts, quality_rules, secret_scan, suffix_dedup, token_ids
 from intervalia.llm.common import read_table
 
 
@@ -36,6 +36,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(read_table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read_table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_jaccard_join, op2_source_mixing, op3_token_ids, op4_arc_to_warc, op5_secret_scan, op7_license_scan, op8_quality_rules, op9_token_counts, op10_suffix_dedup]
+    found = [op1_jaccard_join, op2_source_mixing, op3_token_ids, op4_arc_to_warc, op5_secret_scan, op6_decontamination, op7_license_scan, op8_quality_rules, op9_token_counts, op10_suffix_dedup]
     return {f.__name__: f for f in found}
 
 
