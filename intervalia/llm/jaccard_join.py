@@ -8,7 +8,8 @@ home. The triangle inequality bounds what two documents within r may miss of eac
     a longer document misses at most r * n of its shingles in any shorter partner,
     a shorter one at most (1 - s) / (1 + s) * n in any longer partner,
 and a document need only be replicated to the regions of its first r * n + 1 shingles: two documents
-within r meet in the region of their first common shingle, in the shorter one's narrower window.
+within r meet in the region of their first common shingle, in the shorter one's narrower window. Any one
+order will do; shingles that are frequent in a sample of documents come last, so that regions stay small.
 
 Inside the regions, documents are pivots. Every member is compared with the region's centre (the member
 of least key, which is the same in all regions of a group of copies). Members within r of the centre are
@@ -20,6 +21,7 @@ Recursion. A larger region with several components has a pivot that many documen
 by likeness. Its members are dealt again with all such pivots moved to the end of the order: a pair
 within r that met only in such regions meets again, in the region of a rarer shingle. The last level has
 no CAP, so the join is exact; it only holds documents nearly all of whose shingles are crowded pivots.
+The sample changes the order alone, never the result.
 
 Documents with equal sets are one node, named by a 64-bit fingerprint, and shingles are compared as
 64-bit fingerprints: the chance of any error is about (sets^2 + shingle pairs compared) / 2^64.
@@ -35,8 +37,9 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from intervalia.llm.common import dropped, saved, text_of
 from intervalia.llm.graph import components
@@ -44,14 +47,16 @@ from intervalia.llm.graph import components
 WIDTH = 5
 #: The similarity as a fraction: 75 of 100.
 SIMILAR = (3, 4)
-CAP = 64
+CAP = 256
 LEVELS = 4
+#: One document of so many is in the sample, and a shingle of so many of its documents is frequent.
+SAMPLE_OF, FREQUENT = 32, 3
 BROADCAST_ROWS = 1_000_000
-#: Members of a region that one salt of its centre serves.
-SALT_ROWS = 512
+#: Sets of a family on a side of a square of comparisons.
+SQUARE = 256
+#: Rounds of centres at a level, as long as they find links.
+TURNS = 3
 
-_IS_WORD = np.ones(256, bool)
-_IS_WORD[[9, 10, 11, 12, 13, 32]] = False
 _M1, _M2, _G = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -67,26 +72,16 @@ def _numbers(n: int, salt: int) -> np.ndarray:
         return mixed((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(salt << 40)) * _G) | np.uint64(1)
 
 
-_BYTE, _PLACE, _ORDER = _numbers(256, 1), _numbers(1024, 2), _numbers(64, 3)
+_ORDER = _numbers(64, 3)
 
 
 def word_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit hash of each word of a text in UTF-8, A-Z in lower case."""
-    global _PLACE
-    a = np.frombuffer(raw.lower(), np.uint8)
-    inside = _IS_WORD[a]
-    if not inside.any():
-        return np.zeros(0, np.uint64)
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
-    begin, size = edge[::2], edge[1::2] - edge[::2]
-    first = np.cumsum(size) - size
-    letters = a[inside]
-    place = np.arange(len(letters)) - np.repeat(first, size)
-    longest = int(size.max())
-    if longest > len(_PLACE):
-        _PLACE = _numbers(2 * longest, 2)
-    each = _BYTE[letters] * _PLACE[place]
-    return mixed(np.add.reduceat(each, first) + size.astype(np.uint64) * _G)
+    """A 64-bit hash of each word of a text in UTF-8, A-Z in lower case.
+
+    bytes.split() cuts at space and U+0009 to U+000D alone.
+    """
+    words = raw.lower().split()
+    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
@@ -134,8 +129,26 @@ class JaccardJoin:
 
         return self.docs.mapInArrow(each, "doc long, n long, set long")
 
-    def windows(self) -> DataFrame:
-        """s, k, n, pos: the first-level regions of each set; copies within a task count once."""
+    def frequent(self) -> DataFrame:
+        """s: shingles of at least FREQUENT sets of the sample."""
+        width = self.width
+
+        def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
+            for b in batches:
+                for t in b.column(0):
+                    s = shingle_set(t.as_py(), width)
+                    if len(s) and (f := fingerprint(s)) not in seen:
+                        seen.add(f)
+                        yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], names=["s"])
+
+        sample = self.docs.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLE_OF)) == 0).select("text")
+        counts = sample.mapInArrow(each, "s long").groupBy("s").agg(F.count("*").alias("c"))
+        return saved(counts.where(F.col("c") >= FREQUENT).select("s"), "jaccard-frequent")
+
+    def windows(self, last: np.ndarray) -> DataFrame:
+        """s, k, n, pos: the regions of each set, with the shingles of `last` (sorted) at the end of the
+        order; copies within a task count once."""
         width, spare = self.width, self._spare
 
         def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,6 +161,9 @@ class JaccardJoin:
                         continue
                     seen.add(f)
                     m = spare(len(s)) + 1
+                    if len(last):
+                        late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
+                        s = np.concatenate((s[~late], s[late]))
                     s_.append(s[:m])
                     k_.append(np.full(m, f, np.int64))
                     n_.append(np.full(m, len(s), np.int32))
@@ -167,61 +183,70 @@ class JaccardJoin:
         p, q = self.p, self.q
         return lambda n: n - _ceil(p * n, q)
 
-    def texts_of(self, nodes: DataFrame) -> DataFrame:
-        """k and text of nodes (k): each from its first document; nodes are broadcast while they are few."""
-        wanted = saved(self.first.join(nodes, "k"), "jaccard-nodes")
-        few = wanted.count() <= BROADCAST_ROWS
-        side = F.broadcast(wanted) if few else wanted
-        return self.docs.join(side, "doc").select("k", "text"), wanted
-
-    def sets_of(self, nodes: DataFrame) -> DataFrame:
-        """k and set (little-endian uint64) of nodes."""
-        width = self.width
-
-        def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for at in range(0, b.num_rows, 256):
-                    part = b.slice(at, 256)
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t.as_py(), width).tobytes() for t in part.column(1)], pa.binary())], names=["k", "items"])
-
-        texts, wanted = self.texts_of(nodes)
-        return texts.mapInArrow(each, "k long, items binary"), wanted
+    def beside(self, side: DataFrame) -> DataFrame:
+        """The side, to be broadcast while it has few rows."""
+        return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
 
     # comparison
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a: pivot, b: member) within r. The pivot's set goes once to each salt of its members,
-        and a sorted partition is read as a stream: one pivot and one batch are in memory."""
-        p, q = self.p, self.q
+        """The pairs (a, b) within r.
+
+        Pairs of one family meet under its least member, in squares of at most SQUARE sets by SQUARE, so a
+        set is sent once to each square, not once for each pair. A sorted partition is read as a stream:
+        the sets of one square are in memory.
+        """
+        p, q, width = self.p, self.q, self.width
         pairs = saved(pairs.select("a", "b").where("a <> b").distinct(), "jaccard-pairs")
         if not pairs.limit(1).count():
             return pairs
-        sets, wanted = self.sets_of(pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct())
-        sets = saved(sets, "jaccard-sets")
-        salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
-        members = pairs.join(salts, "a").join(sets, F.col("b") == F.col("k")).select("a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.lit(1).alias("role"), "b", "items")
-        pivots = salts.join(sets, F.col("a") == F.col("k")).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("a").alias("b"), "items")
-        both = pivots.union(members)
+        both = pairs.union(pairs.select("b", "a"))
+        family = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("f"))
+        pairs_of = pairs.join(family, "a")
+        sizes = pairs_of.groupBy("f").agg(F.ceil(F.count("*") / SQUARE).cast("int").alias("most"), F.ceil((F.approx_count_distinct("b") + F.approx_count_distinct("a")) / SQUARE).cast("int").alias("t"))
+        sizes = sizes.select("f", F.greatest(F.lit(1), F.least("most", "t")).alias("t"))
+        square = [F.pmod(F.xxhash64(x), "t").cast("int").alias(y) for x, y in (("a", "x"), ("b", "y"))]
+        pairs_of = saved(pairs_of.join(sizes, "f").select("f", *square, "a", "b"), "jaccard-squares")
+        goes = pairs_of.select("f", "x", "y", F.explode(F.array("a", "b")).alias("k")).distinct().join(self.first, "k")
+        goes = saved(goes.groupBy("doc", "k").agg(F.collect_list(F.struct("f", "x", "y")).alias("to")), "jaccard-sent")
+
+        def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    rows = []
+                    for k, t, to in zip(*[c.to_pylist() for c in batch.slice(at, 256).columns]):
+                        items = shingle_set(t, width).tobytes()
+                        rows += [(z["f"], z["x"], z["y"], k, items) for z in to]
+                    cols = list(zip(*rows)) or [[]] * 5
+                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, kinds)], names=["f", "x", "y", "a", "items"])
+
+        sent = self.docs.join(self.beside(goes), "doc").select("k", "text", "to").mapInArrow(send, "f long, x int, y int, a long, items binary")
+        sent = sent.select("f", "x", "y", F.lit(0).alias("role"), "a", F.col("a").alias("b"), "items")
+        asked = pairs_of.select("f", "x", "y", F.lit(1).alias("role"), "a", "b", F.lit(None).cast("binary").alias("items"))
         n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        dealt = both.repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "role")
+        dealt = sent.union(asked).repartition(n, "f", "x", "y").sortWithinPartitions("f", "x", "y", "role")
 
-        def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pivot, mine = None, None
+        def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, sets = None, {}
             for batch in batches:
                 a_, b_ = [], []
-                for a, role, b, items in zip(batch.column("a").to_pylist(), batch.column("role").to_pylist(), batch.column("b").to_pylist(), batch.column("items")):
-                    s = np.frombuffer(items.as_buffer(), np.uint64)
+                for f, x, y, role, a, b, items in zip(*[c.to_pylist() for c in batch.columns[:6]], batch.column("items")):
+                    if (f, x, y) != at:
+                        at, sets = (f, x, y), {}
                     if role == 0:
-                        pivot, mine = a, s.copy()
-                    elif pivot == a:
-                        both = len(np.intersect1d(mine, s, assume_unique=True))
-                        if q * both >= p * (len(mine) + len(s) - both):
+                        sets[a] = np.frombuffer(items.as_py(), np.uint64)
+                        continue
+                    s, t = sets[a], sets[b]
+                    if q * min(len(s), len(t)) >= p * max(len(s), len(t)):
+                        common = len(np.intersect1d(s, t, assume_unique=True))
+                        if q * common >= p * (len(s) + len(t) - common):
                             a_.append(a)
                             b_.append(b)
                 yield pa.RecordBatch.from_arrays([pa.array(a_, pa.int64()), pa.array(b_, pa.int64())], names=["a", "b"])
 
-        links = saved(dealt.mapInArrow(each, "a long, b long"), "jaccard-links")
-        dropped(pairs, sets, wanted)
+        links = saved(dealt.mapInArrow(compare, "a long, b long"), "jaccard-links")
+        dropped(pairs, pairs_of, goes)
         return links
 
     # regions
@@ -245,12 +270,14 @@ class JaccardJoin:
         return (self.q * F.least(m, n) >= self.p * F.greatest(m, n))
 
     def _may_hold(self, m, n, mpos, npos, common):
-        """Shingles seen to be unshared, up to the last common one, against those that r allows.
+        """Shingles of the windows seen to be unshared against those that r allows.
 
-        (q - p) / (q + p) of the sum of the sizes may be unshared.
+        Up to the last common one the places count them; after it, all that is left of the window which
+        ends first is unshared. (q - p) / (q + p) of the sum of the sizes may be.
         """
         p, q = self.p, self.q
-        return (q + p) * (F.col(mpos) + F.col(npos) + 2 - 2 * common) <= (q - p) * (F.col(m) + F.col(n))
+        left = F.least(*[F.col(x) - F.ceil(F.lit(p) * F.col(x) / q) - F.col(at) for x, at in ((m, mpos), (n, npos))])
+        return (q + p) * (F.col(mpos) + F.col(npos) + 2 + left - 2 * common) <= (q - p) * (F.col(m) + F.col(n))
 
     def _labelled(self, rows: DataFrame, labels: DataFrame | None) -> DataFrame:
         if labels is None:
@@ -280,8 +307,8 @@ class JaccardJoin:
         pairs = pairs.where("fits").where(self._may_hold("an", "bn", "apos", "bpos", F.col("c") + F.least("ah", "bh")))
         return saved(pairs.select(F.col("bk").alias("a"), F.col("ak").alias("b")), "jaccard-candidates"), pivots, open_
 
-    def deal_again(self, rows: DataFrame, pivots: DataFrame) -> DataFrame:
-        """The windows of all nodes of crowded pivots, with those pivots at the end of the order."""
+    def deal_again(self, rows: DataFrame, pivots: DataFrame, seen: DataFrame) -> DataFrame:
+        """The windows of all nodes of crowded pivots, with all that were seen at the end of the order."""
         width, spare = self.width, self._spare
         nodes = rows.join(pivots, "s", "left_semi").select("k").distinct()
 
@@ -291,11 +318,9 @@ class JaccardJoin:
                     s = shingle_set(t.as_py(), width)
                     yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.full(len(s), k, np.int64)), pa.array(np.full(len(s), len(s), np.int32))], names=["s", "k", "n"])
 
-        texts, wanted = self.texts_of(nodes)
-        whole = texts.mapInArrow(each, "s long, k long, n int")
-        whole = whole.join(pivots.withColumn("last", F.lit(1)), "s", "left").withColumn("last", F.coalesce("last", F.lit(0)))
-        from pyspark.sql import Window
-
+        wanted = saved(self.first.join(nodes, "k"), "jaccard-nodes")
+        whole = self.docs.join(self.beside(wanted), "doc").select("k", "text").mapInArrow(each, "s long, k long, n int")
+        whole = whole.join(seen.withColumn("last", F.lit(1)), "s", "left").withColumn("last", F.coalesce("last", F.lit(0)))
         order = Window.partitionBy("k").orderBy("last", "s")
         whole = whole.withColumn("pos", F.row_number().over(order) - 1)
         return whole.where(F.col("pos") <= F.col("n") - F.ceil(F.lit(self.p) * F.col("n") / self.q)).select("s", "k", "n", "pos")
@@ -304,19 +329,31 @@ class JaccardJoin:
         """doc, n_shingles and component (the smallest doc reachable) of every row."""
         members = saved(self.members(), "jaccard-members")
         self.first = saved(members.where("set IS NOT NULL AND doc IS NOT NULL").groupBy(F.col("set").alias("k")).agg(F.min("doc").alias("doc")), "jaccard-first")
-        links, labels, seen = None, None, None
-        rows = self.crowded(self.windows())
+        links, labels, seen = None, None, self.frequent()
+        if seen.count() <= BROADCAST_ROWS:
+            last = np.sort(seen.toPandas()["s"].to_numpy(np.int64).view(np.uint64))
+        else:  # too many to send along: the first level takes the plain order, and the recursion does the rest
+            last, seen = np.zeros(0, np.uint64), seen.where(F.lit(False))
+        rows = self.crowded(self.windows(last))
+        final = False
         for level in range(self.levels):
-            last = level == self.levels - 1
-            for turn in range(2):
-                links, labels = self._joined(links, self.star(rows, labels, turn + 2 * level), labels)
-            pairs, pivots, open_ = self.rest(rows, labels, last)
+            final = final or level == self.levels - 1
+            for turn in range(TURNS):
+                before = links
+                links, labels = self._joined(links, self.star(rows, labels, turn + TURNS * level), labels)
+                if links is before:
+                    break
+            pairs, pivots, open_ = self.rest(rows, labels, final)
             links, labels = self._joined(links, pairs, labels)
-            if last or not pivots.limit(1).count():
+            if final or not pivots.limit(1).count():
                 break
-            seen = pivots if seen is None else saved(seen.union(pivots).distinct(), "jaccard-pivots")
-            again = self.crowded(self.deal_again(open_, seen))
-            dropped(rows, open_, pairs)
+            new = saved(pivots.join(seen, "s", "left_anti"), "jaccard-pivots")
+            if not new.limit(1).count():  # all that is crowded is at the end already
+                final = True
+                continue
+            seen = saved(seen.union(new), "jaccard-frequent")
+            again = self.crowded(self.deal_again(open_, pivots, seen))
+            dropped(rows, open_, pairs, new)
             rows = again
         dropped(rows, open_)
         return self._named(members, labels)

@@ -105,7 +105,7 @@ def plan_cascade(df: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROW
     sample = saved(picked.coalesce(1), "rule-sample")
     out = []
     for k, rule in enumerate(rules):
-        hit = once(words(), lambda w, rule=rule: rule.reject(measures(F.col("text"), w)))
+        hit = once(words(), _rejection(rule))
         began = time.perf_counter()
         row = sample.agg(F.count("*").alias("n"), F.count(F.when(hit, 1)).alias("r")).first()
         cost = time.perf_counter() - began
@@ -115,6 +115,10 @@ def plan_cascade(df: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROW
     return sorted(out, key=lambda x: (-x["per_cost"], x["given"]))
 
 
+def _rejection(rule: Rule) -> Callable[[Column], Column]:
+    return lambda w: rule.reject(measures(text_of(), w))
+
+
 def cascade(m: dict[str, Column], rules: list[Rule], order: list[dict]) -> Column:
     """The first rule in the order that rejects, or null; later rules are not evaluated."""
     by = {r.name: r for r in rules}

@@ -7,7 +7,7 @@ A byte goes if a string of LENGTH bytes that covers it also starts in a document
    A run can only hold a repeat if its minimiser occurs twice. Tasks send each distinct minimiser of a
    chunk once, sorted and packed, so a string that is everywhere costs a row for each chunk.
 2. What. The bytes of the runs that remain go to the bucket of their minimiser, where all occurrences of
-   a window meet; within a task, equal runs are settled at once and only the first is sent.
+   a window meet. Equal runs are settled before that and in the bucket, and only the first goes on.
 3. Suffix array of a bucket, by two-stage sorting: only the suffixes smaller than their successors are
    sorted directly; the larger ones are induced by a scan of the buckets of first bytes from left to
    right. Adjacent common prefixes of LENGTH bytes or more make the classes of equal strings, and every
@@ -39,6 +39,8 @@ K = 20
 #: Text hashed at once, text of a chunk, and text for which a bucket is made.
 BLOCK_BYTES, CHUNK_BYTES, BUCKET_BYTES = 1 << 20, 32 << 20, 16 << 20
 BROADCAST_BYTES = 64 << 20
+#: Text that is suffix-sorted at once.
+SORT_BYTES = 1 << 20
 SEPARATOR = 0xFF  # never part of UTF-8
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -144,7 +146,7 @@ def suffix_array(a: np.ndarray, depth: int = 56) -> np.ndarray:
     up = smaller_than_next(a)
     word = np.concatenate((words_be(a), np.zeros(depth + 8, np.uint64)))
     direct = np.flatnonzero(up)
-    direct = direct[np.argsort(word[direct], kind="stable")]
+    direct = direct[np.argsort(word[direct])]
     group = np.concatenate(([0], np.cumsum(word[direct][1:] != word[direct][:-1]))) if len(direct) else direct
     for at in range(8, depth, 8):
         same = np.zeros(len(direct) + 1, bool)
@@ -212,12 +214,12 @@ def repeated(pieces: list[bytes], owners: np.ndarray, length: int = LENGTH) -> l
     sizes = np.array([len(p) for p in pieces])
     begins = np.cumsum(sizes + 1) - sizes - 1
     order = suffix_array(a)
-    group = np.cumsum(common_prefixes(a, order, length) < length)
     piece = np.repeat(np.arange(len(pieces)), sizes + 1)
-    whole = order + length <= (begins + sizes)[piece[order]]
-    order, group = order[whole], group[whole]
+    # shorter suffixes run into a separator, so none stands between two equal strings
+    order = order[order + length <= (begins + sizes)[piece[order]]]
     if not len(order):
         return []
+    group = np.cumsum(common_prefixes(a, order, length) < length)
     owner = owners[piece[order]]
     first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     least = np.repeat(np.minimum.reduceat(owner, first), np.diff(np.concatenate((first, [len(order)]))))
@@ -399,18 +401,18 @@ class SuffixDedup:
                 for i, m, first, last in runs(texts, length):
                     ids, h = unpack(more[i]["runs"], np.uint32)[0], more[i]["h"]
                     ids = ids[ids < len(m)]
-                    for b, x, y in zip((m[ids] >> np.uint64(16)) % np.uint64(n), first[ids].tolist(), last[ids].tolist()):
+                    for b, x, y in zip((m[ids] >> np.uint64(16)).tolist(), first[ids].tolist(), last[ids].tolist()):
                         piece = texts[i][x : y + length]
                         was = held.get(piece)
                         if was is None:
-                            held[piece] = [int(b), docs[i], h, x]
+                            held[piece] = [b, docs[i], h, x]
                         elif was[1] == docs[i]:
-                            extra.append((piece, int(b), docs[i], h, x))
+                            extra.append((piece, b, docs[i], h, x))
                         elif was[1] < docs[i]:
                             done.append((docs[i], h, x, x + len(piece)))
                         else:
                             done.append((was[1], was[2], was[3], was[3] + len(piece)))
-                            was[:] = [int(b), docs[i], h, x]
+                            was[:] = [b, docs[i], h, x]
                 # repeats inside the document that held a piece when a smaller one came are settled there
                 for piece, b, d, h, x in extra:
                     if held[piece][1] < d:
@@ -421,27 +423,18 @@ class SuffixDedup:
                         yield _part(b, GONE, pack(*cols))
                 each: dict[int, list] = {}
                 for piece, (b, d, h, x) in held.items():
-                    each.setdefault(b, []).append((piece, d, h, x))
+                    each.setdefault(b % n, []).append((piece, b, d, h, x))
                 for piece, b, d, h, x in extra:
-                    each.setdefault(b, []).append((piece, d, h, x))
+                    each.setdefault(b % n, []).append((piece, b, d, h, x))
                 for b, rows in each.items():
-                    pieces, d, h, x = zip(*rows)
-                    yield _part(b, PIECES, pack(np.array(d, np.int64), np.array(h, np.int64), np.array(x, np.int64), np.array([len(p) for p in pieces], np.int64)), b"".join(pieces))
+                    pieces, m, d, h, x = zip(*rows)
+                    yield _part(b, PIECES, pack(*[np.array(c, np.int64) for c in (m, d, h, x, [len(p) for p in pieces])]), b"".join(pieces))
 
         def sort(group: pd.DataFrame) -> pd.DataFrame:
             out = [(int(b), bytes(x)) for b, k, x in zip(group["bucket"], group["kind"], group["data"]) if k == GONE]
-            pieces, d_, h_, x_ = [], [], [], []
-            for k, data, text in zip(group["kind"], group["data"], group["text"]):
-                if k == PIECES:
-                    d, h, x, size = unpack(data, np.int64, np.int64, np.int64, np.int64)
-                    at = np.concatenate(([0], np.cumsum(size))).tolist()
-                    pieces += [text[a:b] for a, b in zip(at, at[1:])]
-                    d_.append(d)
-                    h_.append(h)
-                    x_.append(x)
-            if pieces:
-                d, h, x = np.concatenate(d_), np.concatenate(h_), np.concatenate(x_)
-                rows = [(d[p], h[p], x[p] + a, x[p] + b) for p, a, b in repeated(pieces, d, length)]
+            sent = [(unpack(x, *[np.int64] * 5), text) for k, x, text in zip(group["kind"], group["data"], group["text"]) if k == PIECES]
+            if sent:
+                rows = list(_settled(sent, length))
                 if rows:
                     out += [(b, pack(*cols)) for b, cols in _spread(rows, n)]
             return pd.DataFrame(out, columns=["bucket", "data"])
@@ -471,6 +464,45 @@ class SuffixDedup:
         return rows.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string")
 
 
+def _settled(sent: list, length: int) -> Iterator[tuple[int, int, int, int]]:
+    """Removed intervals (doc, h, begin, end) of the pieces of a bucket.
+
+    Equal pieces of different tasks are settled at once, as within a task; a piece that is left alone with
+    its minimiser has no equal window elsewhere. The others are suffix-sorted, so many minimisers at a
+    time as SORT_BYTES hold; the pieces of one minimiser stay together.
+    """
+    m, d, h, x = (np.concatenate([cols[c] for cols, _ in sent]) for c in range(4))
+    texts = []
+    for cols, text in sent:
+        at = np.concatenate(([0], np.cumsum(cols[4]))).tolist()
+        texts += [text[a:b] for a, b in zip(at, at[1:])]
+    held: dict[bytes, int] = {}
+    live = np.ones(len(texts), bool)
+    for i in np.argsort(d, kind="stable").tolist():
+        j = held.setdefault(texts[i], i)
+        if d[j] < d[i]:
+            live[i] = False
+            yield int(d[i]), int(h[i]), int(x[i]), int(x[i]) + len(texts[i])
+    order = np.flatnonzero(live)
+    order = order[np.argsort(m[order], kind="stable")]
+    first = np.flatnonzero(np.concatenate(([True], m[order][1:] != m[order][:-1])))
+    size, cut, batch = 0, [], []
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(order)]):
+        own = order[a:b]
+        if b - a > 1 and len(np.unique(d[own])) > 1:
+            cut.append(own)
+            size += sum(len(texts[i]) for i in own.tolist())
+            if size >= SORT_BYTES:
+                batch.append(np.concatenate(cut))
+                size, cut = 0, []
+    if cut:
+        batch.append(np.concatenate(cut))
+    for own in batch:
+        for p, a, b in repeated([texts[i] for i in own.tolist()], d[own], length):
+            i = own[p]
+            yield int(d[i]), int(h[i]), int(x[i]) + a, int(x[i]) + b
+
+
 def _spread(rows: list[tuple], n: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     cols = [np.array(c, np.int64) for c in zip(*rows)]
     order = np.lexsort((cols[2], cols[1], cols[0]))
