@@ -20,9 +20,16 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def load() -> None:
+    """Imports the modules that register queries."""
+    from intervalia.plans import interval_queries, signal_queries  # noqa: F401
+
+
 def queries() -> dict:
+    load()
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return ORACLES
