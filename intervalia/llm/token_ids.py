@@ -29,23 +29,27 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from intervalia.llm.common import saved, text_of
+from intervalia.llm.piece_counts import byte_alphabet
 
 HEAD = struct.Struct("<4sIQII")
 BLOCK = 65536
 #: A segment is closed at this many ids.
 SEGMENT_IDS = 1 << 20
 END_ID = 2
-#: Distinct pieces whose ids a worker remembers; the memory is dropped when it is full.
-REMEMBERED = 300_000
-_known: dict[str, tuple] = {}
+#: Distinct parts whose ids a worker remembers; when so many are new, those of the time before are dropped.
+REMEMBERED = 400_000
+_known: dict[str, Encoder] = {}
+#: A run of Latin letters and a run of marks, which the byte-level pattern cuts into these two pieces.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?%&*#$]*)").fullmatch
 
 
 class Encoder:
     """The ids of a text, as little-endian uint32 bytes.
 
     A plain space before a character that is no blank always begins a new piece of the byte-level
-    pattern, so a text is cut there and the ids of each part are remembered. Texts with a special
-    token or another blank after a space go through the tokenizer whole.
+    pattern, so a text is cut there and the ids of each part are remembered. A part of Latin letters and
+    then plain marks is two pieces, which go to the tokenizer's model by themselves; other parts, and
+    texts with a special token or another blank after a space, go through the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -53,9 +57,14 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([r" (?=\s|$)", *map(re.escape, special)]))
+        self.model = self.tokenizer.model
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.blank: set[str] = set()
         self.parts: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.before = {}, {}
+        letters = {b: c for c, b in byte_alphabet().items()}
+        self.shown = [letters[b] for b in range(256)]
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -66,23 +75,51 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut: list[list[str] | None] = []
-        seen: set[str] = set()
-        for t in texts:
-            if self.whole.search(t):
-                cut.append(None)
+    def _piece(self, piece: str) -> bytes:
+        ids = self.words.get(piece)
+        if ids is None:
+            ids = self.before[1].get(piece)
+            if ids is None:
+                shown = "".join([self.shown[b] for b in piece.encode()])
+                ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
+            self.words[piece] = ids
+        return ids
+
+    def _learn(self, new: set[str]) -> None:
+        """Ids of parts that follow a space."""
+        hard, older = [], self.before[0].get
+        for part in new:
+            ids = older(part)
+            if ids is not None:
+                self.parts[part] = ids
                 continue
-            first, *rest = t.split(" ")
-            parts = [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
-            cut.append(parts)
-            seen.update(parts)
-        if len(self.parts) > REMEMBERED:
-            self.parts.clear()
-        new = [x for x in seen if x not in self.parts]
-        self.parts.update(zip(new, self._ids(new)))
-        get = self.parts.__getitem__
-        return [self._ids([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
+            m = _PLAIN(part)
+            if m is not None:
+                ids = self._piece(" " + m[1])
+                self.parts[part] = ids + self._piece(m[2]) if m[2] else ids
+            elif not part or part[0].isspace():
+                self.blank.add(part)
+                self.parts[part] = b""
+            else:
+                hard.append(part)
+        if hard:
+            self.parts.update(zip(hard, self._ids([" " + x for x in hard])))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.parts) > REMEMBERED or len(self.words) > REMEMBERED:
+            # parts that begin with a blank are learnt anew, as they mark their texts
+            for part in self.blank:
+                del self.parts[part]
+            self.before, self.parts, self.words, self.blank = (self.parts, self.words), {}, {}, set()
+        cut = [t.split(" ") for t in texts]
+        seen = set().union(*[c[1:] for c in cut]) if cut else set()
+        new = seen - self.parts.keys()
+        if new:
+            self._learn(new)
+        get, blank, special = self.parts.__getitem__, self.blank, self.special
+        whole = [bool(blank) and not blank.isdisjoint(c[1:]) or any(x in t for x in special) for t, c in zip(texts, cut)]
+        heads = self._ids([t if w else c[0] for t, c, w in zip(texts, cut, whole)])
+        return [h if w else h + b"".join(map(get, c[1:])) for h, c, w in zip(heads, cut, whole)]
 
 
 def pack_block(ids: np.ndarray, planes: str, compressor) -> bytes:
