@@ -85,7 +85,7 @@ class Encoder:
             self.words[piece] = ids
         return ids
 
-    def _learn(self, new: set[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
         """Ids of parts that follow a space."""
         hard, older = [], self.before[0].get
         for part in new:
@@ -112,14 +112,15 @@ class Encoder:
                 del self.parts[part]
             self.before, self.parts, self.words, self.blank = (self.parts, self.words), {}, {}, set()
         cut = [t.split(" ") for t in texts]
-        seen = set().union(*[c[1:] for c in cut]) if cut else set()
-        new = seen - self.parts.keys()
+        heads_of = [c.pop(0) for c in cut]
+        seen = set().union(*cut)
+        new = [x for x in seen if x not in self.parts]
         if new:
             self._learn(new)
         get, blank, special = self.parts.__getitem__, self.blank, self.special
-        whole = [bool(blank) and not blank.isdisjoint(c[1:]) or any(x in t for x in special) for t, c in zip(texts, cut)]
-        heads = self._ids([t if w else c[0] for t, c, w in zip(texts, cut, whole)])
-        return [h if w else h + b"".join(map(get, c[1:])) for h, c, w in zip(heads, cut, whole)]
+        whole = [bool(blank) and not blank.isdisjoint(c) or any(x in t for x in special) for t, c in zip(texts, cut)]
+        heads = self._ids([t if w else h for t, h, w in zip(texts, heads_of, whole)])
+        return [h if w else h + b"".join(map(get, c)) for h, c, w in zip(heads, cut, whole)]
 
 
 def pack_block(ids: np.ndarray, planes: str, compressor) -> bytes:
