@@ -20,7 +20,8 @@ unshared shingles refute most before their sets are compared.
 Recursion. A larger region with several components has a pivot that many documents share by passage, not
 by likeness. Its members are dealt again with all such pivots moved to the end of the order: a pair
 within r that met only in such regions meets again, in the region of a rarer shingle. The last level has
-no CAP, so the join is exact; it only holds documents nearly all of whose shingles are crowded pivots.
+no CAP, so the join is exact; it only holds documents nearly all of whose shingles are crowded pivots. It is
+the last level too if the larger regions hold at most PAIRS_PER_SET pairs for each set of the table.
 The sample changes the order alone, never the result.
 
 Documents with equal sets are one node, named by a 64-bit fingerprint, and shingles are compared as
@@ -47,15 +48,17 @@ from intervalia.llm.graph import components
 WIDTH = 5
 #: The similarity as a fraction: 75 of 100.
 SIMILAR = (3, 4)
-CAP = 256
+CAP = 32
 LEVELS = 4
 #: One document of so many is in the sample, and a shingle of so many of its documents is frequent.
-SAMPLE_OF, FREQUENT = 32, 3
+SAMPLE_OF, FREQUENT = 16, 3
 BROADCAST_ROWS = 1_000_000
 #: Sets of a family on a side of a square of comparisons.
 SQUARE = 256
-#: Rounds of centres at a level, as long as they find links.
-TURNS = 3
+#: Rounds of centres at a level, as long as each finds a share of new links.
+TURNS, SHARE = 3, 4
+#: Regions over CAP are compared as they are if they hold at most so many pairs for each set of the table.
+PAIRS_PER_SET = 8
 
 _M1, _M2, _G = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -106,9 +109,9 @@ def _ceil(a, b):
 
 
 class JaccardJoin:
-    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, similar: tuple[int, int] = SIMILAR, cap: int = CAP, levels: int = LEVELS):
+    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, similar: tuple[int, int] = SIMILAR, cap: int = CAP, levels: int = LEVELS, direct: bool = True):
         self.docs = docs.select(F.col(key).cast("long").alias("doc"), text_of(text).alias("text"))
-        self.width, self.cap, self.levels = width, cap, levels
+        self.width, self.cap, self.levels, self.direct = width, cap, levels, direct
         self.p, self.q = similar
         self.spark = docs.sparkSession
 
@@ -130,7 +133,7 @@ class JaccardJoin:
         return self.docs.mapInArrow(each, "doc long, n long, set long")
 
     def frequent(self) -> DataFrame:
-        """s: shingles of at least FREQUENT sets of the sample."""
+        """s: shingles of at least FREQUENT sets of the sample, the most frequent BROADCAST_ROWS of them."""
         width = self.width
 
         def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,9 +147,9 @@ class JaccardJoin:
 
         sample = self.docs.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLE_OF)) == 0).select("text")
         counts = sample.mapInArrow(each, "s long").groupBy("s").agg(F.count("*").alias("c"))
-        return saved(counts.where(F.col("c") >= FREQUENT).select("s"), "jaccard-frequent")
+        return saved(counts.where(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "s").limit(BROADCAST_ROWS).select("s"), "jaccard-frequent")
 
-    def windows(self, last: np.ndarray) -> DataFrame:
+    def windows(self, docs: DataFrame, last: np.ndarray) -> DataFrame:
         """s, k, n, pos: the regions of each set, with the shingles of `last` (sorted) at the end of the
         order; copies within a task count once."""
         width, spare = self.width, self._spare
@@ -175,7 +178,7 @@ class JaccardJoin:
                 if rows:
                     yield _rows(s_, k_, n_, p_)
 
-        return self.docs.select("doc", "text").mapInArrow(each, "s long, k long, n int, pos int")
+        return docs.select("doc", "text").mapInArrow(each, "s long, k long, n int, pos int")
 
     @property
     def _spare(self):
@@ -294,6 +297,7 @@ class JaccardJoin:
         rows = self._labelled(rows, labels)
         each = rows.groupBy("s").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
         open_ = saved(rows.join(each.select("s", "c"), "s"), "jaccard-open")
+        last = last or (open_.where(F.col("c") > self.cap).agg(F.sum("c")).first()[0] or 0) <= PAIRS_PER_SET * self.n_sets
         large = open_.where(F.lit(False)) if last else open_.where(F.col("c") > self.cap)
         pivots = saved(large.select("s").distinct(), "jaccard-pivots")
         hidden = large.groupBy("k").agg(F.count("*").alias("h"))
@@ -309,8 +313,12 @@ class JaccardJoin:
 
     def deal_again(self, rows: DataFrame, pivots: DataFrame, seen: DataFrame) -> DataFrame:
         """The windows of all nodes of crowded pivots, with all that were seen at the end of the order."""
-        width, spare = self.width, self._spare
         nodes = rows.join(pivots, "s", "left_semi").select("k").distinct()
+        wanted = saved(self.first.join(nodes, "k"), "jaccard-nodes")
+        docs = self.docs.join(self.beside(wanted), "doc")
+        if seen.count() <= BROADCAST_ROWS:
+            return self.windows(docs, self._sorted(seen))
+        width = self.width
 
         def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -318,24 +326,24 @@ class JaccardJoin:
                     s = shingle_set(t.as_py(), width)
                     yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.full(len(s), k, np.int64)), pa.array(np.full(len(s), len(s), np.int32))], names=["s", "k", "n"])
 
-        wanted = saved(self.first.join(nodes, "k"), "jaccard-nodes")
-        whole = self.docs.join(self.beside(wanted), "doc").select("k", "text").mapInArrow(each, "s long, k long, n int")
+        whole = docs.select("k", "text").mapInArrow(each, "s long, k long, n int")
         whole = whole.join(seen.withColumn("last", F.lit(1)), "s", "left").withColumn("last", F.coalesce("last", F.lit(0)))
         order = Window.partitionBy("k").orderBy("last", "s")
         whole = whole.withColumn("pos", F.row_number().over(order) - 1)
         return whole.where(F.col("pos") <= F.col("n") - F.ceil(F.lit(self.p) * F.col("n") / self.q)).select("s", "k", "n", "pos")
 
+    def _sorted(self, seen: DataFrame) -> np.ndarray:
+        """Shingles, at most BROADCAST_ROWS of them, as a sorted array."""
+        return np.sort(seen.toPandas()["s"].to_numpy(np.int64).view(np.uint64))
+
     def run(self) -> DataFrame:
         """doc, n_shingles and component (the smallest doc reachable) of every row."""
         members = saved(self.members(), "jaccard-members")
         self.first = saved(members.where("set IS NOT NULL AND doc IS NOT NULL").groupBy(F.col("set").alias("k")).agg(F.min("doc").alias("doc")), "jaccard-first")
+        self.n_sets = self.first.count() if self.direct else 0
         links, labels, seen = None, None, self.frequent()
-        if seen.count() <= BROADCAST_ROWS:
-            last = np.sort(seen.toPandas()["s"].to_numpy(np.int64).view(np.uint64))
-        else:  # too many to send along: the first level takes the plain order, and the recursion does the rest
-            last, seen = np.zeros(0, np.uint64), seen.where(F.lit(False))
-        rows = self.crowded(self.windows(last))
-        final = False
+        rows = self.crowded(self.windows(self.docs, self._sorted(seen)))
+        final, known = False, 0
         for level in range(self.levels):
             final = final or level == self.levels - 1
             for turn in range(TURNS):
@@ -343,6 +351,9 @@ class JaccardJoin:
                 links, labels = self._joined(links, self.star(rows, labels, turn + TURNS * level), labels)
                 if links is before:
                     break
+                known, new = links.count(), links.count() - known
+                if SHARE * new < known:
+                    break
             pairs, pivots, open_ = self.rest(rows, labels, final)
             links, labels = self._joined(links, pairs, labels)
             if final or not pivots.limit(1).count():

@@ -64,7 +64,7 @@ def test_jaccard_join(docs, none):
                     m = min(label[a], label[b])
                     label[a] = label[b] = m
                     changed = True
-    for options in ({}, {"cap": 2}):
+    for options in ({}, {"cap": 2, "direct": False}):
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(docs, **options).collect()}
         assert got == {i: (len(sets[i]), label[i]) for i in sets}
     assert jaccard_join.join(none).count() == 0
