@@ -255,7 +255,8 @@ class JaccardJoin:
     # regions
 
     def crowded(self, rows: DataFrame) -> DataFrame:
-        """The rows whose region has another row: counts first, with partial sums, then a join that can be split."""
+        """The rows whose region has another row. Dealt by region once: the counts and the join share the shuffle."""
+        rows = rows.repartition("s")
         counts = rows.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")
         return saved(rows.join(counts, "s").select("s", "k", "n", "pos").distinct(), "jaccard-regions")
 
