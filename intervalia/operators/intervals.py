@@ -17,7 +17,7 @@ def order(key: str = "series", *more: str) -> Window:
 
 def indexed(df: DataFrame, fs: float) -> DataFrame:
     """Sample indices of both ends: floor(seconds * fs), in whole arithmetic."""
-    return df.withColumns({f"idx_{x}": F.floor(F.col(f"{x}_us") * F.lit(int(fs)) / 1_000_000) for x in ("start", "stop")})
+    return df.withColumns({f"idx_{x}": F.expr(f"({x}_us * {int(fs)}L - pmod({x}_us * {int(fs)}L, 1000000L)) div 1000000L") for x in ("start", "stop")})
 
 
 def padded(df: DataFrame, before_us: int, after_us: int) -> DataFrame:
