@@ -50,12 +50,12 @@ def repeated_words(w: Column, width: int = 3) -> Column:
 
     def covered(s: Column) -> Column:
         twice = F.filter(s, lambda x, k: ((k > 0) & (F.get(s, k - 1)["h"] == x["h"])) | (F.get(s, k + 1)["h"] == x["h"]))
-        at = F.array_sort(F.transform(twice, lambda x: x["i"]))
+        at = F.sort_array(F.transform(twice, lambda x: x["i"]))
         zero = F.struct(F.lit(0).alias("n"), F.lit(-width).alias("last"))
         return F.aggregate(at, zero, lambda a, i: F.struct((a["n"] + F.least(F.lit(width), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
 
     # a one-element transform binds the sorted windows to a variable, so they are sorted once
-    bound = F.get(F.transform(F.array(F.array_sort(keyed)), covered), 0)
+    bound = F.get(F.transform(F.array(F.sort_array(keyed)), covered), 0)
     return F.when(F.size(w) > width, bound).otherwise(F.lit(0)).cast("long")
 
 
