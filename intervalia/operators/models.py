@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
+import numpy as np
+from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -42,3 +43,25 @@ def codebook(vectors: DataFrame, k: int = 8, seed: int = 7) -> DataFrame:
     centres = F.array(*[F.array(*[F.lit(float(y)) for y in c]) for c in model.clusterCenters()])
     apart = F.zip_with("v", F.get(centres, F.col("cluster")), lambda a, b: (a - b) * (a - b))
     return model.transform(x).select("vec_id", "cluster", F.sqrt(F.aggregate(apart, F.lit(0.0), lambda a, b: a + b)).alias("d"))
+
+
+def halves(vectors: DataFrame, dims: list[int], seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """Vectors split in two by a mixture of two Gaussians over dims (0-based places in v).
+
+    Returns vec_id, part and p (its probability) of every vector, and dim, d_prime of every dimension that
+    varies: the difference of the means over the root of the summed variances, without sign, as the order of
+    the parts is free. With fewer than two vectors or no dimension that varies, both are empty.
+    """
+    spark = vectors.sparkSession
+    x = vectors.where("v IS NOT NULL")
+    spread = x.agg(F.count("*").alias("n"), *[F.var_samp(F.get("v", F.lit(k))).alias(f"d{k}") for k in dims]).first()
+    most = max((spread[f"d{k}"] or 0.0 for k in dims), default=0.0)
+    varied = [k for k in dims if (spread[f"d{k}"] or 0.0) > most * 1e-12 * spread["n"]]
+    if not varied:
+        return spark.createDataFrame([], "vec_id long, part int, p double"), spark.createDataFrame([], "dim int, d_prime double")
+    x = x.withColumn("x", array_to_vector(F.array(*[F.get("v", F.lit(k)) for k in varied])))
+    model = GaussianMixture(k=2, seed=seed, maxIter=100, tol=1e-4, featuresCol="x", predictionCol="part", probabilityCol="all").fit(x)
+    a, b = model.gaussians
+    gap = np.abs(b.mean.toArray() - a.mean.toArray()) / np.sqrt(np.diag(a.cov.toArray()) + np.diag(b.cov.toArray()))
+    parts = model.transform(x).select("vec_id", "part", F.array_max(vector_to_array("all")).alias("p"))
+    return parts, spark.createDataFrame([(k, float(g)) for k, g in zip(varied, gap)], "dim int, d_prime double")

@@ -15,3 +15,13 @@ def a07(spark, d):
 @query("c17_codebook")
 def c17(spark, d):
     return models.codebook(vectors(spark, d))
+
+
+@query("c16_split_in_two")
+def c16(spark, d):
+    return models.halves(vectors(spark, d), [0, 1, 2, 3])[0]
+
+
+@query("c16_diagnostic_dimensions")
+def c16_dims(spark, d):
+    return models.halves(vectors(spark, d), [0, 1, 2, 3])[1]

@@ -39,3 +39,26 @@ def test_empty(spark):
     none = vectors(spark, SF).where("false")
     assert models.principal(none).count() == 0
     assert models.codebook(none).count() == 0
+
+
+def test_halves(spark):
+    draw = np.random.default_rng(3)
+    v = draw.normal(size=(200, 3))
+    v[100:, 1] += 20
+    v[:, 2] = 4.0
+    rows = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)], "vec_id long, v array<double>")
+    parts, dims = models.halves(rows, [0, 1, 2])
+    got = [r[1] for r in sorted(parts.collect())]
+    assert len(set(got[:100])) == len(set(got[100:])) == 1 and got[0] != got[100]
+    by = dict(dims.collect())
+    assert sorted(by) == [0, 1]
+    means, spread = np.abs(v[:100].mean(0) - v[100:].mean(0)), np.sqrt(v[:100].var(0) + v[100:].var(0))
+    assert np.allclose([by[0], by[1]], means[:2] / spread[:2], rtol=0.02, atol=0.01)
+    for out in models.halves(rows.where("false"), [0, 1]) + models.halves(rows, [2]):
+        assert out.count() == 0
+
+
+def test_halves_of_the_tables(spark):
+    ids, _ = matrix(spark)
+    got = sorted(registry.queries()["c16_split_in_two"](spark, SF).collect())
+    assert [r[0] for r in got] == ids and {r[1] for r in got} <= {0, 1} and all(0.5 <= r[2] <= 1 + 1e-9 for r in got)
