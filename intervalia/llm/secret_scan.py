@@ -87,7 +87,10 @@ def der_end(data: bytes, at: int, depth: int = 0) -> int | None:
 
 
 def is_der(data: bytes | None) -> bool:
-    return bool(data) and len(data) >= 24 and data[0] == 0x30 and data[2 + (data[1] & 0x7F if data[1] & 0x80 else 0)] in (0x02, 0x30) and der_end(data, 0) == len(data)
+    if not data or len(data) < 24 or data[0] != 0x30:
+        return False
+    inner = 2 + (data[1] & 0x7F if data[1] & 0x80 else 0)
+    return inner < len(data) and data[inner] in (0x02, 0x30) and der_end(data, 0) == len(data)
 
 
 def is_ssh(data: bytes | None) -> bool:

@@ -144,6 +144,15 @@ def test_secret_scan(spark, docs, none):
     assert secret_scan.digests(docs).count() == len(corpus()) and secret_scan.scan(none).count() == 0
 
 
+def test_secret_scan_der_bounds():
+    for raw in (b"\x30\xff" + b"\xab" * 30, b"\x30\x9e" + b"\x02" * 30, b"\x30\x84\x00", b"\x30\x80" + b"\x30" * 30):
+        assert not secret_scan.is_der(raw)
+        assert secret_scan.confirmed_spans(raw.hex().ljust(64, "0")) == []
+    r = random.Random(4)
+    for _ in range(20000):
+        secret_scan.is_der(b"\x30" + r.randbytes(31))
+
+
 def test_license_scan(spark, none):
     rows = [(1, "x\n// Licensed under the Apache License, Version 2.0.\ny"), (2, "Released under the MIT Licence."), (3, "a license to be silly"), (4, None), (5, "This work is licensed under the GNU General Public License, version 2.")]
     got = {(r.doc_id, r.license) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), tolerance=0.25).collect()}
