@@ -1,12 +1,15 @@
 """Benchmark decontamination: documents that hold a benchmark item up to a share of edits.
 
-Texts are compared in lower case (A-Z) with single spaces between words. Windows as long as an item are
-placed where a document's word pairs agree with the item's in at least two places (one, if the item has
-few pairs); a CGK random walk embeds window and item, so that k edits become at most order k^2 different
-places; each of WALKS walks samples PLACES of them, and a window is a candidate when one walk agrees in
-all its samples. An exact search for the item around the window then gives the edit distance. A window
-with Hamming share h of different places is missed with probability (1 - (1 - h)^PLACES)^WALKS, 0.1 % at
-h = 0.5; exact copies are never missed.
+Texts are compared in lower case (A-Z) with single spaces between words. A document holds an item if the
+least edit distance of the item to any substring of the text is at most k = EDITS of its length. A single
+word is compared as a word, with the space on either side.
+
+The search is exact for every item length and every k: an item is cut into k + 1 leaves, and k edits
+leave one of them whole. A group of c leaves that bears less than c edits has a part of which the same is
+true, so from the item down to some leaf there are only such groups. Leaves are looked up in the text;
+at each place where one is found, the other leaf of its pair (at most 1 edit), its group of up to four (3) and of up
+to twelve (11) are compared with the text, and what remains with the whole item by edit distance. None of
+these steps drops a passage within k edits; tests compare with the edit distance at every place.
 
 Items come in blocks of at most ITEM_BYTES of text, so a set of any size works. Null and blank items
 match nothing; null texts hold nothing. Rows that share an item_id are separate items with one name.
@@ -22,16 +25,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from intervalia.llm.common import saved, text_of
-from intervalia.llm.jaccard_join import BROADCAST_ROWS, _ORDER, mixed, word_hashes
+from intervalia.llm.jaccard_join import BROADCAST_ROWS
 
 #: Edits allowed as a share of the item's length.
 EDITS = 0.2
-WALKS, PLACES = 24, 2
-PERIOD = 1024
 ITEM_BYTES = 8 << 20
-#: Letters of a word pair that may be a seed; items whose pairs are all shorter use them all.
-SEED_LETTERS = 8
+#: Characters of a leaf that are looked up, and leaves of the groups above the pairs.
+SEED, GROUPS = 5, (4, 12)
+#: Bounds of the memory at work; they do not change the result.
+TEXT_AT_ONCE, HITS_AT_ONCE, NODES_AT_ONCE = 1 << 18, 1 << 17, 1 << 12
+PAD = 16
+#: On both ends of the texts, longer than any group and its edits.
+EDGE = b"\xff" * 128
 _FILTER_BITS = 20
+_LOW = np.uint64(0x7F7F7F7F7F7F7F7F)
+_SIDE = np.array([(1 << 8 * k) - 1 for k in range(8)], np.uint64)
 
 
 def normal(text: str) -> bytes:
@@ -66,136 +74,186 @@ def edit_search(item: bytes, text: bytes) -> tuple[int, int]:
     return best, end
 
 
-class Walks:
-    """CGK random walks, the same for items and windows."""
-
-    def __init__(self, seed: int = 5, walks: int = WALKS, places: int = PLACES):
-        rng = np.random.default_rng(seed)
-        self.walks, self.rng = walks, rng
-        self.at = rng.random((walks, places))
-        # the same bits come again after so many places, so long items need no more memory
-        self.steps = rng.integers(0, 2, (PERIOD, walks, 256), np.uint8)
-
-    def samples(self, strings: list[bytes]) -> np.ndarray:
-        """The sampled characters, strings x walks x places; strings of one length are comparable."""
-        at_once = max(1, min(64, PERIOD * 64 // (2 * max(map(len, strings)))))
-        out = np.zeros((len(strings), self.walks, self.at.shape[1]), np.uint8)
-        for begin in range(0, len(strings), at_once):
-            part = strings[begin : begin + at_once]
-            n = max(map(len, part))
-            chars = np.zeros((len(part), n + 1), np.uint8)
-            for k, s in enumerate(part):
-                chars[k, : len(s)] = np.frombuffer(s, np.uint8)
-            at = np.zeros((len(part), self.walks), np.int64)
-            row, walk = np.arange(len(part))[:, None], np.arange(self.walks)[None]
-            seen = np.zeros((2 * n, len(part), self.walks), np.uint8)
-            for j in range(2 * n):
-                c = chars[row, at]
-                seen[j] = c
-                at = np.minimum(at + self.steps[j % PERIOD][walk, c], n)
-            size = np.array([len(s) for s in part])
-            place = (self.at[None] * (2 * size)[:, None, None]).astype(np.int64)
-            out[begin : begin + at_once] = seen[place, np.arange(len(part))[:, None, None], walk[:, :, None]]
+def _different(x: np.ndarray) -> np.ndarray:
+    """The high bit of every byte that is not 0."""
+    return ((x & _LOW) + _LOW | x) & ~_LOW
+
+
+def _groups(n: int) -> Iterator[tuple[tuple[int, int], list[tuple[int, int]]]]:
+    """n leaves in twelves, as even as fours allow, and the fours of each; only the last four may be short."""
+    fours = -(-n // GROUPS[0])
+    many = -(-fours * GROUPS[0] // GROUPS[1])
+    for g in range(many):
+        own = [(q * GROUPS[0], min(n, (q + 1) * GROUPS[0])) for q in range(fours * g // many, fours * (g + 1) // many)]
+        yield (own[0][0], own[-1][1]), own
+
+
+class Nodes:
+    """Stretches of at most 64 characters and the edits that each of them allows."""
+
+    def __init__(self, chars: list[bytes], edits: list[int]):
+        self.size = np.array([len(c) for c in chars], np.int64)
+        self.edits = np.array(edits, np.int64)
+        self.chars = np.zeros((len(chars), max([len(c) for c in chars], default=1)), np.uint8)
+        for k, c in enumerate(chars):
+            self.chars[k, : len(c)] = np.frombuffer(c, np.uint8)
+
+    def near(self, text: np.ndarray, node: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Whether the node is in the text about begin, moved by at most its edits: edit_search for many."""
+        out = np.zeros(len(node), bool)
+        for x in range(0, len(node), NODES_AT_ONCE):
+            used, at = np.unique(node[x : x + NODES_AT_ONCE], return_inverse=True)
+            size, most = self.size[used], self.edits[used]
+            where = np.zeros((len(used), 256), np.uint64)
+            for j in range(int(size.max())):
+                on = np.flatnonzero(size > j)
+                where[on, self.chars[used[on], j]] |= np.uint64(1) << np.uint64(j)
+            where, base = where.ravel(), at * 256
+            top = (np.uint64(1) << (size - 1).astype(np.uint64))[at]
+            up, down = np.full(len(at), ~np.uint64(0)), np.zeros(len(at), np.uint64)
+            score = size[at]
+            best, place = score.copy(), begin[x : x + NODES_AT_ONCE] - most[at]
+            for j in range(int((size + 2 * most).max())):
+                eq = where[base + text[place + j]]
+                v = eq | down
+                e = ((eq & up) + up ^ up) | v
+                right_up, right_down = down | ~(e | up), up & e
+                score = score + ((right_up & top) != 0) - ((right_down & top) != 0)
+                right_up, right_down = right_up << np.uint64(1), right_down << np.uint64(1)
+                up, down = right_down | ~(v | right_up), right_up & v
+                np.minimum(best, score, out=best)
+            out[x : x + NODES_AT_ONCE] = best <= most[at]
         return out
 
 
-def pair_hashes(w: np.ndarray) -> np.ndarray:
-    return mixed(w[:-1] * _ORDER[7] + w[1:] * _ORDER[8]) if len(w) > 1 else np.zeros(0, np.uint64)
-
-
 class Index:
-    """Seeds and samples of a block of items."""
+    """The leaves of a block of items, and what is above them."""
 
     def __init__(self, items: list[tuple[int, str]], edits: float = EDITS):
-        self.edits, self.walks = edits, Walks()
+        self.edits = edits
         self.items = [(i, normal(t)) for i, t in items if t and normal(t)]
-        hashes, owner, offset, self.needed, self.single = [], [], [], [], []
-        for k, (_, s) in enumerate(self.items):
-            words = s.split(b" ")
-            begin = np.cumsum([0, *[len(x) + 1 for x in words]])
-            w = word_hashes(s)
-            pairs = pair_hashes(w)
-            long_ = [i for i in range(len(pairs)) if len(words[i]) + len(words[i + 1]) >= SEED_LETTERS]
-            use = long_ if len(long_) >= 2 else range(len(pairs))
-            if len(pairs) == 0:  # a single word is its own seed
-                pairs, use = w, [0]
-            self.single.append(len(words) == 1)
-            self.needed.append(2 if len(use) >= 4 else 1)
-            for i in use:
-                hashes.append(pairs[i])
-                owner.append(k)
-                offset.append(int(begin[i]))
-        order = np.argsort(np.array(hashes, np.uint64), kind="stable") if hashes else []
-        self.hashes = np.array(hashes, np.uint64)[order] if hashes else np.zeros(0, np.uint64)
-        self.owner, self.offset = np.array(owner, np.int64)[order] if hashes else [], np.array(offset, np.int64)[order] if hashes else []
-        self.filter = np.zeros(1 << _FILTER_BITS, bool)
-        self.filter[self.hashes & np.uint64((1 << _FILTER_BITS) - 1)] = True
-        self.sampled = self.walks.samples([s for _, s in self.items]) if self.items else None
-
-    def _hits(self, h: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(place in h, seed)"""
-        for i in np.flatnonzero(self.filter[h & np.uint64((1 << _FILTER_BITS) - 1)]):
-            lo, hi = np.searchsorted(self.hashes, h[i], "left"), np.searchsorted(self.hashes, h[i], "right")
-            for k in range(lo, hi):
-                yield int(i), k
-
-    def windows(self, raw: bytes) -> tuple[bytes, list[tuple[int, int]]]:
-        """The normal text and (item, begin) of its windows."""
-        w = word_hashes(raw)
-        pairs = pair_hashes(w)
-        hits = list(self._hits(pairs))
-        if any(self.single):
-            hits += [(i, k) for i, k in self._hits(w) if self.single[self.owner[k]]]
-        if not hits:
-            return b"", []
-        words = raw.lower().split()
-        text = b" ".join(words)
-        begin = np.cumsum([0, *[len(x) + 1 for x in words]])
-        each: dict[int, list[tuple[int, int]]] = {}
-        for i, k in hits:
-            each.setdefault(int(self.owner[k]), []).append((int(begin[i]) - int(self.offset[k]), int(k)))
-        out = []
-        for item, found in each.items():
-            slack = max(8, int(self.edits * len(self.items[item][1])))
-            found.sort()
-            at = 0
-            while at < len(found):
-                end = at
-                while end < len(found) and found[end][0] - found[at][0] <= slack:
-                    end += 1
-                if len({k for _, k in found[at:end]}) >= self.needed[item]:
-                    middle = found[(at + end - 1) // 2][0]
-                    near = int(np.searchsorted(begin[:-1], middle))
-                    near = min((j for j in (near - 1, near) if 0 <= j < len(words)), key=lambda j: abs(begin[j] - middle))
-                    out.append((item, int(begin[near])))
-                at = end
-        return text, sorted(set(out))
+        # a single word is looked for as a word
+        self.sought = [s if b" " in s else b" " + s + b" " for _, s in self.items]
+        self.most = [int(edits * len(s)) for _, s in self.items]
+        rows, keys, chars, allowed = [], [], [], []
+        for k, s in enumerate(self.sought):
+            n = self.most[k] + 1
+            cut = [j * len(s) // n for j in range(n + 1)]
+            for twelve, fours in _groups(n):
+                for four in fours:
+                    tree = [(len(chars) + g, cut[lo]) for g, (lo, _) in enumerate((four, twelve))]
+                    for lo, hi in (four, twelve):
+                        chars.append(s[cut[lo] : cut[hi]])
+                        allowed.append(hi - lo - 1)
+                    for lo in range(*four, 2):
+                        hi = min(lo + 2, four[1])
+                        for j in range(lo, hi):
+                            x, y = cut[j], cut[j + 1]
+                            keys.append(s[x : min(y, x + SEED)])
+                            side = b"" if hi - lo < 2 else s[y : min(cut[hi], y + 7)] if j == lo else s[max(cut[lo], x - 7) : x][::-1]
+                            rows.append((k, x, y - x, j > lo, int.from_bytes(side, "little"), len(side), *[v for pair in tree for v in pair]))
+        order = sorted(range(len(keys)), key=lambda i: (len(keys[i]), int.from_bytes(keys[i], "little")))
+        cols = [np.array([rows[i][c] for i in order], np.uint64 if c == 4 else np.int64) for c in range(6 + 2 * len(GROUPS))]
+        self.owner, self.offset, self.length, self.left, self.side, self.side_size = cols[:6]
+        self.tree = list(zip(cols[6::2], cols[7::2]))
+        # a stretch of over 64 characters is not looked at before the item as a whole
+        self.whole = np.array([len(c) <= 64 for c in chars], bool)
+        self.nodes = Nodes([c[:64] for c in chars], allowed)
+        self.seeds = {}
+        for size in sorted({len(x) for x in keys}):
+            at = np.array([i for i, o in enumerate(order) if len(keys[o]) == size])
+            code = np.array([int.from_bytes(keys[order[i]], "little") for i in at.tolist()], np.uint64)
+            code, first, count = np.unique(code, return_index=True, return_counts=True)
+            known = np.zeros(1 << _FILTER_BITS, bool)
+            known[self._slot(code)] = True
+            self.seeds[size] = code, at[first], count, known
+
+    @staticmethod
+    def _slot(code: np.ndarray) -> np.ndarray:
+        return code * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _FILTER_BITS)
+
+    def _hits(self, eight: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of leaves and the leaves, so many at once as HITS_AT_ONCE hold."""
+        for size, (codes, first, count, known) in self.seeds.items():
+            code = eight & np.uint64((1 << 8 * size) - 1)
+            at = np.flatnonzero(known[self._slot(code)])
+            seed = np.minimum(np.searchsorted(codes, code[at]), len(codes) - 1)
+            same = codes[seed] == code[at]
+            at, seed = at[same], seed[same]
+            upto = np.cumsum(count[seed])
+            begin = 0
+            while begin < len(at):
+                end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + HITS_AT_ONCE, "right")))
+                n = count[seed[begin:end]]
+                yield np.repeat(at[begin:end], n), np.repeat(first[seed[begin:end]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                begin = end
+
+    def _beside(self, eight: np.ndarray, at: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """Whether the other leaf of the pair is beside the place with at most one edit."""
+        left = self.left[leaf].astype(bool)
+        x = eight[np.where(left, at - 8, at + self.length[leaf])]
+        x = np.where(left, x.byteswap(), x)
+        want, size = self.side[leaf], self.side_size[leaf]
+        inside = _SIDE[size]
+        other = _different(x ^ want) & inside
+        least = other & -other
+        more = _different(x >> np.uint64(8) ^ want) & inside
+        less = _different(x ^ want >> np.uint64(8)) & _SIDE[np.maximum(size - 1, 0)]
+        return (other == least) | (more < least) | (less < least)
+
+    def places(self, texts: list[bytes]) -> Iterator[tuple[int, int, int]]:
+        """(text, item, about where it begins) of all that the leaves and their groups leave."""
+        pad = b"\xff" * PAD
+        raw = EDGE + pad.join(texts) + EDGE
+        begins = np.cumsum([len(EDGE)] + [len(t) + PAD for t in texts])
+        text = np.frombuffer(raw, np.uint8)
+        eight = np.zeros(len(raw), np.uint64)
+        for j in range(8):
+            eight[j::8][: (len(raw) - j) // 8] = np.frombuffer(raw, "<u8", (len(raw) - j) // 8, j)
+        for at, leaf in self._hits(eight):
+            ok = self._beside(eight, at, leaf)
+            at, leaf = at[ok], leaf[ok]
+            for node, begin in self.tree:
+                near = ~self.whole[node[leaf]]
+                ask = np.flatnonzero(~near)
+                near[ask] = self.nodes.near(text, node[leaf[ask]], (at - self.offset[leaf] + begin[leaf])[ask])
+                at, leaf = at[near], leaf[near]
+            k = np.searchsorted(begins, at, "right") - 1
+            yield from zip(k.tolist(), self.owner[leaf].tolist(), (at - self.offset[leaf] - begins[k]).tolist())
 
     def matches(self, texts: list[bytes]) -> list[list[tuple[int, int, int, int]]]:
         """For each text (item number, distance, begin, end) of the best match of each item that it holds."""
         found: list[dict[int, tuple]] = [{} for _ in texts]
-        places, strings, normals = [], [], {}
-        for k, raw in enumerate(texts):
-            text, windows = self.windows(raw)
-            if windows:
-                normals[k] = text
-            for item, begin in windows:
-                n = len(self.items[item][1])
-                places.append((k, item, begin))
-                strings.append(text[begin : begin + n].ljust(n, b"\0"))
-        if places:
-            got = self.walks.samples(strings)
-            likely = (got == self.sampled[[item for _, item, _ in places]]).all(2).any(1)
-            for (k, item, begin), ok in zip(places, likely):
-                if ok:
-                    s = self.items[item][1]
-                    most = int(self.edits * len(s))
-                    lo = max(0, begin - most)
-                    d, end = edit_search(s, normals[k][lo : begin + len(s) + most])
-                    if d <= most and (item not in found[k] or d < found[k][item][0]):
-                        found[k][item] = (d, max(0, lo + end - len(s)), lo + end)
+        begin = 0
+        while begin < len(texts) and self.items:
+            part, size = [], 0
+            while begin + len(part) < len(texts) and size < TEXT_AT_ONCE:
+                part.append(b" " + b" ".join(texts[begin + len(part)].lower().split()) + b" ")
+                size += len(part[-1])
+            last: tuple = ()
+            for k, item, at in sorted(set(self.places(part))):
+                s, most = self.sought[item], self.most[item]
+                # neighbours are searched as one stretch
+                if last and last[:2] == (k, item) and at - last[3] <= most + 1:
+                    last = k, item, last[2], at
+                    continue
+                self._search(part, last, begin, found)
+                last = k, item, at, at
+            self._search(part, last, begin, found)
+            begin += len(part)
         return [[(item, *x) for item, x in sorted(f.items())] for f in found]
 
+    def _search(self, part: list[bytes], stretch: tuple, begin: int, found: list[dict[int, tuple]]) -> None:
+        if not stretch:
+            return
+        k, item, first, last = stretch
+        s, most = self.sought[item], self.most[item]
+        lo = max(0, first - most)
+        d, end = edit_search(s, part[k][lo : max(0, last + len(s) + most)])
+        held = found[begin + k]
+        if d <= most and (item not in held or d < held[item][0]):
+            held[item] = d, max(0, lo + end - len(s) - 1), lo + end - 1
+
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of bounded text; a block is all that is held at once."""

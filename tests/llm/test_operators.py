@@ -179,6 +179,36 @@ def test_decontamination(spark, none):
     assert decontaminate.leaks(none, bench).count() == 0 and decontaminate.keep(table, bench.where("false")).count() == len(docs)
 
 
+def test_decontamination_is_exact():
+    """Against the edit distance at every place, by item length and share of edits."""
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcde") for _ in range(r.randint(1, 7)))
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate((1, 1, 2, 3, 3, 4, 6, 8, 12, 20, 25, 40, 90))]
+
+    def edited(text, share):
+        chars = list(text)
+        for _ in range(int(share * len(text))):
+            at, kind = r.randrange(len(chars)), r.randrange(3)
+            chars[at : at + 1] = [r.choice("abcdexyz ")] if kind == 0 else [chars[at], r.choice("vwxyz")] if kind == 1 else []
+            chars = chars or ["a"]
+        return "".join(chars)
+
+    filler = lambda: " ".join(word() for _ in range(r.randint(0, 15)))
+    texts = [filler() + r.choice(" \n") + edited(t, share).upper() + " " + filler() for _, t in items for share in (0, 0.1, 0.15, 0.2, 0.22, 0.3)]
+    texts += [edited(items[-1][1], 0.2), items[5][1], "", "é" + items[6][1] + "ü", items[3][1] * 30]
+    for edits in (0.2, 0.1, 0.0):
+        index = decontaminate.Index(items, edits)
+        got = index.matches([t.encode() for t in texts])
+        for text, found in zip(texts, got):
+            want = {}
+            for k, (_, t) in enumerate(items):
+                s = decontaminate.normal(t)
+                d = decontaminate.edit_search(s if b" " in s else b" " + s + b" ", b" " + decontaminate.normal(text) + b" ")[0]
+                if d <= int(edits * len(s)):
+                    want[k] = d
+            assert {k: d for k, d, _, _ in found} == want
+
+
 def test_quality_rules(docs, none):
     got = {r.doc_id: r for r in quality_rules.score(docs).collect()}
     for i, t, *_ in corpus():
