@@ -6,7 +6,8 @@ next byte, the greedy longest pieces of what was read are known to end there, an
 link. A word is read once, byte by byte, and only counted: no piece is built.
 
 Words are `[^\\x20\\x09-\\x0D]+`, their pieces are over UTF-8 bytes. A word that no sequence of pieces
-covers counts as one unknown piece. Null and blank texts count 0.
+covers counts as one unknown piece. Null and blank texts count 0. Pieces with a word-end mark match at the
+end of a word alone, and the others never there.
 """
 
 from __future__ import annotations
@@ -22,13 +23,16 @@ from intervalia.llm.common import text_of
 _built: dict[tuple, Automaton] = {}
 #: Distinct words whose counts a worker remembers; the memory is dropped when it is full.
 REMEMBERED = 500_000
+#: Stands for the word-end mark; no word holds it.
+END = b" "
 
 
 class Automaton:
-    def __init__(self, first: Iterable[bytes], more: Iterable[bytes]):
-        """first: pieces that begin a word; more: pieces that continue one."""
+    def __init__(self, first: Iterable[bytes], more: Iterable[bytes], worth: dict[bytes, int] | None = None):
+        """first: pieces that begin a word; more: pieces that continue one; worth: those that count otherwise than 1."""
         self.edge: dict[int, int] = {}
-        final, children = [False, False], [[], []]
+        final, children = [0, 0], [[], []]
+        worth = worth or {}
         for root, pieces in ((0, first), (1, more)):
             for piece in pieces:
                 at = root
@@ -36,11 +40,12 @@ class Automaton:
                     nxt = self.edge.get(at << 8 | byte)
                     if nxt is None:
                         nxt = self.edge[at << 8 | byte] = len(final)
-                        final.append(False)
+                        final.append(0)
                         children.append([])
                         children[at].append((byte, nxt))
                     at = nxt
-                final[at] = final[at] or at > 1
+                if at > 1:
+                    final[at] = worth.get(piece, 1)
         n = len(final)
         # link -1: no sequence of pieces covers what was read
         self.link, self.popped = [-1] * n, [0] * n
@@ -48,7 +53,7 @@ class Automaton:
         for u in queue:
             for byte, v in children[u]:
                 if final[v]:
-                    self.link[v], self.popped[v] = 1, 1
+                    self.link[v], self.popped[v] = 1, final[v]
                 else:
                     z, count = self.link[u], self.popped[u]
                     while z >= 0 and (z << 8 | byte) not in self.edge:
@@ -82,18 +87,48 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def pieces_of(path: str) -> tuple[list[bytes], list[bytes]]:
-    """Pieces of a byte-level vocabulary file of the tokenizers library; word ends are dropped."""
+def pieces_of(path: str) -> tuple[set[bytes], set[bytes]]:
+    """Pieces of a byte-level vocabulary file of the tokenizers library: those within a word, and those that
+    end one, without their mark."""
     with open(path, encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
     to = byte_alphabet()
-    pieces = {bytes(to[c] for c in p) for p in (x.removesuffix("</w>") for x in vocab) if p and all(c in to for c in p)}
-    return sorted(pieces), sorted(pieces)
+    inside, ends = set(), set()
+    for p in vocab:
+        x = p.removesuffix("</w>")
+        if x and all(c in to for c in x):
+            (inside if x == p else ends).add(bytes(to[c] for c in x))
+    return inside, ends
+
+
+def ending(inside: set[bytes], ends: set[bytes]) -> tuple[set[bytes], dict[bytes, int]]:
+    """Pieces over words with END after them, and what some of them count.
+
+    A piece that does not end a word leaves at least a byte of it. Where what is left of a word is such a piece
+    and no piece that ends one, its longest match is what shorter pieces make of it; it goes in as one piece
+    of that many. Words hold no END, so pieces that do are left out.
+    """
+    inside, ends = ({p for p in pieces if END not in p} for pieces in (inside, ends))
+    worth = {}
+    for piece in inside - ends:
+        at = n = 0
+        while piece[at:] not in ends:
+            size = next((k for k in range(len(piece) - at - 1, 0, -1) if piece[at : at + k] in inside), 0)
+            if not size:
+                break
+            at, n = at + size, n + 1
+        else:
+            worth[piece + END] = n + 1
+    return inside | {p + END for p in ends} | set(worth), worth
 
 
 def automaton(path: str) -> Automaton:
+    """For words with END after them if the vocabulary marks word ends, else for words."""
     if (path,) not in _built:
-        _built[path,] = Automaton(*pieces_of(path))
+        inside, ends = pieces_of(path)
+        pieces, worth = ending(inside, ends) if ends else (inside, {})
+        _built[path,] = Automaton(sorted(pieces), sorted(pieces), worth)
+        _built[path,].end = END if ends else b""
     return _built[path,]
 
 
@@ -102,7 +137,8 @@ def counts(docs: DataFrame, vocabulary: str, lower: bool = True) -> DataFrame:
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
-        one = automaton(vocabulary).count
+        built = automaton(vocabulary)
+        one, end = built.count, built.end
         for b in batches:
             n_words, n_pieces = [], []
             for t in b.column(1):
@@ -113,7 +149,7 @@ def counts(docs: DataFrame, vocabulary: str, lower: bool = True) -> DataFrame:
                 for w in words:
                     c = known.get(w)
                     if c is None:
-                        c = known[w] = one(w)
+                        c = known[w] = one(w + end)
                     total += c
                 n_words.append(len(words))
                 n_pieces.append(total)

@@ -247,6 +247,27 @@ def test_piece_counts(docs):
     assert piece_counts.counts(docs, tokenizer_path("word_bpe_49k.json")).count() == len(corpus())
 
 
+def test_piece_counts_of_the_vocabulary(spark):
+    path = tokenizer_path("word_bpe_49k.json")
+    inside, ends = piece_counts.pieces_of(path)
+
+    def greedy(w):
+        at = n = 0
+        while w[at:] not in ends:
+            size = next((k for k in range(len(w) - at - 1, 0, -1) if w[at : at + k] in inside), 0)
+            if not size:
+                return 1
+            at, n = at + size, n + 1
+        return n + 1
+
+    r = random.Random(5)
+    some = sorted(inside) + sorted(ends)
+    rows = [(i, t) for i, t, *_ in corpus()] + [(1000, "Thlyouble the is of inesea ononedth thering Asciónta ñezll können übers"), (1001, " ".join(p.decode() for p in r.sample(some, 3000) if p.isascii()))]
+    rows += [(1002 + k, "".join(p.decode() for p in r.sample(some, 6) if p.isascii())) for k in range(300)]
+    got = {x.doc_id: x.n_pieces for x in piece_counts.counts(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()}
+    assert got == {i: sum(greedy(w) for w in (t or "").encode().lower().split()) for i, t in rows}
+
+
 def test_suffix_dedup(docs, none):
     first, want = {}, []
     rows = [(i, (t or "").encode()) for i, t, *_ in corpus()]
