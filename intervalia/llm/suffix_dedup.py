@@ -312,8 +312,8 @@ class SuffixDedup:
                 kept = set(least.values())
                 copies = [i for i, t in enumerate(texts) if len(t) >= length and i not in kept and docs[i] > docs[least[hashlib.blake2b(t, digest_size=16).digest()]]]
                 if copies:
-                    at = np.array(copies)
-                    yield _part(int(docs[copies[0]] % n), GONE, pack(np.array(docs)[at], np.array(hashes)[at], np.zeros(len(at), np.int64), np.array([len(texts[i]) for i in copies], np.int64)))
+                    for b, cols in _spread([(docs[i], hashes[i], 0, len(texts[i])) for i in copies], n):
+                        yield _part(b, GONE, pack(*cols))
                 lost = set(copies)
                 m_, d_, r_ = [], [], []
                 for i, m, first, _ in runs([b"" if i in lost else t for i, t in enumerate(texts)], length):

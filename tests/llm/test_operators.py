@@ -286,6 +286,18 @@ def test_suffix_dedup(docs, none):
     assert suffix_dedup.dedup(none).count() == 0
 
 
+def test_suffix_dedup_repeated_rows(spark):
+    r = random.Random(6)
+    make = lambda: "".join(r.choice("abcdefgh ") for _ in range(300))
+    a, b = make(), make()
+    # 7 is a row of both tasks, its smaller copy 1 of the first alone; 2 makes another bucket the first copy's
+    rows = [[(0, b), (1, a), (2, b), (7, a)], [(7, a), (8, make())]]
+    parts = spark.sparkContext.parallelize(rows, 2).flatMap(lambda x: x)
+    docs = spark.createDataFrame(parts, "doc_id long, text string")
+    got = sorted((x.doc_id, x.n_removed) for x in suffix_dedup.dedup(docs).collect())
+    assert got == [(0, 0), (1, 0), (2, 300), (7, 300), (7, 300), (8, 0)]
+
+
 def test_suffix_array():
     for seed in range(40):
         r = random.Random(seed)
