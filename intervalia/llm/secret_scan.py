@@ -1,11 +1,14 @@
 """Secret scans with structural confirmation.
 
 Patterns find candidates; a candidate of the added kinds is reported only when its structure holds:
-    jwt   three base64url parts, the first two JSON objects, the first with an "alg"
-    pem   a PEM block named as a key, whose body decodes to a DER sequence
+    jwt   three base64url parts, the first two JSON objects, the first with an "alg"; also after "=" or
+          "/" and before a full stop
+    pem   a PEM block named as a key, whose body decodes to a DER sequence or an SSH key; with the headers
+          of RFC 1421 for an encrypted body, whole cipher blocks under a DEK-Info with its IV
     der   base64 or hex that decodes to a DER sequence of integers, object ids and strings, nested
           lengths adding up exactly
-    ssh   base64 of the wire format of an SSH key: length-prefixed fields, the first a key type
+    ssh   base64 of the wire format of an SSH key: length-prefixed fields, the first a key type, or of the
+          openssh-key-v1 container, whose public keys have that format
 The base kinds assign, access and hex follow their patterns alone. Offsets are code points, ends
 exclusive. Null texts have no secrets; extra columns are left alone.
 """
@@ -30,7 +33,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 #: Runs of at least 32; the leftmost longest runs are those of HEX that are long enough.
 LONG_HEX = re.compile(r"[0-9a-f]{32,}")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*(?:PRIVATE|PUBLIC) KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+#: A line end may be written as an escape; headers are lines of name, colon and value, continued by a blank.
+EOL = r"(?:\r?\n|(?:\\r)?\\n)"
+PEM = re.compile(rf"-----BEGIN ((?:[A-Z0-9]+ )*(?:PRIVATE|PUBLIC) KEY)-----((?:[\x20\t]*{EOL}[\x20\t]*[A-Za-z0-9-]+:(?:(?!{EOL}|-----).)*+(?:{EOL}[\x20\t]+(?:(?!{EOL}|-----).)*+)*)*)((?:[A-Za-z0-9+/=\s]|\\[rn])+)-----END \1-----")
+DEK = re.compile(r"^[\x20\t]*DEK-Info:[\x20\t]*([A-Z0-9-]+),[\x20\t]*([0-9A-Fa-f]+)[\x20\t]*$", re.M)
+#: Free to the left by the lookbehind, to the right as the parts are possessive.
+PARTS = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++){2,}+")
 RUN = re.compile(r"[A-Za-z0-9+/_.=-]{40,}")
 KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "ssh")
 
@@ -93,9 +101,32 @@ def is_der(data: bytes | None) -> bool:
     return inner < len(data) and data[inner] in (0x02, 0x30) and der_end(data, 0) == len(data)
 
 
+MAGIC = b"openssh-key-v1\0"
+
+
+def is_openssh(data: bytes) -> bool:
+    """The container: names of cipher and derivation, its options, public keys and the private part."""
+    at, fields, left = len(MAGIC), [], 3
+    while left:
+        if at + 4 > len(data):
+            return False
+        if len(fields) == 3 and left == 3:  # the number of keys stands between
+            left, at = int.from_bytes(data[at : at + 4], "big") + 1, at + 4
+            if left == 1 or left > len(data):
+                return False
+            continue
+        size = int.from_bytes(data[at : at + 4], "big")
+        fields.append(data[at + 4 : at + 4 + size])
+        at += 4 + size
+        left -= len(fields) > 3
+    return at == len(data) and bool(fields[0] and fields[1] and fields[-1]) and all(map(is_ssh, fields[3:-1]))
+
+
 def is_ssh(data: bytes | None) -> bool:
     if not data or len(data) < 16:
         return False
+    if data.startswith(MAGIC):
+        return is_openssh(data)
     at, fields = 0, []
     while at + 4 <= len(data):
         size = int.from_bytes(data[at : at + 4], "big")
@@ -110,26 +141,65 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", m.start(), m.end()) for m in LONG_HEX.finditer(text)]
 
 
+def is_pem(headers: str, body: str) -> bool:
+    data = unbase64(re.sub(r"\s|\\[rn]", "", body))
+    if is_der(data) or is_ssh(data):
+        return True
+    lines = re.sub(EOL, "\n", headers)
+    info = DEK.search(lines)
+    if not data or not info or not re.search(r"Proc-Type:\s*4\s*,\s*ENCRYPTED", lines):
+        return False
+    block = 16 if info[1].startswith("AES") else 8
+    return len(info[2]) == 2 * block and len(data) % block == 0
+
+
+def jwt_spans(s: str) -> Iterator[tuple[int, int]]:
+    """Web tokens in a run, wherever three of its parts are one; what is before "-" or "_" may be a name."""
+    for m in PARTS.finditer(s):
+        parts = m[0].split(".")
+        begin = [m.start()]
+        for p in parts:
+            begin.append(begin[-1] + len(p) + 1)
+        k = 0
+        while k + 2 < len(parts):
+            tail = f".{parts[k + 1]}.{parts[k + 2]}"
+            cuts = [0, *[x.end() for x in re.finditer(r"[-_]+", parts[k])]]
+            # a JSON object begins with a brace, or with blanks before it
+            at = next((x for x in cuts if parts[k][x : x + 1] in ("e", "I", "C", "D") and is_jwt(parts[k][x:] + tail)), None)
+            if at is None:
+                k += 1
+            else:
+                yield begin[k] + at, begin[k + 3] - 1
+                k += 3
+
+
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the added kinds."""
     out = []
     if "-----BEGIN" in text:
-        out += [("pem", m.start(), m.end()) for m in PEM.finditer(text) if is_der(unbase64(re.sub(r"\s", "", m[2]))) or is_ssh(unbase64(re.sub(r"\s", "", m[2])))]
+        out += [("pem", m.start(), m.end()) for m in PEM.finditer(text) if is_pem(m[2], m[3])]
     for m in RUN.finditer(text):
-        s = m[0]
-        lead = len(s) - len(s.lstrip(".=-_/+")) if s[0] in ".=-_/+" else 0
-        s = s[lead:]
-        if s.count(".") == 2 and is_jwt(s):
-            out.append(("jwt", m.start() + lead, m.end()))
-            continue
-        at = m.start() + lead
-        for part in re.split(r"([.]|(?<==)(?=[^=]))", s):
-            if part and len(part) >= 32:
-                raw = bytes.fromhex(part) if len(part) % 2 == 0 and re.fullmatch(r"[0-9a-fA-F]+", part) else unbase64(part)
-                kind = "der" if is_der(raw) else "ssh" if is_ssh(raw) else None
-                if kind:
-                    out.append((kind, at, at + len(part)))
-            at += len(part or "")
+        s, begin = m[0], 0
+        tokens = list(jwt_spans(s)) if s.count(".") >= 2 else []
+        out += [("jwt", m.start() + a, m.start() + e) for a, e in tokens]
+        for a, e in [*tokens, (len(s), len(s))]:
+            out += _key_spans(s[begin:a], m.start() + begin)
+            begin = e
+    return out
+
+
+def _key_spans(s: str, at: int) -> list[tuple[str, int, int]]:
+    """DER and SSH keys in a run without web tokens that begins at `at`."""
+    out = []
+    lead = len(s) - len(s.lstrip(".=-_/+"))
+    at += lead
+    for part in re.split(r"([.]|(?<==)(?=[^=]))", s[lead:]):
+        if part and len(part) >= 32:
+            raw = bytes.fromhex(part) if len(part) % 2 == 0 and re.fullmatch(r"[0-9a-fA-F]+", part) else unbase64(part)
+            kind = "der" if is_der(raw) else "ssh" if is_ssh(raw) else None
+            if kind:
+                out.append((kind, at, at + len(part)))
+        at += len(part or "")
     return out
 
 

@@ -153,6 +153,40 @@ def test_secret_scan_der_bounds():
         secret_scan.is_der(b"\x30" + r.randbytes(31))
 
 
+def test_secret_scan_surroundings():
+    import base64
+
+    r = random.Random(9)
+    b = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+    jwt = ".".join([b(b'{"alg":"HS256","typ":"JWT"}'), b(b'{"sub":"1234567890"}'), b(b"x" * 32)])
+    for before, after in (("token=", ""), ("JWT=", " x"), ("https://a.example/cb?id_token=", "&state=1"), ("It is ", "."), ("see ", "..."), ("a/", "/b"), ("id_token_", ""), ("x.", "")):
+        text = "é " + before + jwt + after
+        assert secret_scan.confirmed_spans(text) == [("jwt", 2 + len(before), 2 + len(before) + len(jwt))], before
+    assert [k for k, _, _ in secret_scan.confirmed_spans(jwt + "=" + jwt + "/")] == ["jwt", "jwt"]
+    assert secret_scan.confirmed_spans("token=" + jwt.replace("eyJ", "eyK")) == [] and secret_scan.confirmed_spans("a." * 4000) == []
+
+    field = lambda x: len(x).to_bytes(4, "big") + x
+    public = field(b"ssh-ed25519") + field(bytes(range(32)))
+    container = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(public) + field(r.randbytes(136))
+    assert secret_scan.is_ssh(container)
+    assert not any(map(secret_scan.is_ssh, (container[:-1], container + b"x", container[:15], container.replace(b"ssh-ed", b"xsh-ed"))))
+
+    def pem(name, data, headers=""):
+        body = base64.b64encode(data).decode()
+        return f"-----BEGIN {name}-----\n{headers}" + "\n".join(body[k : k + 64] for k in range(0, len(body), 64)) + f"\n-----END {name}-----"
+
+    def found(text):
+        return [x for x in secret_scan.confirmed_spans("key: " + text + " end") if x[0] == "pem"] == [("pem", 5, 5 + len(text))]
+
+    dek = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"
+    der = b"\x30\x81\x8a\x02\x01\x00\x02\x81\x81" + b"\x01" * 129 + b"\x02\x01\x03"
+    assert found(pem("OPENSSH PRIVATE KEY", container))
+    assert found(pem("RSA PRIVATE KEY", der)) and found(pem("RSA PRIVATE KEY", der).replace("\n", "\\n")) and found(pem("RSA PRIVATE KEY", der, "Comment: mine\n\n"))
+    assert found(pem("RSA PRIVATE KEY", r.randbytes(608), dek)) and found(pem("RSA PRIVATE KEY", r.randbytes(608), dek).replace("\n", "\r\n"))
+    assert not found(pem("RSA PRIVATE KEY", r.randbytes(609), dek)) and not found(pem("RSA PRIVATE KEY", r.randbytes(608)))
+    assert not found(pem("RSA PRIVATE KEY", r.randbytes(608), dek.replace("CDEF\n", "\n")))
+
+
 def test_license_scan(spark, none):
     rows = [(1, "x\n// Licensed under the Apache License, Version 2.0.\ny"), (2, "Released under the MIT Licence."), (3, "a license to be silly"), (4, None), (5, "This work is licensed under the GNU General Public License, version 2.")]
     got = {(r.doc_id, r.license) for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), tolerance=0.25).collect()}
