@@ -1,9 +1,11 @@
-"""License scans by conditional compression.
+"""License scans by wording differences and conditional compression.
 
-A candidate block is a line with a license cue. It is compressed alone and with each template as a raw
-zstandard dictionary; templates are ranked by how much smaller that makes it. The best ones are confirmed
-by their exact wording: the words of a notice that the block lacks or adds, by a word difference, may be
-at most `tolerance` of the notice. Blocks that no template confirms are not reported.
+A candidate block is the words around a license cue, as many on each side as the longest notice has, across
+lines and comment marks; blocks that touch are one. Every notice of every template is looked for at every
+word of a block: the words of a notice that a span lacks or adds, by a word difference, may be at most
+`tolerance` of the notice. A span is compressed alone and with its template as a raw zstandard
+dictionary, and must get smaller. All confirmed notices that do not overlap are reported; of those that do,
+the one with the fewest differences, then the longest, then that which compression favours.
 
 Null texts have no blocks. Offsets are code points, ends exclusive.
 """
@@ -11,6 +13,8 @@ Null texts have no blocks. Offsets are code points, ends exclusive.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -22,6 +26,7 @@ from intervalia.llm.common import text_of
 
 #: Notices of public licenses by name; pass others as a parameter.
 TEMPLATES: dict[str, tuple[str, ...]] = {
+    "all-rights-reserved": ("All rights reserved.",),
     "apache-2.0": ("Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', "SPDX-License-Identifier: Apache-2.0"),
     "bsd-3-clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Released under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"),
     "cc-by-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -31,60 +36,87 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "mit": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT"),
     "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
 }
-CUE = re.compile(r"licen[cs]|copyright|permission is|redistribut|warrant|SPDX", re.I)
+CUE = re.compile(r"licen[cs]|copyright|permission|redistribut|warrant|reserved|SPDX", re.I)
 TERMS = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
-#: Blocks longer than this are compared in windows of it, each overlapping the last by half.
-WINDOW = 600
-
-
-def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Lines with a cue, long lines as overlapping windows."""
-    last = -1
-    for m in CUE.finditer(text):
-        a, b = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
-        b = len(text) if b < 0 else b
-        if b - a > WINDOW:
-            a, b = max(a, m.start() - WINDOW // 2), min(b, m.start() + WINDOW // 2)
-        if (a, b) != last:
-            yield a, b
-        last = (a, b)
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, tuple[str, ...]], tolerance: float = 0.1, ranked: int = 3):
+    def __init__(self, templates: dict[str, tuple[str, ...]], tolerance: float = 0.1):
         import zstandard as z
 
-        self.tolerance, self.ranked = tolerance, ranked
+        self.tolerance = tolerance
         self.alone = z.ZstdCompressor(level=12)
-        self.given = [(name, z.ZstdCompressor(level=12, dict_data=z.ZstdCompressionDict("\n".join(notices).encode(), dict_type=z.DICT_TYPE_RAWCONTENT))) for name, notices in sorted(templates.items())]
-        self.notices = {name: [(n, [w.lower() for w in TERMS.findall(n)]) for n in notices] for name, notices in templates.items()}
-        self.judge = lru_cache(20_000)(self._judge)
-
-    def _judge(self, block: str) -> tuple[tuple, ...]:
-        raw = block.encode()
-        plain = len(self.alone.compress(raw))
-        rank = sorted(((1 - len(c.compress(raw)) / plain, name) for name, c in self.given), key=lambda x: (-x[0], x[1]))
-        spots = [(m[0].lower(), m.start(), m.end()) for m in TERMS.finditer(block)]
-        found = []
-        for gain, name in rank[: self.ranked]:
-            if gain > 0 and (hit := self._confirm(spots, name)):
-                found.append((name, round(gain, 6), *hit))
-        found.sort(key=lambda x: (x[4] + x[5], -x[1], x[0]))
-        return tuple(found[:1])
-
-    def _confirm(self, spots, name):
-        """start, end, words lacking and words added of the notice that fits best, or None."""
-        best, have = None, [s[0] for s in spots]
-        for _, words in self.notices[name]:
-            same = [b for b in SequenceMatcher(None, words, have, autojunk=False).get_matching_blocks() if b.size]
+        self.given = {name: z.ZstdCompressor(level=12, dict_data=z.ZstdCompressionDict("\n".join(notices).encode(), dict_type=z.DICT_TYPE_RAWCONTENT)) for name, notices in templates.items()}
+        notices = [(name, [w.lower() for w in TERMS.findall(n)]) for name, notices in sorted(templates.items()) for n in notices]
+        self.notices = [(name, words, Counter(words), int(tolerance * len(words))) for name, words in notices if words]
+        self.reach = max((len(words) + most for _, words, _, most in self.notices), default=0)
+        self.gain = lru_cache(20_000)(self._gain)
+
+    def _gain(self, span: str, name: str) -> float:
+        raw = span.encode()
+        return 1 - len(self.given[name].compress(raw)) / len(self.alone.compress(raw))
+
+    def blocks(self, text: str) -> Iterator[list[tuple[str, int, int]]]:
+        """The words (in lower case, with their places) about the cues of a text."""
+        cues = [m.start() for m in CUE.finditer(text)]
+        if not cues:
+            return
+        spots = [(m[0].lower(), m.start(), m.end()) for m in TERMS.finditer(text)]
+        ends = [e for _, _, e in spots]
+        lo = hi = 0
+        for c in cues:
+            at = bisect_right(ends, c)
+            if at - self.reach > hi:
+                yield spots[lo:hi]
+                lo = at - self.reach
+            lo, hi = max(lo, 0), min(len(spots), at + self.reach + 1)
+        yield spots[lo:hi]
+
+    def judge(self, text: str) -> list[tuple[str, float, int, int, int, int]]:
+        """license, gain, start, end, words lacking and words added of every confirmed notice of a text."""
+        out = []
+        for spots in self.blocks(text):
+            found = []
+            have = [s[0] for s in spots]
+            for name, words, count, most in self.notices:
+                for first, last, lacking, added in self._confirm(have, words, count, most):
+                    gain = self.gain(text[spots[first][1] : spots[last - 1][2]], name)
+                    if gain > 0:
+                        found.append((lacking + added, -len(words), -gain, name, first, last, lacking, added))
+            taken: list[tuple[int, int]] = []
+            for _, _, gain, name, first, last, lacking, added in sorted(found):
+                if all(last <= a or first >= b for a, b in taken):
+                    taken.append((first, last))
+                    out.append((name, round(-gain, 6), spots[first][1], spots[last - 1][2], lacking, added))
+        return sorted(out, key=lambda x: (x[2], x[0]))
+
+    @staticmethod
+    def _confirm(have: list[str], words: list[str], count: Counter, most: int) -> Iterator[tuple[int, int, int, int]]:
+        """first, last, words lacking and words added of all spans that fit a notice."""
+        # words of the notice in the window of each place, as a bound of what can match
+        size, left, common = len(words) + most, Counter(count), 0
+        for end in range(len(have) + size):
+            if end < len(have) and have[end] in left:
+                left[have[end]] -= 1
+                common += left[have[end]] >= 0
+            first = end - size
+            if first >= 0 and have[first] in left:
+                left[have[first]] += 1
+                common -= left[have[first]] > 0
+            first += 1
+            if first < 0 and end < len(have) - 1 or common < len(words) - most:
+                continue
+            first = max(first, 0)
+            if first >= len(have) or have[first] not in count:
+                continue
+            same = [b for b in SequenceMatcher(None, words, have[first : first + size], autojunk=False).get_matching_blocks() if b.size]
             if not same:
                 continue
-            first, last = same[0].b, same[-1].b + same[-1].size
+            a, last = first + same[0].b, first + same[-1].b + same[-1].size
             n = sum(b.size for b in same)
-            lacking, added = len(words) - n, last - first - n
-            if lacking + added <= self.tolerance * len(words) and (best is None or (lacking + added, -n) < best[0]):
-                best = (lacking + added, -n), (spots[first][1], spots[last - 1][2], lacking, added)
-        return best and best[1]
+            lacking, added = len(words) - n, last - a - n
+            if lacking + added <= most:
+                yield a, last, lacking, added
 
 
 def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, tolerance: float = 0.1) -> DataFrame:
@@ -96,14 +128,7 @@ def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, t
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, tolerance)
         for b in batches:
-            rows = set()
-            out = []
-            for k, (i, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
-                for a, e in candidates(t):
-                    for name, gain, s, f, lacking, added in scanner.judge(t[a:e]):
-                        if (k, a + s, a + f) not in rows:
-                            rows.add((k, a + s, a + f))
-                            out.append((i, name, a + s, a + f, gain, lacking, added))
+            out = [(i, *x) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in ((name, start, end, gain, lacking, added) for name, gain, start, end, lacking, added in scanner.judge(t))]
             cols = list(zip(*out)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 

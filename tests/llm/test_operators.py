@@ -194,6 +194,20 @@ def test_license_scan(spark, none):
     assert license_scan.scan(none).count() == 0
 
 
+def test_license_scan_blocks(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files"
+    bsd = "Redistribution and use in source and binary forms, with or without\r\n * modification, are permitted provided that the following\r\n * conditions are met:"
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License");\n// you may not use this file except in\n// compliance with the License.'
+    prose = " ".join(f"w{k}" for k in range(400))
+    rows = [(1, f"é\n# {mit} (the"), (2, f"/*\n * {bsd}"), (3, f"x\n// {apache}\ny"), (4, "(c) 2020 A. All rights reserved."), (5, "All rights\n# reserved")]
+    rows += [(6, "Released under the MIT License. Licensed under the Apache License, Version 2.0."), (7, f"{prose} Licensed under CC BY 4.0. {prose} {mit} {prose}"), (8, f"{prose} the license of all rights"), (9, "All rights reserved. " * 3)]
+    want = [(1, "mit"), (2, "bsd-3-clause"), (3, "apache-2.0"), (4, "all-rights-reserved"), (5, "all-rights-reserved"), (6, "apache-2.0"), (6, "mit"), (7, "cc-by-4.0"), (7, "mit")] + [(9, "all-rights-reserved")] * 3
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.license) for r in got) == want
+    spans = {r.doc_id: dict(rows)[r.doc_id][r.start : r.end] for r in got}
+    assert spans[1] == mit and spans[2] + ":" == bsd and spans[3] + "." == apache
+
+
 def test_decontamination(spark, none):
     r = random.Random(3)
     make = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(n))
