@@ -1,35 +1,41 @@
 """Exact n-gram Jaccard join in metric space.
 
-Distance is 1 - |A and B| / |A or B| on the sets of word shingles, r = 1 - similarity.
-
-Pivots and regions. The first level's pivots are the single-shingle sets: the distance from a document to
-{s} is below 1 only if s is in it, and of its own shingles the first in one global order (by hash) is its
-home. The triangle inequality bounds what two documents within r may miss of each other, so that
-    a longer document misses at most r * n of its shingles in any shorter partner,
-    a shorter one at most (1 - s) / (1 + s) * n in any longer partner,
-and a document need only be replicated to the regions of its first r * n + 1 shingles: two documents
-within r meet in the region of their first common shingle, in the shorter one's narrower window. Any one
-order will do; shingles that are frequent in a sample of documents come last, so that regions stay small.
-
-Inside the regions, documents are pivots. Every member is compared with the region's centre (the member
-of least key, which is the same in all regions of a group of copies). Members within r of the centre are
-one component; what the triangle inequality leaves are pairs from different components, whose sizes and
-places in the order still allow r. Regions of up to CAP members give these pairs; counts of shared and
-unshared shingles refute most before their sets are compared.
-
-Recursion. A larger region with several components has a pivot that many documents share by passage, not
-by likeness. Its members are dealt again with all such pivots moved to the end of the order: a pair
-within r that met only in such regions meets again, in the region of a rarer shingle. The last level has
-no CAP, so the join is exact; it only holds documents nearly all of whose shingles are crowded pivots. It is
-the last level too if the larger regions hold at most PAIRS_PER_SET pairs for each set of the table.
-The sample changes the order alone, never the result.
-
-Documents with equal sets are one node, named by a 64-bit fingerprint, and shingles are compared as
-64-bit fingerprints: the chance of any error is about (sets^2 + shingle pairs compared) / 2^64.
-
-Null, blank and empty texts have no shingles and are linked with nothing. Rows with a null doc_id are
-returned with themselves as (null) component if nothing links them. Rows that share a doc_id are rows of
-one document each, under the same name. Broadcast sides are checked to be at most BROADCAST_ROWS rows.
+Sets of word shingles are compared by their symmetric difference D(A, B): A and B link if
+(q + p) * D <= (q - p) * (|A| + |B|) for a similarity of p/q, which is the same as Jaccard >= p/q. D is a
+metric, and so is what is left of it in a region of the space.
+
+Peeling. A set that links with anything misses at most n - ceil(p * n / q) of its shingles in that partner, so at
+most so many of them may be in no other set of the corpus: this is its distance to the union of all others.
+Tasks count shingles that another distinct set has, from a share of the hash range (SHARE; bound and result are
+exact for any share), in blocks by bucket; a shingle that is common in a task is sent once from it. Sets beyond
+the bound are alone. What remains are copies, near copies and documents made of shared passages.
+
+Pivots and regions. The first pivot is the empty set; every document is its set of differences from it. The
+differences of a family are put in one order, the rarest first. What only one member has comes first of all and
+counts as distance. By the triangle inequality two members within reach have their first common difference in
+the first (q - p) / p * n + 1 places of both, (1 - p/q) * n + 1 below the empty set, and the places before it add
+up to at most the reach of the pair. So every document is replicated to the regions of these differences only.
+
+Recursion. Each region elects a centre, a set of its members that is not much larger than its smallest, and the
+centre is compared with all of them. Regions whose members are one component by now are closed; those with at
+most CAP members outside their largest component give their pairs, which are compared exactly. The larger ones
+become families with their centre as pivot (regions with the same centre are one family): a member is now its
+symmetric difference with the pivot. Members so close to the pivot that the triangle inequality alone links them
+are linked to the closest; others must share a difference, so the family is dealt into regions as above, and
+copies that only have the pivot in common fall apart. The last of LEVELS has no CAP, so that the join is exact.
+
+Documents with equal sets are one node, named by a 64-bit fingerprint, and shingles are compared as 64-bit
+hashes: the chance of any error is about (sets^2 + shingle pairs compared) / 2^64.
+
+Components only. Pairs whose documents are known to be in one component are not compared, as all pairs of a large
+group of near copies are the square of the group; links are therefore not listed or counted.
+
+Null, blank and empty texts have no shingles and are linked with nothing; very long texts are sets like others, one
+of which is in a task's memory at a time with a chunk of the rest. Rows with a null doc_id are returned with
+themselves as (null) component and link nothing. Rows that share a doc_id are rows of one document each, under the
+same name, whatever their texts: their component is the smallest that a link of their own set reaches. Ties fall to
+the smaller doc_id. An empty table gives an empty result. Columns beside key and text are not read by join() and
+kept by keep(), whatever their names. Broadcast sides are checked to be at most BROADCAST_ROWS rows.
 """
 
 from __future__ import annotations
@@ -37,42 +43,37 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from intervalia.llm.common import dropped, saved, text_of
 from intervalia.llm.graph import components
+from intervalia.llm.packing import GOLDEN, by_bucket, mixed, pack, unpack
 
 WIDTH = 5
 #: The similarity as a fraction: 75 of 100.
 SIMILAR = (3, 4)
+#: Members of a region outside its largest component up to which its pairs are compared.
 CAP = 32
-LEVELS = 4
-#: One document of so many is in the sample, and a shingle of so many of its documents is frequent.
-SAMPLE_OF, FREQUENT = 16, 3
+#: Levels of the recursion, and rounds of centres at each.
+LEVELS, TURNS = 5, 2
+#: Share of the hash range by which sets are peeled, as a right shift of 64 bits.
+SHARE = 1
+#: Text of a chunk of a task, and shingles for which a bucket is made.
+CHUNK_BYTES, BUCKET_ROWS = 24 << 20, 1 << 21
 BROADCAST_ROWS = 1_000_000
-#: Sets of a family on a side of a square of comparisons.
-SQUARE = 256
-#: Rounds of centres at a level, as long as each finds a share of new links.
-TURNS, SHARE = 3, 4
-#: Regions over CAP are compared as they are if they hold at most so many pairs for each set of the table.
-PAIRS_PER_SET = 8
+#: Sets that are compared with one set in one task.
+SQUARE = 1024
 
-_M1, _M2, _G = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """The splitmix64 finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
+_M1 = np.uint64(0xBF58476D1CE4E5B9)
 
 
 def _numbers(n: int, salt: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mixed((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(salt << 40)) * _G) | np.uint64(1)
+        return mixed((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(salt << 40)) * GOLDEN) | np.uint64(1)
 
 
 _ORDER = _numbers(64, 3)
@@ -96,95 +97,133 @@ def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
     h = np.zeros(len(w) - k + 1, np.uint64)
     for i in range(k):
         h += w[i : len(w) - k + 1 + i] * _ORDER[i]
-    return np.unique(mixed(h + np.uint64(k)))
+    h = mixed(h + np.uint64(k))
+    h.sort()
+    return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
 def fingerprint(s: np.ndarray) -> int:
-    sums = np.array([(s * _G).sum(dtype=np.uint64)]) + np.array([mixed(s).sum(dtype=np.uint64)]) * _M1
+    sums = np.array([(s * GOLDEN).sum(dtype=np.uint64)]) + np.array([mixed(s).sum(dtype=np.uint64)]) * _M1
     return int(mixed(sums).view(np.int64)[0])
 
 
-def _ceil(a, b):
-    return -(-a // b)
-
-
 class JaccardJoin:
-    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, similar: tuple[int, int] = SIMILAR, cap: int = CAP, levels: int = LEVELS, direct: bool = True):
+    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, similar: tuple[int, int] = SIMILAR, cap: int = CAP, levels: int = LEVELS, chunk_bytes: int = CHUNK_BYTES, share: int = SHARE):
         self.docs = docs.select(F.col(key).cast("long").alias("doc"), text_of(text).alias("text"))
-        self.width, self.cap, self.levels, self.direct = width, cap, levels, direct
+        self.width, self.cap, self.levels, self.chunk_bytes, self.share = width, cap, levels, chunk_bytes, share
         self.p, self.q = similar
         self.spark = docs.sparkSession
 
-    # members and windows
+    @property
+    def partitions(self) -> int:
+        return max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+
+    # sets
 
     def members(self) -> DataFrame:
-        """doc, n and set (its fingerprint, null if empty) of every row."""
-        width = self.width
+        """doc, n, m and set of every row: size, shingles in the share, and fingerprint (null if empty)."""
+        width, share = self.width, self.share
 
         def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                n, f = [], []
+                n, m, f = [], [], []
                 for t in b.column(1):
                     s = shingle_set(t.as_py(), width)
                     n.append(len(s))
+                    m.append(len(_shared(s, share)))
                     f.append(fingerprint(s) if len(s) else None)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(f, pa.int64())], names=["doc", "n", "set"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(f, pa.int64())], names=["doc", "n", "m", "set"])
 
-        return self.docs.mapInArrow(each, "doc long, n long, set long")
-
-    def frequent(self) -> DataFrame:
-        """s: shingles of at least FREQUENT sets of the sample, the most frequent BROADCAST_ROWS of them."""
-        width = self.width
-
-        def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: set[int] = set()
-            for b in batches:
-                for t in b.column(0):
-                    s = shingle_set(t.as_py(), width)
-                    if len(s) and (f := fingerprint(s)) not in seen:
-                        seen.add(f)
-                        yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], names=["s"])
+        return self.docs.mapInArrow(each, "doc long, n long, m long, set long")
 
-        sample = self.docs.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLE_OF)) == 0).select("text")
-        counts = sample.mapInArrow(each, "s long").groupBy("s").agg(F.count("*").alias("c"))
-        return saved(counts.where(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "s").limit(BROADCAST_ROWS).select("s"), "jaccard-frequent")
+    def counted(self, total: int) -> DataFrame:
+        """k and c: shingles in the share that another distinct set has too, by set; sets without any are left out.
 
-    def windows(self, docs: DataFrame, last: np.ndarray) -> DataFrame:
-        """s, k, n, pos: the regions of each set, with the shingles of `last` (sorted) at the end of the
-        order; copies within a task count once."""
-        width, spare = self.width, self._spare
+        Hashes are compared by 48 bits of their own, so c may be too large by chance, which peels less.
+        """
+        width, share, most = self.width, self.share, self.chunk_bytes
+        n = int(max(self.partitions, (total >> share) // BUCKET_ROWS + 1))
+
+        def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for sets, names in _chunks(batches, most, width):
+                if not sets:
+                    continue
+                part = [_shared(s, share) >> np.uint64(16 - share) for s in sets]
+                v, i = np.concatenate(part), np.repeat(np.arange(len(part), dtype=np.uint32), [len(x) for x in part])
+                if not len(v):
+                    continue
+                order = np.argsort(v, kind="stable")
+                v, i = v[order], i[order]
+                new = np.concatenate(([True], v[1:] != v[:-1]))
+                alone = new & np.concatenate((new[1:], [True]))
+                k = np.array(names, np.int64)
+                c = np.bincount(i[~alone], minlength=len(k))
+                for b, (x, y) in by_bucket(k[c > 0] % n, n, k[c > 0], c[c > 0]):
+                    yield _part(b, 1, pack(x, y))
+                # what is common in the chunk goes once, without its sets
+                v, i = v[new], np.where(alone, i, np.uint32(len(k)))[new]
+                k = np.append(k, 0)
+                for b, (x, y) in by_bucket((v % np.uint64(n)).astype(np.int64), n, v, i):
+                    used, at = np.unique(y, return_inverse=True)
+                    yield _part(b, 0, pack(np.diff(x, prepend=np.uint64(0)), at.astype(np.uint32)), pack(k[used], (used == len(k) - 1).astype(np.int8)))
+
+        def meet(group: pd.DataFrame) -> pd.DataFrame:
+            out = [(b, bytes(x)) for b, kind, x in zip(group["bucket"], group["kind"], group["data"]) if kind]
+            v, k, known = [], [], []
+            for kind, x, y in zip(group["kind"], group["data"], group["names"]):
+                if not kind:
+                    d, at = unpack(x, np.uint64, np.uint32)
+                    names, common = unpack(y, np.int64, np.int8)
+                    v.append(np.cumsum(d, dtype=np.uint64))
+                    k.append(names[at])
+                    known.append(common[at])
+            if v:
+                v, k, known = np.concatenate(v), np.concatenate(k), np.concatenate(known)
+                order = np.argsort(v, kind="stable")
+                s = v[order]
+                same = s[1:] == s[:-1]
+                order = order[np.concatenate(([False], same)) | np.concatenate((same, [False]))]
+                if len(order):
+                    order = order[np.lexsort((k[order], v[order]))]
+                    v, k, known = v[order], k[order], known[order]
+                    once = np.concatenate(([True], (v[1:] != v[:-1]) | (k[1:] != k[:-1]) | (known[1:] != known[:-1])))
+                    v, k, known = v[once], k[once], known[once]
+                    first = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
+                    size = np.diff(np.append(first, len(v)))
+                    held = np.repeat((size > 1) | (np.maximum.reduceat(known, first) > 0), size) & (known == 0)
+                    k, c = np.unique(k[held], return_counts=True)
+                    out += [(b, pack(x, y)) for b, (x, y) in by_bucket(k % n, n, k, c)]
+            return pd.DataFrame(out, columns=["bucket", "data"])
+
+        def add(group: pd.DataFrame) -> pd.DataFrame:
+            got = [unpack(x, np.int64, np.int64) for x in group["data"]]
+            k, c = (np.concatenate([x[j] for x in got]) for j in (0, 1))
+            name, at = np.unique(k, return_inverse=True)
+            return pd.DataFrame({"k": name, "c": np.bincount(at, c).astype(np.int64)})
+
+        parts = self.docs.where("doc IS NOT NULL").select("text").mapInArrow(scan, "bucket int, kind int, data binary, names binary")
+        met = parts.groupBy("bucket").applyInPandas(meet, "bucket int, data binary")
+        return met.groupBy("bucket").applyInPandas(add, "k long, c long")
+
+    def sets_of(self, named: DataFrame) -> DataFrame:
+        """k, n and items of the sets k of named (doc, k)."""
+        width = self.width
 
         def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: set[int] = set()
-            for b in batches:
-                s_, k_, n_, p_, rows = [], [], [], [], 0
-                for t in b.column(1):
-                    s = shingle_set(t.as_py(), width)
-                    if not len(s) or (f := fingerprint(s)) in seen:
-                        continue
-                    seen.add(f)
-                    m = spare(len(s)) + 1
-                    if len(last):
-                        late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
-                        s = np.concatenate((s[~late], s[late]))
-                    s_.append(s[:m])
-                    k_.append(np.full(m, f, np.int64))
-                    n_.append(np.full(m, len(s), np.int32))
-                    p_.append(np.arange(m, dtype=np.int32))
-                    rows += m
-                    if rows > 200_000:
-                        yield _rows(s_, k_, n_, p_)
-                        s_, k_, n_, p_, rows = [], [], [], [], 0
-                if rows:
-                    yield _rows(s_, k_, n_, p_)
-
-        return docs.select("doc", "text").mapInArrow(each, "s long, k long, n int, pos int")
-
-    @property
-    def _spare(self):
-        """What a set of n may miss in a shorter partner."""
-        p, q = self.p, self.q
-        return lambda n: n - _ceil(p * n, q)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    b = batch.slice(at, 256)
+                    names, sizes, items = [], [], []
+                    for k, t in zip(b.column(0).to_pylist(), b.column(1)):
+                        s = shingle_set(t.as_py(), width)
+                        if len(s) and fingerprint(s) == k:  # rows of one doc_id may have other texts
+                            names.append(k)
+                            sizes.append(len(s))
+                            items.append(s.view(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), _lists(items)], names=["k", "n", "items"])
+
+        found = self.docs.join(self.beside(named), "doc").select("k", "text")
+        return found.mapInArrow(each, "k long, n long, items array<long>").dropDuplicates(["k"])
 
     def beside(self, side: DataFrame) -> DataFrame:
         """The side, to be broadcast while it has few rows."""
@@ -192,203 +231,236 @@ class JaccardJoin:
 
     # comparison
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) within r.
+    def met(self, pairs: DataFrame, f, schema: str) -> DataFrame:
+        """f(a, set of a, b, set of b) for the pairs (a, b), in tasks that hold one set a and a batch of sets b.
 
-        Pairs of one family meet under its least member, in squares of at most SQUARE sets by SQUARE, so a
-        set is sent once to each square, not once for each pair. A sorted partition is read as a stream:
-        the sets of one square are in memory.
+        A set a with many pairs is dealt to as many tasks as SQUARE sets each need.
         """
-        p, q, width = self.p, self.q, self.width
-        pairs = saved(pairs.select("a", "b").where("a <> b").distinct(), "jaccard-pairs")
-        if not pairs.limit(1).count():
-            return pairs
-        both = pairs.union(pairs.select("b", "a"))
-        family = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("f"))
-        pairs_of = pairs.join(family, "a")
-        sizes = pairs_of.groupBy("f").agg(F.ceil(F.count("*") / SQUARE).cast("int").alias("most"), F.ceil((F.approx_count_distinct("b") + F.approx_count_distinct("a")) / SQUARE).cast("int").alias("t"))
-        sizes = sizes.select("f", F.greatest(F.lit(1), F.least("most", "t")).alias("t"))
-        square = [F.pmod(F.xxhash64(x), "t").cast("int").alias(y) for x, y in (("a", "x"), ("b", "y"))]
-        pairs_of = saved(pairs_of.join(sizes, "f").select("f", *square, "a", "b"), "jaccard-squares")
-        goes = pairs_of.select("f", "x", "y", F.explode(F.array("a", "b")).alias("k")).distinct().join(self.first, "k")
-        goes = saved(goes.groupBy("doc", "k").agg(F.collect_list(F.struct("f", "x", "y")).alias("to")), "jaccard-sent")
-
-        def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    rows = []
-                    for k, t, to in zip(*[c.to_pylist() for c in batch.slice(at, 256).columns]):
-                        items = shingle_set(t, width).tobytes()
-                        rows += [(z["f"], z["x"], z["y"], k, items) for z in to]
-                    cols = list(zip(*rows)) or [[]] * 5
-                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(cols, kinds)], names=["f", "x", "y", "a", "items"])
-
-        sent = self.docs.join(self.beside(goes), "doc").select("k", "text", "to").mapInArrow(send, "f long, x int, y int, a long, items binary")
-        sent = sent.select("f", "x", "y", F.lit(0).alias("role"), "a", F.col("a").alias("b"), "items")
-        asked = pairs_of.select("f", "x", "y", F.lit(1).alias("role"), "a", "b", F.lit(None).cast("binary").alias("items"))
-        n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        dealt = sent.union(asked).repartition(n, "f", "x", "y").sortWithinPartitions("f", "x", "y", "role")
-
-        def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at, sets = None, {}
+        tasks = pairs.groupBy("a").agg(F.ceil(F.count("*") / SQUARE).cast("int").alias("t"))
+        dealt = pairs.join(tasks, "a").withColumn("z", F.pmod(F.xxhash64("b"), "t").cast("int"))
+        sets = self.sets.select(F.col("k").alias("b"), "items")
+        other = dealt.select("a", "z", "b").join(sets, "b").select("a", "z", F.lit(1).alias("role"), "b", "items")
+        own = dealt.select("a", "z").distinct().join(sets.withColumnRenamed("b", "a"), "a").select("a", "z", F.lit(0).alias("role"), F.col("a").alias("b"), "items")
+        rows = own.union(other).repartition(self.partitions, "a", "z").sortWithinPartitions("a", "z", "role")
+
+        def stream(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            base = None
             for batch in batches:
-                a_, b_ = [], []
-                for f, x, y, role, a, b, items in zip(*[c.to_pylist() for c in batch.columns[:6]], batch.column("items")):
-                    if (f, x, y) != at:
-                        at, sets = (f, x, y), {}
+                items = batch.column("items")
+                flat, ends = items.values.to_numpy().view(np.uint64), items.offsets.to_numpy()
+                pairs_ = []
+                for j, (a, role, b) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("a", "role", "b")])):
+                    s = flat[ends[j] : ends[j + 1]]
                     if role == 0:
-                        sets[a] = np.frombuffer(items.as_py(), np.uint64)
-                        continue
-                    s, t = sets[a], sets[b]
-                    if q * min(len(s), len(t)) >= p * max(len(s), len(t)):
-                        common = len(np.intersect1d(s, t, assume_unique=True))
-                        if q * common >= p * (len(s) + len(t) - common):
-                            a_.append(a)
-                            b_.append(b)
-                yield pa.RecordBatch.from_arrays([pa.array(a_, pa.int64()), pa.array(b_, pa.int64())], names=["a", "b"])
-
-        links = saved(dealt.mapInArrow(compare, "a long, b long"), "jaccard-links")
-        dropped(pairs, pairs_of, goes)
-        return links
+                        base = s.copy()
+                    else:
+                        pairs_.append((a, base, b, s))
+                yield from f(pairs_)
 
-    # regions
+        return rows.mapInArrow(stream, schema)
 
-    def crowded(self, rows: DataFrame) -> DataFrame:
-        """The rows whose region has another row. Dealt by region once: the counts and the join share the shuffle."""
-        rows = rows.repartition("s")
-        counts = rows.groupBy("s").agg(F.count("*").alias("c")).where("c > 1").select("s")
-        return saved(rows.join(counts, "s").select("s", "k", "n", "pos").distinct(), "jaccard-regions")
-
-    def star(self, rows: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
-        """Pairs (a: centre, b: member) that may be within r, from different components."""
-        rows = self._labelled(rows, labels)
-        key = F.xxhash64("k", F.lit(turn)) if turn else F.col("k")
-        centre = rows.groupBy("s").agg(F.min(F.struct(key.alias("x"), "k", "n", "pos", "label")).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-        centre = centre.where("lo < hi").select("s", F.col("c.k").alias("a"), F.col("c.n").alias("an"), F.col("c.pos").alias("apos"), F.col("c.label").alias("alabel"))
-        met = rows.join(centre, "s").where("label <> alabel").where(self._sizes("n", "an"))
-        each = met.groupBy("a", F.col("k").alias("b"), "n", "an").agg(F.count("*").alias("c"), F.max("pos").alias("bpos"), F.max("apos").alias("apos"))
-        return each.where(self._may_hold("n", "an", "bpos", "apos", F.col("c"))).select("a", "b")
-
-    def _sizes(self, m: str, n: str):
-        return (self.q * F.least(m, n) >= self.p * F.greatest(m, n))
-
-    def _may_hold(self, m, n, mpos, npos, common):
-        """Shingles of the windows seen to be unshared against those that r allows.
-
-        Up to the last common one the places count them; after it, all that is left of the window which
-        ends first is unshared. (q - p) / (q + p) of the sum of the sizes may be.
-        """
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link."""
         p, q = self.p, self.q
-        left = F.least(*[F.col(x) - F.ceil(F.lit(p) * F.col(x) / q) - F.col(at) for x, at in ((m, mpos), (n, npos))])
-        return (q + p) * (F.col(mpos) + F.col(npos) + 2 + left - 2 * common) <= (q - p) * (F.col(m) + F.col(n))
 
-    def _labelled(self, rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-        if labels is None:
-            return rows.withColumn("label", F.col("k"))
-        return rows.join(labels.select(F.col("node").alias("k"), F.col("label").alias("_l")), "k", "left").withColumn("label", F.coalesce("_l", "k")).drop("_l")
+        def compare(pairs_):
+            a_, b_ = [], []
+            for a, s, b, t in pairs_:
+                if q * min(len(s), len(t)) >= p * max(len(s), len(t)):
+                    common = _common(s, t)
+                    if q * common >= p * (len(s) + len(t) - common):
+                        a_.append(a)
+                        b_.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(a_, pa.int64()), pa.array(b_, pa.int64())], names=["a", "b"])
+
+        return self.met(pairs, compare, "a long, b long")
+
+    def differences(self, pairs: DataFrame) -> DataFrame:
+        """f, x, n, d and items of each pair (a, b): its pivot, member, size, distance and symmetric difference."""
+
+        def differ(pairs_):
+            for at in range(0, len(pairs_), 256):
+                part = pairs_[at : at + 256]
+                items = [np.setxor1d(s, t, assume_unique=True).view(np.int64) for _, s, _, t in part]
+                cols = [pa.array(c, pa.int64()) for c in ([x[0] for x in part], [x[2] for x in part], [len(x[3]) for x in part], [len(i) for i in items])]
+                yield pa.RecordBatch.from_arrays([*cols, _lists(items)], names=["f", "x", "n", "d", "items"])
+
+        return self.met(pairs, differ, "f long, x long, n long, d long, items array<long>")
+
+    def close(self, family: DataFrame) -> DataFrame:
+        """Links (a, b) of members that the triangle inequality alone links through their pivot."""
+        g = ((self.p + self.q) * F.col("d") - (self.q - self.p) * F.col("n")).alias("g")
+        each = family.select("f", "x", g)
+        own = family.select("f").distinct().join(self.sets.select(F.col("k").alias("f"), "n"), "f")
+        each = each.union(own.select("f", F.col("f").alias("x"), (-(self.q - self.p) * F.col("n")).alias("g")))
+        least = each.groupBy("f").agg(F.min(F.struct("g", "x")).alias("l")).select("f", F.col("l.g").alias("lg"), F.col("l.x").alias("a"))
+        return each.join(least, "f").where("g + lg <= 0 AND x <> a").select("a", F.col("x").alias("b")).distinct()
+
+    # regions
 
-    def rest(self, rows: DataFrame, labels: DataFrame | None, last: bool) -> tuple[DataFrame, DataFrame]:
-        """Pairs from different components in regions of up to CAP members, and the pivots s of larger ones.
+    def regions(self, family: DataFrame, root: bool) -> DataFrame:
+        """f, e, x, n, pos: the regions of every member of every family, those with another member.
 
-        A pair needs a region where the shorter is in its narrow window and both places allow r.
-        Pivots of larger regions may hide common shingles, so a node's number of them counts in its favour.
+        family has f, x, n, d (the number of items) and items. Members with more differences of their own than
+        any partner allows are peeled.
         """
         p, q = self.p, self.q
-        rows = self._labelled(rows, labels)
-        each = rows.groupBy("s").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-        open_ = saved(rows.join(each.select("s", "c"), "s"), "jaccard-open")
-        last = last or (open_.where(F.col("c") > self.cap).agg(F.sum("c")).first()[0] or 0) <= PAIRS_PER_SET * self.n_sets
-        large = open_.where(F.lit(False)) if last else open_.where(F.col("c") > self.cap)
-        pivots = saved(large.select("s").distinct(), "jaccard-pivots")
-        hidden = large.groupBy("k").agg(F.count("*").alias("h"))
-        small = open_ if last else open_.where(F.col("c") <= self.cap)
-        small = small.join(hidden, "k", "left").withColumn("h", F.coalesce("h", F.lit(0)))
-        a, b = (small.select("s", *[F.col(x).alias(side + x) for x in ("k", "n", "pos", "label", "h")]) for side in "ab")
-        need = F.ceil(F.lit(p) * (F.col("an") + F.col("bn")) / (p + q))
-        fits = (F.col("apos") <= F.col("an") - need) & (F.col("bpos") <= F.col("bn") - need)
-        met = a.join(b, "s").where("alabel <> blabel AND (an < bn OR (an = bn AND ak < bk))").where(self._sizes("an", "bn"))
-        pairs = met.groupBy("ak", "bk", "an", "bn", "ah", "bh").agg(F.count("*").alias("c"), F.max("apos").alias("apos"), F.max("bpos").alias("bpos"), F.max(fits).alias("fits"))
-        pairs = pairs.where("fits").where(self._may_hold("an", "bn", "apos", "bpos", F.col("c") + F.least("ah", "bh")))
-        return saved(pairs.select(F.col("bk").alias("a"), F.col("ak").alias("b")), "jaccard-candidates"), pivots, open_
-
-    def deal_again(self, rows: DataFrame, pivots: DataFrame, seen: DataFrame) -> DataFrame:
-        """The windows of all nodes of crowded pivots, with all that were seen at the end of the order."""
-        nodes = rows.join(pivots, "s", "left_semi").select("k").distinct()
-        wanted = saved(self.first.join(nodes, "k"), "jaccard-nodes")
-        docs = self.docs.join(self.beside(wanted), "doc")
-        if seen.count() <= BROADCAST_ROWS:
-            return self.windows(docs, self._sorted(seen))
-        width = self.width
-
-        def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for k, t in zip(b.column(0).to_pylist(), b.column(1)):
-                    s = shingle_set(t.as_py(), width)
-                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(np.full(len(s), k, np.int64)), pa.array(np.full(len(s), len(s), np.int32))], names=["s", "k", "n"])
+        most = F.col("n") - F.ceil(F.lit(p) * F.col("n") / q) if root else F.floor(F.lit(q - p) * F.col("n") / p)
+        rows = family.select("f", "x", "n", "d", F.explode("items").alias("e"))
+        count = rows.groupBy("f", "e").agg(F.count("*").alias("c")).where("c > 1")
+        held = rows.join(count, ["f", "e"]).groupBy("f", "x", "n", "d").agg(F.sort_array(F.collect_list(F.struct("c", "e"))).alias("es"))
+        held = held.withColumn("own", F.col("d") - F.size("es")).withColumn("more", (most - F.col("own") + 1).cast("int")).where("more > 0")
+        spread = held.select("f", "x", "n", "own", F.posexplode(F.slice("es", F.lit(1), F.col("more"))).alias("at", "y"))
+        return spread.select("f", F.col("y.e").alias("e"), "x", "n", (F.col("own") + F.col("at")).alias("pos"))
 
-        whole = docs.select("k", "text").mapInArrow(each, "s long, k long, n int")
-        whole = whole.join(seen.withColumn("last", F.lit(1)), "s", "left").withColumn("last", F.coalesce("last", F.lit(0)))
-        order = Window.partitionBy("k").orderBy("last", "s")
-        whole = whole.withColumn("pos", F.row_number().over(order) - 1)
-        return whole.where(F.col("pos") <= F.col("n") - F.ceil(F.lit(self.p) * F.col("n") / self.q)).select("s", "k", "n", "pos")
+    def _labelled(self, rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+        if labels is None:
+            return rows.withColumn("label", F.col("x"))
+        return rows.join(labels.select(F.col("node").alias("x"), F.col("label").alias("_l")), "x", "left").withColumn("label", F.coalesce("_l", "x")).drop("_l")
 
-    def _sorted(self, seen: DataFrame) -> np.ndarray:
-        """Shingles, at most BROADCAST_ROWS of them, as a sorted array."""
-        return np.sort(seen.toPandas()["s"].to_numpy(np.int64).view(np.uint64))
+    def _fits(self, n, m, at, to):
+        """Sizes and places of a pair allow a link: what is before its first common difference is unshared."""
+        p, q = self.p, self.q
+        sizes = q * F.least(n, m) >= p * F.greatest(n, m)
+        return sizes & ((q + p) * (F.col(at) + F.col(to)) <= (q - p) * (F.col(n) + F.col(m)))
+
+    def centres(self, rows: DataFrame, turn: int) -> DataFrame:
+        """f, e and the centre (a, an, apos, alabel) of each region with several components."""
+        key = F.struct(F.floor(F.log2(F.col("n").cast("double"))).alias("size"), F.xxhash64("x", F.lit(turn)).alias("h"), F.col("x").alias("a"), F.col("n").alias("an"), F.col("pos").alias("apos"), F.col("label").alias("alabel"))
+        each = rows.groupBy("f", "e").agg(F.min(key).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        return each.where("lo < hi").select("f", "e", "m.a", "m.an", "m.apos", "m.alabel")
+
+    def star(self, rows: DataFrame, turn: int) -> DataFrame:
+        """Pairs (centre, member) of different components that may link."""
+        met = rows.join(self.centres(rows, turn), ["f", "e"]).where("label <> alabel").where(self._fits("n", "an", "pos", "apos"))
+        return met.select("a", F.col("x").alias("b")).distinct()
+
+    def pairs(self, rows: DataFrame) -> DataFrame:
+        """Pairs of different components that may link, of regions that are compared as they are."""
+        a, b = (rows.select("f", "e", *[F.col(x).alias(side + x) for x in ("x", "n", "pos", "label")]) for side in "ab")
+        met = a.join(b, ["f", "e"]).where("alabel <> blabel AND ax < bx").where(self._fits("an", "bn", "apos", "bpos"))
+        return met.select(F.col("ax").alias("a"), F.col("bx").alias("b")).distinct()
 
     def run(self) -> DataFrame:
         """doc, n_shingles and component (the smallest doc reachable) of every row."""
         members = saved(self.members(), "jaccard-members")
-        self.first = saved(members.where("set IS NOT NULL AND doc IS NOT NULL").groupBy(F.col("set").alias("k")).agg(F.min("doc").alias("doc")), "jaccard-first")
-        self.n_sets = self.first.count() if self.direct else 0
-        links, labels, seen = None, None, self.frequent()
-        rows = self.crowded(self.windows(self.docs, self._sorted(seen)))
-        final, known = False, 0
+        named = members.where("set IS NOT NULL AND doc IS NOT NULL").groupBy(F.col("set").alias("k")).agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("m").alias("m"))
+        counted = saved(self.counted(members.agg(F.sum("n")).first()[0] or 0), "jaccard-counted")
+        unshared = F.col("m") - F.coalesce("c", F.lit(0))
+        live = named.join(counted, "k", "left").where(unshared <= F.col("n") - F.ceil(F.lit(self.p) * F.col("n") / self.q))
+        live = saved(live.select("doc", "k"), "jaccard-live")
+        self.sets = saved(self.sets_of(live), "jaccard-sets")
+        dropped(counted, live)
+        self.labels = None
+        family = self.sets.select(F.lit(0).cast("long").alias("f"), F.col("k").alias("x"), "n", F.col("n").alias("d"), "items")
         for level in range(self.levels):
-            final = final or level == self.levels - 1
-            for turn in range(TURNS):
-                before = links
-                links, labels = self._joined(links, self.star(rows, labels, turn + TURNS * level), labels)
-                if links is before:
-                    break
-                known, new = links.count(), links.count() - known
-                if SHARE * new < known:
-                    break
-            pairs, pivots, open_ = self.rest(rows, labels, final)
-            links, labels = self._joined(links, pairs, labels)
-            if final or not pivots.limit(1).count():
+            rows = saved(self.regions(family, level == 0), "jaccard-regions")
+            if level:
+                dropped(family)
+            family = self._joined(rows, level)
+            dropped(rows)
+            if family is None:
+                break
+        dropped(self.sets)
+        return self._named(members)
+
+    def _joined(self, rows: DataFrame, level: int) -> DataFrame | None:
+        """Joins the regions; returns the families of those that were too large, if any."""
+        for turn in range(TURNS):
+            if not self._compared(self.star(self._labelled(rows, self.labels), turn + TURNS * level)):
                 break
-            new = saved(pivots.join(seen, "s", "left_anti"), "jaccard-pivots")
-            if not new.limit(1).count():  # all that is crowded is at the end already
-                final = True
-                continue
-            seen = saved(seen.union(new), "jaccard-frequent")
-            again = self.crowded(self.deal_again(open_, pivots, seen))
-            dropped(rows, open_, pairs, new)
-            rows = again
-        dropped(rows, open_)
-        return self._named(members, labels)
-
-    def _joined(self, links, pairs, labels):
-        """Links and labels with those of the pairs that hold."""
-        new = self.verified(pairs)
-        if links is not None and not new.limit(1).count():
-            return links, labels
-        both = new if links is None else saved(links.union(new), "jaccard-links")
-        return both, components(both)
-
-    def _named(self, members: DataFrame, labels: DataFrame) -> DataFrame:
-        named = members.join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))
-        named = saved(named.select("doc", "n", "label"), "jaccard-named")
+        rows = self._labelled(rows, self.labels)
+        each = rows.groupBy("f", "e", "label").agg(F.count("*").alias("c")).groupBy("f", "e").agg((F.sum("c") - F.max("c")).alias("minority")).where("minority > 0")
+        rows = saved(rows.join(each, ["f", "e"]), "jaccard-open")
+        large = F.col("minority") > self.cap if level < self.levels - 1 else F.lit(False)
+        family = None
+        if rows.where(large).limit(1).count():
+            wide = rows.where(large)
+            centre = self.centres(wide, TURNS * (level + 1)).select("f", "e", "a")
+            star = saved(wide.join(centre, ["f", "e"]).where("x <> a").select("a", F.col("x").alias("b")).distinct(), "jaccard-families")
+            family = saved(self.differences(star), "jaccard-differences")
+            dropped(star)
+            self._link(self.close(family))
+        self._compared(self.pairs(self._labelled(rows.drop("label"), self.labels).where(~large)))
+        dropped(rows)
+        return family
+
+    def _compared(self, pairs: DataFrame) -> bool:
+        pairs = saved(pairs, "jaccard-pairs")
+        found = bool(pairs.limit(1).count()) and self._link(self.linked(pairs))
+        dropped(pairs)
+        return found
+
+    def _link(self, found: DataFrame) -> bool:
+        """Takes links (a, b) into the labels; whether there were any between two components."""
+        if self.labels is not None:
+            for side in "ab":
+                to = self.labels.select(F.col("node").alias(side), F.col("label").alias("_l"))
+                found = found.join(to, side, "left").withColumn(side, F.coalesce("_l", side)).drop("_l")
+        links = saved(found.where("a <> b").distinct(), "jaccard-links")
+        if not links.limit(1).count():
+            dropped(links)
+            return False
+        moved, old = components(links), self.labels
+        if old is None:
+            self.labels = moved
+            dropped(links)
+            return True
+        to = moved.select(F.col("node").alias("label"), F.col("label").alias("_l"))
+        again = old.join(to, "label", "left").select("node", F.coalesce("_l", "label").alias("label"))
+        self.labels = saved(again.union(moved.join(old, "node", "left_anti").select("node", "label")), "jaccard-labels")
+        dropped(moved, old, links)
+        return True
+
+    def _named(self, members: DataFrame) -> DataFrame:
+        named = members.withColumn("label", F.col("set"))
+        if self.labels is not None:
+            named = members.join(self.labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))
+        named = saved(named.select("doc", "n", F.expr("CASE WHEN doc IS NOT NULL THEN label END").alias("label")), "jaccard-named")
+        dropped(members)
         least = named.where("label IS NOT NULL").groupBy("label").agg(F.min("doc").alias("component"))
         out = named.join(least, "label", "left")
         return out.select("doc", F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component"))
 
 
-def _rows(s, k, n, p) -> pa.RecordBatch:
-    cols = [np.concatenate(s).view(np.int64), np.concatenate(k), np.concatenate(n), np.concatenate(p)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["s", "k", "n", "pos"])
+def _shared(s: np.ndarray, share: int) -> np.ndarray:
+    """The hashes of a sorted set that are in the share."""
+    return s[: np.searchsorted(s, np.uint64(1 << (64 - share)))] if share else s
+
+
+def _common(s: np.ndarray, t: np.ndarray) -> int:
+    """Items that two sorted sets have in common."""
+    if len(s) > len(t):
+        s, t = t, s
+    if not len(s):
+        return 0
+    return int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+
+
+def _lists(items: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, items)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *items])))
+
+
+def _part(bucket: int, kind: int, data: bytes, names: bytes = b"") -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), pa.array([data], pa.binary()), pa.array([names], pa.binary())], names=["bucket", "kind", "data", "names"])
+
+
+def _chunks(batches: Iterable[pa.RecordBatch], most: int, width: int) -> Iterator[tuple[list[np.ndarray], list[int]]]:
+    """Distinct sets and their fingerprints, of as much text as a chunk holds."""
+    sets: dict[int, np.ndarray] = {}
+    size = 0
+    for b in batches:
+        for t in b.column(0):
+            text = t.as_py()
+            s = shingle_set(text, width)
+            if len(s):
+                sets.setdefault(fingerprint(s), s)
+            size += len(text)
+            if size >= most:
+                yield list(sets.values()), list(sets)
+                sets, size = {}, 0
+    yield list(sets.values()), list(sets)
 
 
 def join(docs: DataFrame, **options) -> DataFrame:
@@ -399,8 +471,10 @@ def join(docs: DataFrame, **options) -> DataFrame:
 def keep(docs: DataFrame, **options) -> DataFrame:
     """One row of docs for each component: that of its smallest doc_id; rows without shingles all stay.
 
-    Rows with a null doc_id stay as well, and rows that share the smallest doc_id stay together.
+    Rows with a null doc_id stay as well. Rows that share a doc_id stay or go together: they go if each of them is
+    in the component of a smaller one.
     """
-    gone = saved(join(docs, **options).where("doc_id <> component_id").select("doc_id").distinct(), "jaccard-gone")
+    each = join(docs, **options).groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone"))
+    gone = saved(each.where("gone").select("doc_id"), "jaccard-gone")
     side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     return docs.join(side, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
