@@ -15,6 +15,12 @@ def order(key: str = "series", *more: str) -> Window:
     return Window.partitionBy(key).orderBy("start_us", *(more or ("id",)))
 
 
+def blank(spark, n: int) -> DataFrame:
+    """n blank events, numbered from 1."""
+    empty = F.lit(None).cast("long")
+    return spark.range(1, n + 1).select("id", empty.alias("series"), F.lit("").alias("type"), empty.alias("start_us"), empty.alias("stop_us"))
+
+
 def indexed(df: DataFrame, fs: float) -> DataFrame:
     """Sample indices of both ends: floor(seconds * fs), in whole arithmetic."""
     return df.withColumns({f"idx_{x}": F.expr(f"({x}_us * {int(fs)}L - pmod({x}_us * {int(fs)}L, 1000000L)) div 1000000L") for x in ("start", "stop")})
@@ -45,6 +51,22 @@ def union(df: DataFrame, closed: bool = True) -> DataFrame:
     return islands.groupBy("series", "island").agg(F.min("start_us").alias("start_us"), F.max("stop_us").alias("stop_us"), F.count("*").alias("n"), F.min(F.struct("start_us", "id", "type"))["type"].alias("type"))
 
 
+def resolved(df: DataFrame) -> DataFrame:
+    """Intervals without those that do not end after their start, overlapping and touching ones merged."""
+    return union(df.where("stop_us > start_us"))
+
+
+def warped(points: DataFrame, controls: DataFrame, key: str) -> DataFrame:
+    """points (key, t) with warped: t by linear interpolation between the controls (x to y) of its key.
+
+    Controls at one x count once, with their least y. Points before the first or after the last are left out.
+    """
+    w = Window.partitionBy(key).orderBy("x")
+    c = controls.groupBy(key, "x").agg(F.min("y").alias("y")).withColumns({"nx": F.lead("x").over(w), "ny": F.lead("y").over(w)}).where("nx IS NOT NULL")
+    met = points.join(c, key).where("t >= x AND t < nx")
+    return met.select(key, "t", (F.col("y") + (F.col("ny") - F.col("y")) * ((F.col("t") - F.col("x")) / (F.col("nx") - F.col("x")))).alias("warped"))
+
+
 def _sweep(a: DataFrame, b: DataFrame) -> DataFrame:
     """Segments between neighbouring bounds of two sets of intervals, with what covers them (1, 2 or 3)."""
     bounds = None

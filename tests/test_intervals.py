@@ -21,7 +21,7 @@ def test_gap_of_exactly_the_limit_merges(spark):
 
 def test_nested_interval_splits_a_group_but_not_a_union(spark):
     df = make(spark, (0, 10), (1, 2), (3, 4))
-    assert I.merge_gaps(df, 0).count() == 3
+    assert I.merge_gaps(df, 0).count() == 2
     assert spans(I.union(df)) == [(0, 10)]
 
 
