@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Java and Python character class of a word; the separators are space and U+0009 to U+000D.
@@ -19,9 +19,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; one is set only where none is."""
+    """The folder that the driver and all executors share, spark.checkpoint.dir.
+
+    Only where it is unset and everything runs in one process, as in tests, a folder of this machine takes its place.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="intervalia-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -31,12 +36,18 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: a lineage cut that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._saved_at = path
+    out._saved_at, out._rows = path, seen.get["n"]
     return out
 
 
+def rows_of(df: DataFrame) -> int:
+    """The number of rows; what saved() wrote was counted as it was written."""
+    return df._rows if hasattr(df, "_rows") else df.count()
+
+
 def dropped(*frames: DataFrame) -> None:
     """Deletes what saved() wrote, once nothing reads it any more."""
     for df in frames:

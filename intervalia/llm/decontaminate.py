@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from intervalia.llm.common import saved, text_of
+from intervalia.llm.common import rows_of, saved, text_of
 from intervalia.llm.jaccard_join import BROADCAST_ROWS
 
 #: Edits allowed as a share of the item's length.
@@ -297,6 +297,6 @@ def keep(docs: DataFrame, items: DataFrame, edits: float = EDITS) -> DataFrame:
     """The rows of docs that hold no item, with the columns of docs; rows with a null doc_id are judged
     as one document."""
     found = saved(leaks(docs, items, edits).select("doc_id").distinct().withColumnRenamed("doc_id", "_leak"), "leaks")
-    side = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+    side = F.broadcast(found) if rows_of(found) <= BROADCAST_ROWS else found
     clean = docs.join(side, docs["doc_id"].eqNullSafe(side["_leak"]), "left_anti")
     return clean.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -13,11 +13,12 @@ the bound are alone. What remains are copies, near copies and documents made of
 Pivots and regions. The first pivot is the empty set; every document is its set of differences from it. The
 differences of a family are put in one order, the rarest first. What only one member has comes first of all and
 counts as distance. By the triangle inequality two members within reach have their first common difference in
-the first (q - p) / p * n + 1 places of both, (1 - p/q) * n + 1 below the empty set, and the places before it add
-up to at most the reach of the pair. So every document is replicated to the regions of these differences only.
+the first (q - p) / p * n + 1 places of both, (1 - p/q) * n + 1 below the empty set, and what is before it, with the
+difference of what is left, is at most the reach of the pair. So every document is replicated to the regions of
+these differences only, and only where the members' places leave it a partner.
 
-Recursion. Each region elects a centre, a set of its members that is not much larger than its smallest, and the
-centre is compared with all of them. Regions whose members are one component by now are closed; those with at
+Recursion. Each region elects centres, sets of its members that are not much larger than its smallest, and these
+are compared with all of them. Regions whose members are one component by now are closed; those with at
 most CAP members outside their largest component give their pairs, which are compared exactly. The larger ones
 become families with their centre as pivot (regions with the same centre are one family): a member is now its
 symmetric difference with the pivot. Members so close to the pivot that the triangle inequality alone links them
@@ -49,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from intervalia.llm.common import dropped, saved, text_of
+from intervalia.llm.common import dropped, rows_of, saved, text_of
 from intervalia.llm.graph import components
 from intervalia.llm.packing import GOLDEN, by_bucket, mixed, pack, unpack
 
@@ -58,8 +59,8 @@ WIDTH = 5
 SIMILAR = (3, 4)
 #: Members of a region outside its largest component up to which its pairs are compared.
 CAP = 32
-#: Levels of the recursion, and rounds of centres at each.
-LEVELS, TURNS = 5, 2
+#: Levels of the recursion, and centres that a region elects at each.
+LEVELS, CENTRES = 5, 3
 #: Share of the hash range by which sets are peeled, as a right shift of 64 bits.
 SHARE = 1
 #: Text of a chunk of a task, and shingles for which a bucket is made.
@@ -227,7 +228,7 @@ class JaccardJoin:
 
     def beside(self, side: DataFrame) -> DataFrame:
         """The side, to be broadcast while it has few rows."""
-        return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+        return F.broadcast(side) if rows_of(side) <= BROADCAST_ROWS else side
 
     # comparison
 
@@ -299,10 +300,12 @@ class JaccardJoin:
     # regions
 
     def regions(self, family: DataFrame, root: bool) -> DataFrame:
-        """f, e, x, n, pos: the regions of every member of every family, those with another member.
+        """f, e, x, n, g, reach: the regions of every member of every family, those where it may have a partner.
 
         family has f, x, n, d (the number of items) and items. Members with more differences of their own than
-        any partner allows are peeled.
+        any partner allows are peeled. For members x and y whose first common difference is in the region, with
+        i and j differences before it, D(x, y) is at least i + j + |(d_x - i) - (d_y - j)|; so they are within reach
+        only if g_y <= reach_x and g_x <= reach_y, with g and reach as below.
         """
         p, q = self.p, self.q
         most = F.col("n") - F.ceil(F.lit(p) * F.col("n") / q) if root else F.floor(F.lit(q - p) * F.col("n") / p)
@@ -310,35 +313,40 @@ class JaccardJoin:
         count = rows.groupBy("f", "e").agg(F.count("*").alias("c")).where("c > 1")
         held = rows.join(count, ["f", "e"]).groupBy("f", "x", "n", "d").agg(F.sort_array(F.collect_list(F.struct("c", "e"))).alias("es"))
         held = held.withColumn("own", F.col("d") - F.size("es")).withColumn("more", (most - F.col("own") + 1).cast("int")).where("more > 0")
-        spread = held.select("f", "x", "n", "own", F.posexplode(F.slice("es", F.lit(1), F.col("more"))).alias("at", "y"))
-        return spread.select("f", F.col("y.e").alias("e"), "x", "n", (F.col("own") + F.col("at")).alias("pos"))
-
-    def _labelled(self, rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-        if labels is None:
+        rows = held.select("f", "x", "n", "d", "own", F.posexplode(F.slice("es", F.lit(1), F.col("more"))).alias("at", "y"))
+        sizes = (q - p) * F.col("n")
+        rows = rows.select("f", F.col("y.e").alias("e"), "x", "n", ((q + p) * F.col("d") - sizes).alias("g"), ((q + p) * (F.col("d") - 2 * (F.col("own") + F.col("at"))) + sizes).alias("reach"))
+        each = rows.groupBy("f", "e").agg(F.count("*").alias("c"), F.min("g").alias("lo"), F.max("reach").alias("hi")).where("c > 1")
+        return rows.join(each, ["f", "e"]).where("g <= hi AND reach >= lo").select("f", "e", "x", "n", "g", "reach")
+
+    def _labelled(self, rows: DataFrame) -> DataFrame:
+        if self.labels is None:
             return rows.withColumn("label", F.col("x"))
-        return rows.join(labels.select(F.col("node").alias("x"), F.col("label").alias("_l")), "x", "left").withColumn("label", F.coalesce("_l", "x")).drop("_l")
-
-    def _fits(self, n, m, at, to):
-        """Sizes and places of a pair allow a link: what is before its first common difference is unshared."""
-        p, q = self.p, self.q
-        sizes = q * F.least(n, m) >= p * F.greatest(n, m)
-        return sizes & ((q + p) * (F.col(at) + F.col(to)) <= (q - p) * (F.col(n) + F.col(m)))
-
-    def centres(self, rows: DataFrame, turn: int) -> DataFrame:
-        """f, e and the centre (a, an, apos, alabel) of each region with several components."""
-        key = F.struct(F.floor(F.log2(F.col("n").cast("double"))).alias("size"), F.xxhash64("x", F.lit(turn)).alias("h"), F.col("x").alias("a"), F.col("n").alias("an"), F.col("pos").alias("apos"), F.col("label").alias("alabel"))
-        each = rows.groupBy("f", "e").agg(F.min(key).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-        return each.where("lo < hi").select("f", "e", "m.a", "m.an", "m.apos", "m.alabel")
-
-    def star(self, rows: DataFrame, turn: int) -> DataFrame:
+        return rows.join(self.labels.select(F.col("node").alias("x"), F.col("label").alias("_l")), "x", "left").withColumn("label", F.coalesce("_l", "x")).drop("_l")
+
+    def _fits(self, a: str, b: str):
+        """Sizes and places of the pair of the columns with these prefixes allow a link."""
+        n, m = F.col(a + "n"), F.col(b + "n")
+        sizes = self.q * F.least(n, m) >= self.p * F.greatest(n, m)
+        return sizes & (F.col(a + "g") <= F.col(b + "reach")) & (F.col(b + "g") <= F.col(a + "reach"))
+
+    def centres(self, rows: DataFrame, level: int, number: int) -> DataFrame:
+        """f, e and centres (a, an, ag, areach, alabel) of each region with several components, so many for each."""
+        of = [F.col(c).alias("a" + ("" if c == "x" else c)) for c in ("x", "n", "g", "reach", "label")]
+        key = lambda k: F.struct(F.floor(F.log2(F.col("n").cast("double"))).alias("size"), F.xxhash64("x", F.lit(k)).alias("h"), F.struct(*of).alias("c"))
+        least = F.array(*[F.min(key(k + number * level))["c"] for k in range(number)])
+        each = rows.groupBy("f", "e").agg(least.alias("cs"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        return each.where("lo < hi").select("f", "e", F.inline("cs")).distinct()
+
+    def star(self, rows: DataFrame, level: int) -> DataFrame:
         """Pairs (centre, member) of different components that may link."""
-        met = rows.join(self.centres(rows, turn), ["f", "e"]).where("label <> alabel").where(self._fits("n", "an", "pos", "apos"))
-        return met.select("a", F.col("x").alias("b")).distinct()
+        met = rows.join(self.centres(rows, level, CENTRES), ["f", "e"]).where("label <> alabel").where(self._fits("", "a"))
+        return met.select(F.least("a", "x").alias("a"), F.greatest("a", "x").alias("b")).distinct()
 
     def pairs(self, rows: DataFrame) -> DataFrame:
         """Pairs of different components that may link, of regions that are compared as they are."""
-        a, b = (rows.select("f", "e", *[F.col(x).alias(side + x) for x in ("x", "n", "pos", "label")]) for side in "ab")
-        met = a.join(b, ["f", "e"]).where("alabel <> blabel AND ax < bx").where(self._fits("an", "bn", "apos", "bpos"))
+        a, b = (rows.select("f", "e", *[F.col(x).alias(side + x) for x in ("x", "n", "g", "reach", "label")]) for side in "ab")
+        met = a.join(b, ["f", "e"]).where("alabel <> blabel AND ax < bx").where(self._fits("a", "b"))
         return met.select(F.col("ax").alias("a"), F.col("bx").alias("b")).distinct()
 
     def run(self) -> DataFrame:
@@ -366,28 +374,27 @@ class JaccardJoin:
 
     def _joined(self, rows: DataFrame, level: int) -> DataFrame | None:
         """Joins the regions; returns the families of those that were too large, if any."""
-        for turn in range(TURNS):
-            if not self._compared(self.star(self._labelled(rows, self.labels), turn + TURNS * level)):
-                break
-        rows = self._labelled(rows, self.labels)
+        self._compared(self.star(self._labelled(rows), level))
+        rows = self._labelled(rows)
         each = rows.groupBy("f", "e", "label").agg(F.count("*").alias("c")).groupBy("f", "e").agg((F.sum("c") - F.max("c")).alias("minority")).where("minority > 0")
         rows = saved(rows.join(each, ["f", "e"]), "jaccard-open")
         large = F.col("minority") > self.cap if level < self.levels - 1 else F.lit(False)
         family = None
-        if rows.where(large).limit(1).count():
+        if rows_of(rows) and not rows.where(large).isEmpty():
             wide = rows.where(large)
-            centre = self.centres(wide, TURNS * (level + 1)).select("f", "e", "a")
+            centre = self.centres(wide, self.levels, 1).select("f", "e", "a")
             star = saved(wide.join(centre, ["f", "e"]).where("x <> a").select("a", F.col("x").alias("b")).distinct(), "jaccard-families")
             family = saved(self.differences(star), "jaccard-differences")
             dropped(star)
             self._link(self.close(family))
-        self._compared(self.pairs(self._labelled(rows.drop("label"), self.labels).where(~large)))
+        if rows_of(rows):
+            self._compared(self.pairs(self._labelled(rows.drop("label")).where(~large)))
         dropped(rows)
         return family
 
     def _compared(self, pairs: DataFrame) -> bool:
         pairs = saved(pairs, "jaccard-pairs")
-        found = bool(pairs.limit(1).count()) and self._link(self.linked(pairs))
+        found = rows_of(pairs) > 0 and self._link(self.linked(pairs))
         dropped(pairs)
         return found
 
@@ -398,7 +405,7 @@ class JaccardJoin:
                 to = self.labels.select(F.col("node").alias(side), F.col("label").alias("_l"))
                 found = found.join(to, side, "left").withColumn(side, F.coalesce("_l", side)).drop("_l")
         links = saved(found.where("a <> b").distinct(), "jaccard-links")
-        if not links.limit(1).count():
+        if not rows_of(links):
             dropped(links)
             return False
         moved, old = components(links), self.labels
@@ -476,5 +483,5 @@ def keep(docs: DataFrame, **options) -> DataFrame:
     """
     each = join(docs, **options).groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("gone"))
     gone = saved(each.where("gone").select("doc_id"), "jaccard-gone")
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    side = F.broadcast(gone) if rows_of(gone) <= BROADCAST_ROWS else gone
     return docs.join(side, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
