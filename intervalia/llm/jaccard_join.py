@@ -331,10 +331,15 @@ class JaccardJoin:
         return sizes & (F.col(a + "g") <= F.col(b + "reach")) & (F.col(b + "g") <= F.col(a + "reach"))
 
     def centres(self, rows: DataFrame, level: int, number: int) -> DataFrame:
-        """f, e and centres (a, an, ag, areach, alabel) of each region with several components, so many for each."""
-        of = [F.col(c).alias("a" + ("" if c == "x" else c)) for c in ("x", "n", "g", "reach", "label")]
-        key = lambda k: F.struct(F.floor(F.log2(F.col("n").cast("double"))).alias("size"), F.xxhash64("x", F.lit(k)).alias("h"), F.struct(*of).alias("c"))
-        least = F.array(*[F.min(key(k + number * level))["c"] for k in range(number)])
+        """f, e and centres (a, an, ag, areach, alabel) of each region with several components, so many for each.
+
+        The first is the member with the least differences of its own, which is the nearest to what a group of copies
+        was made from; the others are drawn by hash.
+        """
+        of = F.struct(*[F.col(c).alias("a" + ("" if c == "x" else c)) for c in ("x", "n", "g", "reach", "label")]).alias("c")
+        before = 2 * (self.q - self.p) * F.col("n") + F.col("g") - F.col("reach")  # grows with its place
+        by = [before, *[F.xxhash64("x", F.lit(k + number * level)) for k in range(1, number)]]
+        least = F.array(*[F.min(F.struct(F.floor(F.log2(F.col("n").cast("double"))).alias("size"), x.alias("h"), of))["c"] for x in by])
         each = rows.groupBy("f", "e").agg(least.alias("cs"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         return each.where("lo < hi").select("f", "e", F.inline("cs")).distinct()
 
@@ -343,6 +348,17 @@ class JaccardJoin:
         met = rows.join(self.centres(rows, level, CENTRES), ["f", "e"]).where("label <> alabel").where(self._fits("", "a"))
         return met.select(F.least("a", "x").alias("a"), F.greatest("a", "x").alias("b")).distinct()
 
+    def unsettled(self, rows: DataFrame) -> DataFrame:
+        """The rows of regions with several components whose places leave them a partner in another one.
+
+        For members of a region's largest component the others are known by their extremes, for the others all are.
+        """
+        own = rows.groupBy("f", "e", "label").agg(F.count("*").alias("c"), F.min("g").alias("lo"), F.max("reach").alias("hi"))
+        all_ = own.groupBy("f", "e").agg(F.max(F.struct("c", "label"))["label"].alias("major"), F.min("lo").alias("alo"), F.max("hi").alias("ahi"), F.count("*").alias("k")).where("k > 1")
+        rest = own.join(all_.select("f", "e", "major"), ["f", "e"]).where("label <> major").groupBy("f", "e").agg(F.min("lo").alias("olo"), F.max("hi").alias("ohi"))
+        met = rows.join(all_.join(rest, ["f", "e"]), ["f", "e"])
+        return met.where("CASE WHEN label = major THEN g <= ohi AND reach >= olo ELSE g <= ahi AND reach >= alo END").select("f", "e", "x", "n", "g", "reach", "label")
+
     def pairs(self, rows: DataFrame) -> DataFrame:
         """Pairs of different components that may link, of regions that are compared as they are."""
         a, b = (rows.select("f", "e", *[F.col(x).alias(side + x) for x in ("x", "n", "g", "reach", "label")]) for side in "ab")
@@ -375,9 +391,13 @@ class JaccardJoin:
     def _joined(self, rows: DataFrame, level: int) -> DataFrame | None:
         """Joins the regions; returns the families of those that were too large, if any."""
         self._compared(self.star(self._labelled(rows), level))
-        rows = self._labelled(rows)
-        each = rows.groupBy("f", "e", "label").agg(F.count("*").alias("c")).groupBy("f", "e").agg((F.sum("c") - F.max("c")).alias("minority")).where("minority > 0")
-        rows = saved(rows.join(each, ["f", "e"]), "jaccard-open")
+        rows = saved(self.unsettled(self._labelled(rows)), "jaccard-open")
+        if not rows_of(rows):
+            dropped(rows)
+            return None
+        each = rows.groupBy("f", "e", "label").agg(F.count("*").alias("c")).groupBy("f", "e").agg((F.sum("c") - F.max("c")).alias("minority"))
+        rows, first = saved(rows.join(each, ["f", "e"]).where("minority > 0"), "jaccard-open"), rows
+        dropped(first)
         large = F.col("minority") > self.cap if level < self.levels - 1 else F.lit(False)
         family = None
         if rows_of(rows) and not rows.where(large).isEmpty():
