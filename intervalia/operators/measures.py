@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from intervalia.operators import tiles
+
 
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
@@ -15,10 +17,8 @@ def euclidean(a: Column, b: Column) -> Column:
 
 
 def pairs(vectors: DataFrame) -> DataFrame:
-    """i < j, Euclidean distance and labels of all pairs; the smaller side is broadcast only if Spark finds it small."""
-    a = vectors.select(F.col("vec_id").alias("i"), F.col("v").alias("a"), F.col("label").alias("li"))
-    b = vectors.select(F.col("vec_id").alias("j"), F.col("v").alias("b"), F.col("label").alias("lj"))
-    return a.join(b, F.col("i") < F.col("j")).select("i", "j", "li", "lj", euclidean(F.col("a"), F.col("b")).alias("d"))
+    """i < j, Euclidean distance and labels of all pairs, in tiles."""
+    return tiles.pairs(vectors, tiles.euclidean)
 
 
 def symmetric(edges: DataFrame) -> DataFrame:

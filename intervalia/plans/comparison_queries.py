@@ -12,6 +12,7 @@ from intervalia.operators import intervals as I
 from intervalia.operators import measures as X
 from intervalia.operators.rangejoin import points_in
 from intervalia.plans.interval_queries import PARENT, _parents
+from intervalia.operators.offsets import slid
 from intervalia.plans.registry import query
 from intervalia.plans.signal_queries import CENTRAL, PT, RANKED, TRAIN, by_frame, central, ranked, train
 from intervalia.sources.fixtures import frames, intervals, points, table, vectors, with_
@@ -22,46 +23,27 @@ R = F.round
 # offsets: a template of 32 frames slid over 64
 
 OFFSETS = VE + ", o AS (SELECT a.vec_id AS i, b.vec_id AS j, a.label AS li, b.label AS lj, unnest(range(1, 34)) AS o, a.v[1:32] AS x, b.v AS y FROM ve a JOIN ve b ON {on}), c AS (SELECT i, j, li, lj, o, list_cosine_similarity(x, y[o:o + 31]) AS c, list_distance(x, y[o:o + 31]) AS d FROM o)"
-TEMPLATES = OFFSETS.format(on="a.vec_id % 20 = 0")
+TEMPLATES = OFFSETS.format(on="true")
 
 
 def dot(s, t):
     return X.total(F.zip_with(s, t, lambda u, w: u * w))
 
 
-def cosine(o):
-    y = F.slice("y", o, F.lit(32))
-    return dot(F.col("x"), y) / F.sqrt(dot(F.col("x"), F.col("x")) * dot(y, y))
-
-
-def slid(pairs):
-    """c: the cosine at each offset."""
-    return pairs.withColumn("c", F.transform(F.sequence(F.lit(1), F.lit(33)), cosine))
-
-
-def templates(spark, d):
-    v = vectors(spark, d)
-    a = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("i"), F.col("label").alias("li"), F.slice("v", 1, 32).alias("x"))
-    return v.select(F.col("vec_id").alias("j"), F.col("label").alias("lj"), F.col("v").alias("y")).crossJoin(a)
-
-
 @query("p08_sliding_distance", TEMPLATES + " SELECT i, j, round(min(d) / 32, 6) AS d FROM c GROUP BY i, j")
 def p08(spark, d):
-    at = lambda o: X.euclidean(F.col("x"), F.slice("y", o, F.lit(32)))
-    return templates(spark, d).select("i", "j", R(F.array_min(F.transform(F.sequence(F.lit(1), F.lit(33)), at)) / 32, 6).alias("d"))
+    return slid(vectors(spark, d)).select("i", "j", R(F.col("distance") / 32, 6).alias("d"))
 
 
 @query("p10_mean_and_best_offset", TEMPLATES + " SELECT i, j, round(avg(c), 6) AS mean, CASE WHEN i = j THEN 1 ELSE round(max(c), 6) END AS best FROM c GROUP BY i, j")
 def p10(spark, d):
-    x = slid(templates(spark, d))
-    return x.select("i", "j", R(X.total(F.col("c")) / 33, 6).alias("mean"), F.when(F.col("i") == F.col("j"), 1.0).otherwise(R(F.array_max("c"), 6)).alias("best"))
+    x = slid(vectors(spark, d))
+    return x.select("i", "j", R("mean", 6).alias("mean"), F.when(F.col("i") == F.col("j"), 1.0).otherwise(R("most", 6)).alias("best"))
 
 
 @query("p11_within_parent", OFFSETS.format(on="a.label = b.label AND a.vec_id < b.vec_id") + ", b AS (SELECT li AS label, i, j, round(max(c), 6) AS best FROM c GROUP BY 1, 2, 3) SELECT label, i, j, best, round(percent_rank() OVER (PARTITION BY label ORDER BY best), 9) AS place FROM b")
 def p11(spark, d):
-    v = vectors(spark, d)
-    a = v.select("label", F.col("vec_id").alias("i"), F.slice("v", 1, 32).alias("x"))
-    b = slid(v.select("label", F.col("vec_id").alias("j"), F.col("v").alias("y")).join(a, "label").where("i < j")).select("label", "i", "j", R(F.array_max("c"), 6).alias("best"))
+    b = slid(vectors(spark, d)).where("li = lj AND i < j").select(F.col("li").alias("label"), "i", "j", R("most", 6).alias("best"))
     return b.withColumn("place", R(F.percent_rank().over(Window.partitionBy("label").orderBy("best")), 9))
 
 
@@ -73,8 +55,7 @@ def p12(spark, d):
 
 @query("p14_offset_reductions", TEMPLATES + " SELECT i, j, round(avg(c), 6) AS mean, round(max(c), 6) AS most, round(min(c), 6) AS least, round(median(c), 6) AS median, round(sqrt(avg(c * c)), 6) AS rms FROM c GROUP BY i, j")
 def p14(spark, d):
-    x = slid(templates(spark, d))
-    return x.select("i", "j", R(X.total(F.col("c")) / 33, 6).alias("mean"), R(F.array_max("c"), 6).alias("most"), R(F.array_min("c"), 6).alias("least"), R(F.element_at(F.sort_array("c"), 17), 6).alias("median"), R(F.sqrt(dot(F.col("c"), F.col("c")) / 33), 6).alias("rms"))
+    return slid(vectors(spark, d)).select("i", "j", *[R(c, 6).alias(c) for c in ("mean", "most", "least", "median", "rms")])
 
 
 @query("p17_silence_pattern", FR + ", b AS (SELECT vec_id, k, (x > 0)::INT AS b FROM fr), m AS (SELECT p.vec_id, p.k - t.k AS o, avg((p.b <> t.b)::INT) AS d FROM b p JOIN b t ON t.vec_id = 0 AND t.k <= 16 AND p.k - t.k BETWEEN 0 AND 48 GROUP BY 1, 2) SELECT vec_id, round(min(d), 6) AS distance FROM m GROUP BY 1")
@@ -88,7 +69,7 @@ def p17(spark, d):
 
 # ranks
 
-@query("f02_rank_lookup", TRAIN + ", e AS (SELECT round(d, 6) AS d FROM pr), mx AS (SELECT max(d) AS m FROM e), bins AS (SELECT unnest(range(0, (SELECT floor(m * 4)::BIGINT + 1 FROM mx))) AS b), n AS (SELECT floor(d * 4)::BIGINT AS b, count(*) AS n FROM e GROUP BY 1), g AS (SELECT b, sum(coalesce(n, 0)) OVER (ORDER BY b) AS c, coalesce(n, 0) AS n, sum(coalesce(n, 0)) OVER () AS a FROM bins LEFT JOIN n USING (b)), q AS (SELECT i, j, round(d * 1.25, 6) AS d FROM sy WHERE i % 20 = 0) SELECT i, j, round(CASE WHEN d > m THEN d / m ELSE (c - n + n * (d * 4 - b)) / a END, 6) AS p FROM q CROSS JOIN mx LEFT JOIN g ON b = floor(d * 4)::BIGINT")
+@query("f02_rank_lookup", TRAIN + ", e AS (SELECT round(d, 6) AS d FROM pr), mx AS (SELECT max(d) AS m FROM e), bins AS (SELECT unnest(range(0, (SELECT floor(m * 4)::BIGINT + 1 FROM mx))) AS b), n AS (SELECT floor(d * 4)::BIGINT AS b, count(*) AS n FROM e GROUP BY 1), g AS (SELECT b, sum(coalesce(n, 0)) OVER (ORDER BY b) AS c, coalesce(n, 0) AS n, sum(coalesce(n, 0)) OVER () AS a FROM bins LEFT JOIN n USING (b)), q AS (SELECT i, j, round(d * 1.25, 6) AS d FROM sy) SELECT i, j, round(CASE WHEN d > m THEN d / m ELSE (c - n + n * (d * 4 - b)) / a END, 6) AS p FROM q CROSS JOIN mx LEFT JOIN g ON b = floor(d * 4)::BIGINT")
 def f02(spark, d):
     """New distances looked up in the empirical distribution of all pairs, kept at quarters; beyond its end, over the largest."""
     pr = X.pairs(train(spark, d))
@@ -98,7 +79,7 @@ def f02(spark, d):
     bins = mx.select(F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("m") * 4))).alias("b"))
     g = bins.join(n, "b", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     g = g.select("b", "n", F.sum("n").over(Window.orderBy("b")).alias("c"), F.sum("n").over(Window.partitionBy()).alias("a"))
-    q = X.symmetric(pr).where("i % 20 = 0").select("i", "j", R(F.col("d") * 1.25, 6).alias("d")).withColumn("b", F.floor(F.col("d") * 4))
+    q = X.symmetric(pr).select("i", "j", R(F.col("d") * 1.25, 6).alias("d")).withColumn("b", F.floor(F.col("d") * 4))
     x = q.join(g, "b", "left").crossJoin(F.broadcast(mx))
     p = F.when(F.col("d") > F.col("m"), F.col("d") / F.col("m")).otherwise((F.col("c") - F.col("n") + F.col("n") * (F.col("d") * 4 - F.col("b"))) / F.col("a"))
     return x.select("i", "j", R(p, 6).alias("p"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from intervalia.operators import intervals as I
 from intervalia.operators import measures as X
+from intervalia.operators.offsets import slid
 from intervalia.operators.rangejoin import points_in
 from intervalia.plans.registry import query
 from intervalia.sources.fixtures import frames, intervals, points, table, vectors, with_
@@ -173,7 +174,7 @@ def a17(spark, d):
     return table(spark, d, "lineitem").groupBy(F.col("l_linestatus").alias("status")).agg(F.count("*").alias("n"), R(F.avg("l_discount"), 6).alias("mean"), R(F.stddev_samp("l_discount") / F.sqrt(F.count("*")), 9).alias("sem"))
 
 
-# distances, ranks, clusters (the first 200 vectors, a fixed training set)
+# distances, ranks, clusters, over all vectors
 
 TRAIN = "WITH ve AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings), pr AS (SELECT a.vec_id AS i, b.vec_id AS j, a.label AS li, b.label AS lj, list_distance(a.v, b.v) AS d FROM ve a JOIN ve b ON a.vec_id < b.vec_id), sy AS (SELECT i, j, li, lj, d FROM pr UNION ALL SELECT j, i, lj, li, d FROM pr)"
 
@@ -195,21 +196,17 @@ def p02(spark, d):
     return p.crossJoin(F.broadcast(p.agg(F.max("d").alias("most")))).select("i", "j", R(F.col("d") / F.col("most"), 6).alias("d"))
 
 
-@query("p03_templates_by_items", VE + " SELECT t.vec_id AS template, i.vec_id AS item, round(list_distance(t.v, i.v), 6) AS d FROM ve t JOIN ve i ON t.vec_id % 20 = 0")
+@query("p03_templates_by_items", VE + " SELECT t.vec_id AS template, i.vec_id AS item, round(list_distance(t.v, i.v), 6) AS d FROM ve t JOIN ve i ON true")
 def p03(spark, d):
-    v = vectors(spark, d)
-    t = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("template"), F.col("v").alias("t"))
-    return v.crossJoin(F.broadcast(t)).select("template", F.col("vec_id").alias("item"), R(X.euclidean(F.col("t"), F.col("v")), 6).alias("d"))
+    p = X.pairs(vectors(spark, d)).select("i", "j", "d")
+    own = vectors(spark, d).select(F.col("vec_id").alias("template"), F.col("vec_id").alias("item"), F.lit(0.0).alias("d"))
+    both = p.select(F.col("i").alias("template"), F.col("j").alias("item"), R("d", 6).alias("d")).union(p.select("j", "i", R("d", 6)))
+    return both.union(own)
 
 
-@query("p09_sliding_cosine", VE + ", o AS (SELECT a.vec_id AS i, b.vec_id AS j, unnest(range(1, 34)) AS o, a.v[1:32] AS x, b.v AS y FROM ve a JOIN ve b ON a.vec_id % 20 = 0) SELECT i, j, round(max(list_cosine_similarity(x, y[o:o + 31])), 6) AS best FROM o GROUP BY i, j")
+@query("p09_sliding_cosine", VE + ", o AS (SELECT a.vec_id AS i, b.vec_id AS j, unnest(range(1, 34)) AS o, a.v[1:32] AS x, b.v AS y FROM ve a JOIN ve b ON true) SELECT i, j, round(max(list_cosine_similarity(x, y[o:o + 31])), 6) AS best FROM o GROUP BY i, j")
 def p09(spark, d):
-    v = vectors(spark, d)
-    a = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("i"), F.slice("v", 1, 32).alias("x"))
-    p = v.select(F.col("vec_id").alias("j"), F.col("v").alias("y")).crossJoin(F.broadcast(a))
-    dot = lambda s, t: X.total(F.zip_with(s, t, lambda u, w: u * w))
-    cosine = lambda o: dot(F.col("x"), F.slice("y", o, F.lit(32))) / F.sqrt(dot(F.col("x"), F.col("x")) * dot(F.slice("y", o, F.lit(32)), F.slice("y", o, F.lit(32))))
-    return p.select("i", "j", R(F.array_max(F.transform(F.sequence(F.lit(1), F.lit(33)), cosine)), 6).alias("best"))
+    return slid(vectors(spark, d)).select("i", "j", R("most", 6).alias("best"))
 
 
 @query("p13_correlation_distance", TRAIN + ", f AS (SELECT i, j, d FROM sy UNION ALL SELECT vec_id, vec_id, 0 FROM ve) SELECT a.i AS i, b.i AS j, round(1 - corr(a.d, b.d), 6) AS d FROM f a JOIN f b ON a.j = b.j AND a.i < b.i GROUP BY a.i, b.i")

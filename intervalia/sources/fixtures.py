@@ -35,6 +35,16 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.withColumn("k", F.col("k") + 1)
 
 
+#: Samples a second of the signals.
+FS = 1000.0
+
+
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sid, x: runs of eight vectors as one signal of 512 samples; the last may be shorter."""
+    v = vectors(spark, sf_dir).where("v IS NOT NULL").withColumn("sid", F.floor(F.col("vec_id") / 8))
+    return v.groupBy("sid").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "v"))), lambda s: s["v"])).alias("x"))
+
+
 #: The same in SQL.
 SQL = {
     "iv": "iv AS (SELECT event_id AS id, user_id AS series, event_type AS type, epoch_us(ts) AS start_us, epoch_us(ts) + CAST(round(value * 60e6) AS BIGINT) AS stop_us FROM events)",
