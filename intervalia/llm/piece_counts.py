@@ -6,7 +6,9 @@ next byte, the greedy longest pieces of what was read are known to end there, an
 link. A word is read once, byte by byte, and only counted: no piece is built.
 
 Words are `[^\\x20\\x09-\\x0D]+`, their pieces are over UTF-8 bytes. A word that no sequence of pieces
-covers counts as one unknown piece. Null and blank texts count 0. Pieces with a word-end mark match at the
+covers counts as one unknown piece. Null, blank and empty texts count 0, very long ones are read whole, one batch at a
+time. Every row is counted by itself, repeated ones too; null doc_ids stay null; an empty table gives no rows; other
+columns are not read, whatever their names. Pieces with a word-end mark match at the
 end of a word alone, and the others never there.
 """
 
@@ -17,6 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from intervalia.llm.common import text_of
 
@@ -157,4 +160,4 @@ def counts(docs: DataFrame, vocabulary: str, lower: bool = True) -> DataFrame:
                     known.clear()
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_pieces, pa.int64())], names=["doc_id", "n_words", "n_pieces"])
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(count, "doc_id long, n_words long, n_pieces long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(count, "doc_id long, n_words long, n_pieces long")

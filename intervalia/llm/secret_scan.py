@@ -10,7 +10,10 @@ Patterns find candidates; a candidate of the added kinds is reported only when i
     ssh   base64 of the wire format of an SSH key: length-prefixed fields, the first a key type, or of the
           openssh-key-v1 container, whose public keys have that format
 The base kinds assign, access and hex follow their patterns alone. Offsets are code points, ends
-exclusive. Null texts have no secrets; extra columns are left alone.
+exclusive. Spans of the added kinds may lie inside those of the base kinds; at one start the kinds follow the order
+of KINDS. Null and empty texts have no secrets; very long texts are searched whole, one at a time; rows that share a
+doc_id, or are the same, are searched each by itself and returned each; null doc_ids stay null; an empty table gives
+no rows. Columns beside the key and the text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from intervalia.llm.common import text_of
 
@@ -59,7 +63,7 @@ def is_jwt(s: str) -> bool:
         return False
     try:
         head, body = (json.loads(unbase64(p) or b"") for p in parts[:2])
-    except (ValueError, UnicodeDecodeError):
+    except (ValueError, RecursionError):  # nesting beyond any token's
         return False
     return isinstance(head, dict) and isinstance(body, dict) and isinstance(head.get("alg"), str)
 
@@ -188,17 +192,43 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+#: Base64 of the first bytes of a DER sequence and of an SSH key or container, and of hex of the former.
+STARTS = re.compile(r"M[A-Za-z]|AAAA|b3Bl|30[0-9a-fA-F]{2}")
+
+
+def _declares(s: str) -> bool:
+    """Whether the head of a key allows it to end with s: a look at a few bytes, before all of it is decoded."""
+    if s.startswith(("AAAA", "b3Bl")):
+        return True
+    hexed = re.fullmatch(r"[0-9a-fA-F]+", s) if s[0] in "0123456789abcdefABCDEF" else None
+    head, have = (bytes.fromhex(s[:12]), len(s) // 2) if hexed else (unbase64(s[:8]), len(s.rstrip("=")) * 3 // 4)
+    if not head or head[0] != 0x30:
+        return False
+    k = head[1] & 0x7F if head[1] & 0x80 else 0
+    return k <= 4 and (int.from_bytes(head[2 : 2 + k], "big") + 2 + k if k else head[1] + 2) == have
+
+
 def _key_spans(s: str, at: int) -> list[tuple[str, int, int]]:
-    """DER and SSH keys in a run without web tokens that begins at `at`."""
+    """DER and SSH keys in a run without web tokens that begins at `at`; what is before a separator may be a name."""
     out = []
     lead = len(s) - len(s.lstrip(".=-_/+"))
     at += lead
     for part in re.split(r"([.]|(?<==)(?=[^=]))", s[lead:]):
         if part and len(part) >= 32:
-            raw = bytes.fromhex(part) if len(part) % 2 == 0 and re.fullmatch(r"[0-9a-fA-F]+", part) else unbase64(part)
-            kind = "der" if is_der(raw) else "ssh" if is_ssh(raw) else None
-            if kind:
-                out.append((kind, at, at + len(part)))
+            cuts = [0, *[m.end() for m in re.finditer(r"[-_/+]+", part)]]
+            for cut in cuts:
+                if len(part) - cut < 32:
+                    break
+                if cut and not STARTS.match(part, cut):
+                    continue
+                own = part[cut:]
+                if cut and not _declares(own):
+                    continue
+                raw = bytes.fromhex(own) if len(own) % 2 == 0 and re.fullmatch(r"[0-9a-fA-F]+", own) else unbase64(own)
+                kind = "der" if is_der(raw) else "ssh" if is_ssh(raw) else None
+                if kind:
+                    out.append((kind, at + cut, at + len(part)))
+                    break
         at += len(part or "")
     return out
 
@@ -216,7 +246,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             cols = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()))], names=[key, "kind", "start", "end", "found"])
 
-    return docs.select(key, text_of(text).alias(text)).mapInArrow(find, f"{key} long, kind string, start long, end long, found string")
+    return docs.select(F.col(key).cast("long").alias(key), text_of(text).alias(text)).mapInArrow(find, f"{key} long, kind string, start long, end long, found string")
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -236,4 +266,4 @@ def digests(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long"
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(find, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(find, schema)
