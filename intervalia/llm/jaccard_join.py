@@ -64,7 +64,7 @@ LEVELS, CENTRES = 5, 3
 #: Share of the hash range by which sets are peeled, as a right shift of 64 bits.
 SHARE = 1
 #: Text of a chunk of a task, and shingles for which a bucket is made.
-CHUNK_BYTES, BUCKET_ROWS = 24 << 20, 1 << 21
+CHUNK_BYTES, BUCKET_ROWS = 8 << 20, 1 << 20
 BROADCAST_ROWS = 1_000_000
 #: Sets that are compared with one set in one task.
 SQUARE = 1024
