@@ -12,17 +12,21 @@ A byte goes if a string of LENGTH bytes that covers it also starts in a document
    sorted directly; the larger ones are induced by a scan of the buckets of first bytes from left to
    right. Adjacent common prefixes of LENGTH bytes or more make the classes of equal strings, and every
    member of a class after its smallest document is removed.
+   A minimiser that is in HOT documents or more, such as one of a line that every document has, would be one
+   group for one task. Its windows are dealt by their own 128-bit hashes instead, after each task has settled
+   equal ones, so that even a window that is everywhere is one row for each chunk.
 4. The removed intervals of a document are united and cut out.
 
-Null texts are empty; matches never cross documents. Rows with a null doc_id neither remove nor lose
-anything. Rows that share a doc_id do not remove from one another. Exact copies in one chunk are settled
-whole. Sides are broadcast only after a check that they hold at most BROADCAST_BYTES.
+Null texts are empty, and empty and short texts lose nothing; very long ones are cut as others are. Matches never cross
+documents. Rows with a null doc_id neither remove nor lose anything. Rows that share a doc_id do not remove from one
+another; repeated rows are returned each. Exact copies in one chunk are settled whole. An empty table gives no rows.
+Other columns are not read, whatever their names. Sides are broadcast only after a check that they hold at most
+BROADCAST_BYTES, and hot minimisers are at most HOT_MOST by their definition.
 """
 
 from __future__ import annotations
 
 import hashlib
-import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,45 +36,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from intervalia.llm.common import dropped, saved, text_of
-from intervalia.llm.jaccard_join import mixed
+from intervalia.llm.packing import by_bucket, mixed, pack, unpack
 
 LENGTH = 50
 K = 20
 #: Text hashed at once, text of a chunk, and text for which a bucket is made.
 BLOCK_BYTES, CHUNK_BYTES, BUCKET_BYTES = 1 << 20, 32 << 20, 16 << 20
 BROADCAST_BYTES = 64 << 20
+#: Documents that make a minimiser hot, documents of a chunk from which on it is counted, and hot ones at most.
+HOT, HOT_CHUNK, HOT_MOST = 20_000, 8, 1 << 20
 #: Text that is suffix-sorted at once.
 SORT_BYTES = 1 << 20
 SEPARATOR = 0xFF  # never part of UTF-8
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
-# packing
-
-
-def pack(*arrays: np.ndarray) -> bytes:
-    """Integer arrays of one length, as compressed byte planes."""
-    import zstandard
-
-    z = zstandard.ZstdCompressor(level=1)
-    n = len(arrays[0])
-    parts = [z.compress(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(n, -1).T).tobytes()) if n else b"" for a in arrays]
-    return struct.pack(f"<I{len(parts)}I", n, *map(len, parts)) + b"".join(parts)
-
-
-def unpack(data: bytes, *kinds) -> list[np.ndarray]:
-    import zstandard
-
-    d = zstandard.ZstdDecompressor()
-    n, *sizes = struct.unpack_from(f"<I{len(kinds)}I", data)
-    at, out = 4 + 4 * len(kinds), []
-    for size, kind in zip(sizes, kinds):
-        raw = np.frombuffer(d.decompress(data[at : at + size]), np.uint8) if n else np.zeros(0, np.uint8)
-        out.append(np.ascontiguousarray(raw.reshape(-1, n).T).view(kind).ravel() if n else np.zeros(0, kind))
-        at += size
-    return out
-
-
 # minimisers
 
 
@@ -252,18 +232,8 @@ def _chunks(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[tuple[list
         yield docs, texts, more
 
 
-def _by(bucket: np.ndarray, n: int, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """The rows of each bucket, in their order."""
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(n + 1))
-    for b in range(n):
-        if cuts[b] < cuts[b + 1]:
-            at = order[cuts[b] : cuts[b + 1]]
-            yield b, [x[at] for x in arrays]
-
-
 PARTS = "bucket int, kind int, data binary, text binary"
-ALONE, KNOWN, GONE, PIECES = range(4)
+ALONE, KNOWN, GONE, PIECES, COMMON, WINDOWS = range(6)
 
 
 def _part(bucket, kind, data, text=b"") -> pa.RecordBatch:
@@ -271,10 +241,10 @@ def _part(bucket, kind, data, text=b"") -> pa.RecordBatch:
 
 
 class SuffixDedup:
-    def __init__(self, docs: DataFrame, length: int = LENGTH):
+    def __init__(self, docs: DataFrame, length: int = LENGTH, hot: int = HOT):
         if length < K + 12:
             raise ValueError(f"length must be at least {K + 12}")
-        self.spark, self.length = docs.sparkSession, length
+        self.spark, self.length, self.hot = docs.sparkSession, length, hot
         raw = docs.select(F.col("doc_id").cast("long").alias("doc"), text_of().alias("text"))
         self.rows = raw.withColumn("h", F.xxhash64("text"))
 
@@ -283,8 +253,12 @@ class SuffixDedup:
         total = self.rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         least = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.buckets = max(least, total // BUCKET_BYTES + 1)
+        # windows have a minimiser for each 16 bytes or so, so no more than HOT_MOST are in so many documents
+        self.hot = max(self.hot, total // 16 // HOT_MOST)
         found = saved(self._candidates(), "suffix-candidates")
-        wanted = saved(self._per_document(found.where(F.col("kind") != GONE), self._merge_wanted(), "doc long, runs binary"), "suffix-wanted")
+        common = [unpack(r[0], np.uint64)[0] for r in found.where(F.col("kind") == COMMON).select("data").collect()]
+        self.common = np.sort(np.concatenate(common)) if common else np.zeros(0, np.uint64)
+        wanted = saved(self._per_document(found.where(F.col("kind") == KNOWN), self._merge_wanted(), "doc long, runs binary"), "suffix-wanted")
         gone = self._gone(wanted).union(found.where(F.col("kind") == GONE).select("bucket", "data"))
         gone = saved(self._per_document(gone, self._merge_gone(), "doc long, h long, gone binary"), "suffix-gone")
         dropped(found, wanted)
@@ -300,7 +274,7 @@ class SuffixDedup:
 
     def _candidates(self) -> DataFrame:
         """Runs whose minimiser occurs twice, packed by document bucket; whole copies as gone."""
-        n, length = self.buckets, self.length
+        n, length, hot = self.buckets, self.length, self.hot
 
         def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for docs, texts, hashes in _chunks(batches, CHUNK_BYTES):
@@ -329,18 +303,29 @@ class SuffixDedup:
                 new = np.concatenate(([True], m[1:] != m[:-1]))
                 alone = new & np.concatenate((new[1:], [True]))
                 twice = ~alone
-                for b, (x, y) in _by(d[twice] % n, n, d[twice], r[twice]):
+                for b, (x, y) in by_bucket(d[twice] % n, n, d[twice], r[twice]):
                     yield _part(b, KNOWN, pack(x, y))
                 first = new & twice
+                start = np.flatnonzero(new)
+                docs_of = np.add.reduceat(np.concatenate(([True], (m[1:] != m[:-1]) | (d[1:] != d[:-1]))), start) if len(m) else start
+                many = docs_of >= min(HOT_CHUNK, hot)
+                for b, (x, y) in by_bucket((m[start][many] % np.uint64(n)).astype(np.int64), n, m[start][many], docs_of[many]):
+                    yield _part(b, COMMON, pack(x, y.astype(np.int64)))
                 # a minimiser that is known to be repeated is sent without its place
                 m, d, r = m[alone | first], np.where(alone, d, -1)[alone | first], np.where(alone, r, 0).astype(np.uint32)[alone | first]
                 known = first[alone | first]
                 # buckets by the low bits, so a sorted chunk is sorted in each of them
-                for b, (x, y, z, k) in _by((m % np.uint64(n)).astype(np.int64), n, m, d, r, known):
+                for b, (x, y, z, k) in by_bucket((m % np.uint64(n)).astype(np.int64), n, m, d, r, known):
                     yield _part(b, ALONE, pack(np.diff(x, prepend=np.uint64(0)), y, z, k.astype(np.uint8)))
 
         def meet(group: pd.DataFrame) -> pd.DataFrame:
-            out = [(b, k, bytes(x)) for b, k, x in zip(group["bucket"], group["kind"], group["data"]) if k != ALONE]
+            out = [(b, k, bytes(x)) for b, k, x in zip(group["bucket"], group["kind"], group["data"]) if k not in (ALONE, COMMON)]
+            counted = [unpack(x, np.uint64, np.int64) for x, k in zip(group["data"], group["kind"]) if k == COMMON]
+            if counted:
+                m, at = np.unique(np.concatenate([x[0] for x in counted]), return_inverse=True)
+                m = m[np.bincount(at, np.concatenate([x[1] for x in counted])) >= hot]
+                if len(m):
+                    out.append((group["bucket"].iloc[0], COMMON, pack(m)))
             sent = [unpack(x, np.uint64, np.int64, np.uint32, np.uint8) for x, k in zip(group["data"], group["kind"]) if k == ALONE]
             if sent:
                 m = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in sent])
@@ -351,7 +336,7 @@ class SuffixDedup:
                 twice = np.zeros(len(m), bool)
                 twice[order] = np.concatenate(([False], same)) | np.concatenate((same, [False]))
                 twice &= known == 0
-                out += [(b, KNOWN, pack(x, y)) for b, (x, y) in _by(d[twice] % n, n, d[twice], r[twice])]
+                out += [(b, KNOWN, pack(x, y)) for b, (x, y) in by_bucket(d[twice] % n, n, d[twice], r[twice])]
             return pd.DataFrame(out, columns=["bucket", "kind", "data"])
 
         parts = self.rows.where("doc IS NOT NULL").select("doc", "text", "h").mapInArrow(scan, PARTS)
@@ -392,7 +377,7 @@ class SuffixDedup:
 
     def _gone(self, wanted: DataFrame) -> DataFrame:
         """Removed intervals, packed by document bucket."""
-        n, length = self.buckets, self.length
+        n, length, common = self.buckets, self.length, self.common
 
         def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for docs, texts, more in _chunks(batches, CHUNK_BYTES // 4):
@@ -418,14 +403,19 @@ class SuffixDedup:
                     if held[piece][1] < d:
                         done.append((d, h, x, x + len(piece)))
                 extra = [e for e in extra if held[e[0]][1] == e[2]]
+                hot, each = [], {}
+                everywhere = set(common.tolist())
+                for piece, b, d, h, x in [*((piece, *rest) for piece, rest in held.items()), *extra]:
+                    (hot if b in everywhere else each.setdefault(b % n, [])).append((piece, b, d, h, x))
+                if hot:
+                    known = _windows(hot, length)
+                    lost = _later(*known)
+                    done += _stretches(*[x[lost] for x in known[2:]], length)
+                    for b, cols in by_bucket((known[0][~lost] % np.uint64(n)).astype(np.int64), n, *[x[~lost] for x in known]):
+                        yield _part(b, WINDOWS, pack(*cols))
                 if done:
                     for b, cols in _spread(done, n):
                         yield _part(b, GONE, pack(*cols))
-                each: dict[int, list] = {}
-                for piece, (b, d, h, x) in held.items():
-                    each.setdefault(b % n, []).append((piece, b, d, h, x))
-                for piece, b, d, h, x in extra:
-                    each.setdefault(b % n, []).append((piece, b, d, h, x))
                 for b, rows in each.items():
                     pieces, m, d, h, x = zip(*rows)
                     yield _part(b, PIECES, pack(*[np.array(c, np.int64) for c in (m, d, h, x, [len(p) for p in pieces])]), b"".join(pieces))
@@ -437,6 +427,13 @@ class SuffixDedup:
                 rows = list(_settled(sent, length))
                 if rows:
                     out += [(b, pack(*cols)) for b, cols in _spread(rows, n)]
+            sent = [unpack(x, np.uint64, np.uint64, *[np.int64] * 3) for k, x in zip(group["kind"], group["data"]) if k == WINDOWS]
+            if sent:
+                known = [np.concatenate([x[c] for x in sent]) for c in range(5)]
+                lost = _later(*known)
+                rows = _stretches(*[x[lost] for x in known[2:]], length)
+                if rows:
+                    out += [(b, pack(*cols)) for b, cols in _spread(rows, n)]
             return pd.DataFrame(out, columns=["bucket", "data"])
 
         side = self._beside(wanted, "runs")
@@ -503,12 +500,49 @@ def _settled(sent: list, length: int) -> Iterator[tuple[int, int, int, int]]:
             yield int(d[i]), int(h[i]), int(x[i]) + a, int(x[i]) + b
 
 
+def _windows(pieces: list[tuple], length: int) -> list[np.ndarray]:
+    """Two hashes, doc, h and place of every window of the pieces (text, minimiser, doc, h, place)."""
+    sizes = np.array([len(p[0]) for p in pieces])
+    a = np.frombuffer(b"".join(p[0] for p in pieces) + bytes(16), np.uint8)
+    v8 = words_le(a)[1]
+    n = sizes - length + 1
+    inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    at = np.repeat(np.cumsum(sizes) - sizes, n) + inside
+    one, two = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    for k in [*range(0, length - 8, 8), length - 8]:
+        one = mixed(one ^ v8[at + k] * _C[0])
+        two = mixed(two * _C[1] + v8[at + k])
+    d, h, x = (np.repeat(np.array([p[c] for p in pieces], np.int64), n) for c in (2, 3, 4))
+    return [one, two, d, h, x + inside]
+
+
+def _later(one: np.ndarray, two: np.ndarray, d: np.ndarray, h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Whether an equal window has a smaller document."""
+    order = np.lexsort((d, two, one))
+    new = np.concatenate(([True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])))[: len(order)]
+    first = np.flatnonzero(new)
+    out = np.zeros(len(d), bool)
+    out[order] = d[order] > np.repeat(d[order][first], np.diff(np.append(first, len(order))))
+    return out
+
+
+def _stretches(d: np.ndarray, h: np.ndarray, x: np.ndarray, length: int) -> list[tuple[int, int, int, int]]:
+    """(doc, h, begin, end) of windows that begin at x, neighbours as one."""
+    order = np.lexsort((x, h, d))
+    d, h, x = d[order], h[order], x[order]
+    new = np.concatenate(([True], (d[1:] != d[:-1]) | (h[1:] != h[:-1]) | (x[1:] > x[:-1] + 1)))[: len(d)]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(d)) - 1 if len(first) else first
+    return list(zip(d[first].tolist(), h[first].tolist(), x[first].tolist(), (x[last] + length).tolist()))
+
+
 def _spread(rows: list[tuple], n: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     cols = [np.array(c, np.int64) for c in zip(*rows)]
     order = np.lexsort((cols[2], cols[1], cols[0]))
     cols = [c[order] for c in cols]
-    yield from _by(cols[0] % n, n, *cols)
+    yield from by_bucket(cols[0] % n, n, *cols)
 
 
-def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    return SuffixDedup(docs, length).run()
+def dedup(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans of every row of docs (doc_id, text)."""
+    return SuffixDedup(docs, length, hot).run()

@@ -329,8 +329,9 @@ def test_suffix_dedup(docs, none):
                 gone[p : p + 50] = b"\1" * 50
         kept = bytes(c for c, g in zip(b, gone) if not g)
         want.append((i, len(b), sum(gone), len(re.findall(rb"\x01+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
-    got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(docs).collect()]
-    assert sorted(got) == sorted(want)
+    for hot in (20_000, 2, 1):
+        got = [(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(docs, hot=hot).collect()]
+        assert sorted(got) == sorted(want), hot
     assert suffix_dedup.dedup(none).count() == 0
 
 
@@ -346,6 +347,23 @@ def test_suffix_dedup_repeated_rows(spark):
     assert got == [(0, 0), (1, 0), (2, 300), (7, 300), (7, 300), (8, 0)]
 
 
+def test_suffix_dedup_common_line(spark):
+    """A line that every document has, in tasks of many small chunks: all its minimisers are hot."""
+    r = random.Random(8)
+    line = "".join(r.choice("abcdefgh ") for _ in range(120))
+    rows = [(k, "".join(r.choice("abcdefgh ") for _ in range(r.randint(0, 90))) + "\n" + line + "\n" + "".join(r.choice("abcdefgh ") for _ in range(60))) for k in range(60)]
+    first, want = {}, []
+    for i, t in rows:
+        for p in range(len(t) - 49):
+            first.setdefault(t[p : p + 50], i)
+    for i, t in rows:
+        gone = {q for p in range(len(t) - 49) if first[t[p : p + 50]] < i for q in range(p, p + 50)}
+        want.append((i, len(gone)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {hot: sorted((x.doc_id, x.n_removed) for x in suffix_dedup.dedup(docs, hot=hot).collect()) for hot in (10, 20_000)}
+    assert got[10] == got[20_000] == want
+
+
 def test_suffix_array():
     for seed in range(40):
         r = random.Random(seed)
