@@ -3,11 +3,18 @@
 A candidate block is the words around a license cue, as many on each side as the longest notice has, across
 lines and comment marks; blocks that touch are one. Every notice of every template is looked for at every
 word of a block: the words of a notice that a span lacks or adds, by a word difference, may be at most
-`tolerance` of the notice. A span is compressed alone and with its template as a raw zstandard
-dictionary, and must get smaller. All confirmed notices that do not overlap are reported; of those that do,
-the one with the fewest differences, then the longest, then that which compression favours.
-
-Null texts have no blocks. Offsets are code points, ends exclusive.
+`tolerance` of the notice.
+
+Conditional compression. A block is compressed alone and with each template as a raw zstandard dictionary; the
+templates are ranked by how much smaller the block gets. In that order their notices are confirmed by
+the exact differences of wording, and a confirmed span must itself get smaller with its template. No template is
+left out for its rank. All confirmed notices that do not overlap are reported; of those that do, the one with the most
+words above twice its differences, then that of the better rank.
+
+Null, blank and empty texts have no blocks; very long ones are searched whole, block by block. Repeated rows, and rows
+of one doc_id, are searched each by itself; null doc_ids stay null; texts without a notice, and an empty table, give no
+rows. Ties go to the template of the lesser name. Columns beside doc_id and text are not read, whatever their
+names. Offsets are code points, ends exclusive. `rank` is 1 for the template that compresses the block best.
 """
 
 from __future__ import annotations
@@ -19,22 +26,42 @@ from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from intervalia.llm.common import text_of
 
-#: Notices of public licenses by name; pass others as a parameter.
+#: Notices and texts of public licenses by name; pass others as a parameter.
+NO_WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+MIT_REST = ' (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. '
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+BSD_TWO = " 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+BSD_THREE = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+BSD_END = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+ISC_END = ' THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'
+APACHE_REST = ' You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
+GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+GPL_END = " This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+LGPL = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "all-rights-reserved": ("All rights reserved.",),
-    "apache-2.0": ("Licensed under the Apache License, Version 2.0.", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', "SPDX-License-Identifier: Apache-2.0"),
-    "bsd-3-clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Released under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"),
+    "apache-2.0": ("Licensed under the Apache License, Version 2.0.", APACHE, APACHE + APACHE_REST, "SPDX-License-Identifier: Apache-2.0"),
+    "bsd-2-clause": (BSD + BSD_TWO + BSD_END, "Released under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause"),
+    "bsd-3-clause": (BSD, BSD + BSD_TWO + BSD_THREE + BSD_END, "Released under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"),
     "cc-by-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "cc-by-nc-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "gpl-2.0": ("This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only"),
-    "gpl-3.0": ("This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only"),
-    "mit": ("Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT"),
-    "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
+    "gpl-2.0": ("This work is licensed under the GNU General Public License, version 2.", GPL.format(2), GPL.format(2) + GPL_END, "SPDX-License-Identifier: GPL-2.0-only"),
+    "gpl-3.0": ("This work is licensed under the GNU General Public License, version 3.", GPL.format(3), GPL.format(3) + GPL_END, "SPDX-License-Identifier: GPL-3.0-only"),
+    "isc": (ISC, ISC + ISC_END, "Released under the ISC License.", "SPDX-License-Identifier: ISC"),
+    "lgpl-2.1": (LGPL.format("2.1"), "SPDX-License-Identifier: LGPL-2.1-only"),
+    "lgpl-3.0": (LGPL.format(3), "SPDX-License-Identifier: LGPL-3.0-only"),
+    "mit": ("Released under the MIT License.", MIT, MIT + MIT_REST + NO_WARRANTY, "SPDX-License-Identifier: MIT"),
+    "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "SPDX-License-Identifier: MPL-2.0"),
 }
 CUE = re.compile(r"licen[cs]|copyright|permission|redistribut|warrant|reserved|SPDX", re.I)
 TERMS = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
@@ -48,8 +75,11 @@ class Scanner:
         self.alone = z.ZstdCompressor(level=12)
         self.given = {name: z.ZstdCompressor(level=12, dict_data=z.ZstdCompressionDict("\n".join(notices).encode(), dict_type=z.DICT_TYPE_RAWCONTENT)) for name, notices in templates.items()}
         notices = [(name, [w.lower() for w in TERMS.findall(n)]) for name, notices in sorted(templates.items()) for n in notices]
-        self.notices = [(name, words, Counter(words), int(tolerance * len(words))) for name, words in notices if words]
-        self.reach = max((len(words) + most for _, words, _, most in self.notices), default=0)
+        self.notices: dict[str, list] = {}
+        for name, words in notices:
+            if words:
+                self.notices.setdefault(name, []).append((words, Counter(words), int(tolerance * len(words))))
+        self.reach = max((len(words) + most for own in self.notices.values() for words, _, most in own), default=0)
         self.gain = lru_cache(20_000)(self._gain)
 
     def _gain(self, span: str, name: str) -> float:
@@ -72,22 +102,32 @@ class Scanner:
             lo, hi = max(lo, 0), min(len(spots), at + self.reach + 1)
         yield spots[lo:hi]
 
-    def judge(self, text: str) -> list[tuple[str, float, int, int, int, int]]:
-        """license, gain, start, end, words lacking and words added of every confirmed notice of a text."""
+    def ranked(self, block: str) -> list[str]:
+        """The templates by how much smaller a block gets with each as its dictionary, the best first."""
+        raw = block.encode("utf-8", "surrogatepass")
+        return sorted(self.notices, key=lambda name: (len(self.given[name].compress(raw)), name))
+
+    def judge(self, text: str) -> list[tuple[str, float, int, int, int, int, int]]:
+        """license, gain, start, end, words lacking and added, and rank of every confirmed notice of a text."""
         out = []
         for spots in self.blocks(text):
-            found = []
             have = [s[0] for s in spots]
-            for name, words, count, most in self.notices:
-                for first, last, lacking, added in self._confirm(have, words, count, most):
-                    gain = self.gain(text[spots[first][1] : spots[last - 1][2]], name)
-                    if gain > 0:
-                        found.append((lacking + added, -len(words), -gain, name, first, last, lacking, added))
-            taken: list[tuple[int, int]] = []
-            for _, _, gain, name, first, last, lacking, added in sorted(found):
-                if all(last <= a or first >= b for a, b in taken):
-                    taken.append((first, last))
-                    out.append((name, round(-gain, 6), spots[first][1], spots[last - 1][2], lacking, added))
+            count = Counter(have)
+            may = {name: [x for x in own if sum((x[1] & count).values()) >= len(x[0]) - x[2]] for name, own in self.notices.items()}
+            if not any(may.values()):
+                continue
+            found = []
+            for rank, name in enumerate(self.ranked(text[spots[0][1] : spots[-1][2]]), 1):
+                for words, own, most in may[name]:
+                    for first, last, lacking, added in self._confirm(have, words, own, most):
+                        gain = self.gain(text[spots[first][1] : spots[last - 1][2]], name)
+                        if gain > 0:
+                            found.append((2 * (lacking + added) - len(words), rank, name, gain, first, last, lacking, added))
+            taken = np.zeros(len(have), bool)
+            for _, rank, name, gain, first, last, lacking, added in sorted(found):
+                if not taken[first:last].any():
+                    taken[first:last] = True
+                    out.append((name, round(gain, 6), spots[first][1], spots[last - 1][2], lacking, added, rank))
         return sorted(out, key=lambda x: (x[2], x[0]))
 
     @staticmethod
@@ -120,16 +160,16 @@ class Scanner:
 
 
 def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, tolerance: float = 0.1) -> DataFrame:
-    """A row for each confirmed notice: doc_id, license, start, end, gain, lacking, added."""
+    """A row for each confirmed notice: doc_id, license, start, end, gain, lacking, added, rank."""
     templates = TEMPLATES if templates is None else templates
-    names = ["doc_id", "license", "start", "end", "gain", "lacking", "added"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+    names = ["doc_id", "license", "start", "end", "gain", "lacking", "added", "rank"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, tolerance)
         for b in batches:
-            out = [(i, *x) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in ((name, start, end, gain, lacking, added) for name, gain, start, end, lacking, added in scanner.judge(t))]
-            cols = list(zip(*out)) or [[]] * 7
+            out = [(i, *x) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in ((name, start, end, gain, *rest) for name, gain, start, end, *rest in scanner.judge(t))]
+            cols = list(zip(*out)) or [[]] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(find, "doc_id long, license string, start long, end long, gain double, lacking long, added long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(find, "doc_id long, license string, start long, end long, gain double, lacking long, added long, rank long")

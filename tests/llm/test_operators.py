@@ -208,6 +208,21 @@ def test_license_scan_blocks(spark):
     assert spans[1] == mit and spans[2] + ":" == bsd and spans[3] + "." == apache
 
 
+def test_license_texts(spark, none):
+    """Whole texts wrapped as in files, the right one of near relatives, and every edge case."""
+    wrap = lambda text, mark: "\n".join(mark + " ".join(text.split()[k : k + 9]) for k in range(0, len(text.split()), 9))
+    whole = {name: max(notices, key=len) for name, notices in license_scan.TEMPLATES.items()}
+    rows = [(k, f"code()\n\n{wrap(whole[name], mark)}\nmore code", name) for k, (name, mark) in enumerate((n, m) for n in sorted(whole) for m in ("", "# ", " * ", "// "))]
+    rows += [(900, None, None), (901, "", None), (902, " \n", None), (None, "Released under the ISC License.", "isc"), (903, "x " * 30000 + whole["mit"], "mit"), (904, "Released under the MIT License.", "mit"), (904, "Released under the MIT License.", "mit")]
+    table = spark.createDataFrame([(i, t, "clash", "clash") for i, t, _ in rows], "doc_id int, text string, license string, rank string")
+    got = sorted(((r.doc_id, r.license) for r in license_scan.scan(table).collect()), key=str)
+    assert got == sorted(((i, n) for i, _, n in rows if n), key=str)
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    assert all(name in scanner.ranked(wrap(text, "# "))[:2] for name, text in whole.items() if len(text) > 60)
+    edited = whole["mit"].replace("free of charge", "without charge")
+    assert [(x[0], x[4] + x[5]) for x in scanner.judge(edited)] == [("mit", 3)] and license_scan.scan(none).count() == 0
+
+
 def test_decontamination(spark, none):
     r = random.Random(3)
     make = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(n))
