@@ -2,22 +2,29 @@
 
 An ARC file starts with a version block whose second and third line name the version and the fields of
 the header lines that follow; every record has one header line, whose last field is the declared length
-of its content. `parse_arc` reads by those lines and lengths. `to_warc` synthesises what ARC lacks: a
-record id derived from the record, an ISO timestamp, the record type and a payload digest.
+of its content. `write_arc` makes such files of pages, `read_arc` reads files of either version, as they are or
+compressed, by those lines and lengths, and `write` turns what it reads into WARC. `to_warc` synthesises what ARC lacks:
+a record id derived from the record, an ISO timestamp, the record type and a payload digest.
 
 Records with equal payloads: the one with the largest id is the response, the others are revisits that
 refer to it; payloads smaller than `least` bytes are always responses. Rows with equal id and payload
-count as one record and have the same type. Null payloads are empty; a null id is a revisit if an equal
-payload has an id. Files are plain WARC 1.1, compressed as gzip, with at most RECORDS records each.
+count as one record, are written as often as they occur under one id, and have the same type. Null and empty payloads
+are empty, and equal to each other; a null id is a revisit if an equal payload has an id. Files are plain ARC and WARC 1.1,
+compressed as gzip, and are closed at FILE_BYTES, so that one task holds one file; a longer page is a file of its own. An
+empty table gives no records. Columns beside page_id, url and html are not read, whatever their names.
+
+Malformed ARC: a header line with the wrong number of fields or a length that is no number is passed over, and reading goes
+on at the next line; a record that ends before its declared length, or whose version 2 checksum does not hold, is left
+out; a file without a version block has no records. With strict=True parse_arc raises instead.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -32,7 +39,8 @@ FIELDS = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 DATE = "20240101000000"
-RECORDS = 2000
+#: Bytes of records at which a file is closed.
+FILE_BYTES = 8 << 20
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL namespace of RFC 4122
 
 
@@ -55,15 +63,23 @@ def _line(version: int, url: str, content: bytes, date: str, ip: str, kind: str)
     return f"{url} {ip} {date} {kind}{more} {len(content)}\n".encode()
 
 
-def parse_arc(data: bytes) -> Iterator[dict]:
+def parse_arc(data: bytes, strict: bool = True) -> Iterator[dict]:
     """Records of an ARC file after the version block: a dict of its named fields, and `content`.
 
     A header line is split from its end, as a URL in old files may hold spaces.
     """
-    end = data.index(b"\n")
-    size = int(data[:end].rsplit(b" ", 1)[1])
-    names = data[end + 1 : end + 1 + size].split(b"\n")[1].decode().split()
-    at = end + 1 + size
+
+    def bad(what: str) -> None:
+        if strict:
+            raise ValueError(what)
+
+    end = data.find(b"\n")
+    size = data[: max(end, 0)].rpartition(b" ")[2]
+    about = data[end + 1 : end + 1 + int(size)].split(b"\n") if size.isdigit() else []
+    names = about[1].decode("utf-8", "replace").split() if len(about) > 1 else []
+    if "Archive-length" not in names or "URL" not in names:
+        return bad("not an ARC file")
+    at = end + 1 + int(size)
     while True:
         while data[at : at + 1] == b"\n":
             at += 1
@@ -71,15 +87,24 @@ def parse_arc(data: bytes) -> Iterator[dict]:
             return
         end = data.find(b"\n", at)
         if end < 0:
-            raise ValueError("an ARC header line does not end")
+            return bad("an ARC header line does not end")
         parts = data[at:end].decode("utf-8", "surrogateescape").rsplit(" ", len(names) - 1)
-        if len(parts) != len(names):
-            raise ValueError(f"an ARC header line has {len(parts)} fields, not {len(names)}")
         record = dict(zip(names, parts))
+        if len(parts) != len(names) or not re.fullmatch("[0-9]+", record["Archive-length"]):
+            bad(f"an ARC header line has {len(parts)} fields, not {len(names)}, or no length")
+            at = end + 1
+            continue
         size = int(record["Archive-length"])
         if end + 1 + size > len(data):
-            raise ValueError("an ARC record is shorter than declared")
-        record["content"] = data[end + 1 : end + 1 + size]
+            bad("an ARC record is shorter than declared")
+            at = end + 1
+            continue
+        content = data[end + 1 : end + 1 + size]
+        if re.fullmatch("[0-9a-f]{32}", record.get("Checksum", "")) and hashlib.md5(content).hexdigest() != record["Checksum"]:
+            bad("an ARC record does not have its checksum")
+            at = end + 1
+            continue
+        record["content"] = content
         at = end + 1 + size
         yield record
 
@@ -136,37 +161,124 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4 + size + 4
 
 
-def write(pages: DataFrame, least: int = 0, version: int | None = None) -> str:
-    """Converts pages (page_id, url, html) and writes WARC files to the shared folder; returns their path.
+ARCHIVE = "page_id long, url string, ip string, date string, head binary, payload binary"
+
+
+def _files(rows: DataFrame, tag: str, end: str) -> str:
+    """Writes each binary value as a file of its own in the shared folder; returns their path."""
+    path = f"{shared_dir(rows.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", end).option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
+def _parts(records: Iterator[bytes], between: bytes) -> Iterator[pa.RecordBatch]:
+    """Records joined to values of FILE_BYTES or a little more."""
+    held, size = [], 0
+    for r in records:
+        held.append(r)
+        size += len(r)
+        if size >= FILE_BYTES:
+            yield pa.RecordBatch.from_pydict({"value": pa.array([between.join(held)], pa.binary())})
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pydict({"value": pa.array([between.join(held)], pa.binary())})
+
 
-    The pages pass through ARC files of both versions in turn (or of one). Payloads meet by digest with
-    partial aggregation, so a hot payload is one row for each task; only digests are shuffled for that.
+def write_arc(pages: DataFrame, version: int | None = None) -> str:
+    """Writes pages (page_id, url, html) as ARC files of both versions in turn (or of one); returns their path.
+
+    The id of a page stands in its HTTP head, as ARC has no place for it.
     """
-    spark = pages.sparkSession
-    payload = F.encode(F.coalesce("html", F.lit("")), "utf-8")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
+
+    def archive(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, turn = [], 0, 0
+        for b in batches:
+            for ident, url, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                mark = "" if ident is None else f"X-Source-Id: {ident}\r\n"
+                held.append((url, f"HTTP/1.0 200 OK\r\nContent-Type: text/html\r\n{mark}\r\n".encode() + payload.as_py()))
+                size += len(held[-1][1])
+                if size >= FILE_BYTES:
+                    turn += 1
+                    yield pa.RecordBatch.from_pydict({"value": pa.array([arc_file(version or 1 + turn % 2, held)], pa.binary())})
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_pydict({"value": pa.array([arc_file(version or 1 + turn % 2, held)], pa.binary())})
+
+    return _files(rows.mapInArrow(archive, "value binary"), "arc", "\n")
+
+
+def read_arc(spark, path: str) -> DataFrame:
+    """ARCHIVE of the records of the ARC files at a path, one file at a time in a task; what is malformed is passed over."""
+    names = [x.split()[0] for x in ARCHIVE.split(", ")]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary()]
+
+    def rows(data: bytes) -> Iterator[tuple]:
+        for r in parse_arc(data, strict=False):
+            head, body = http_parts(r["content"])
+            ident = re.search(rb"\r\nX-Source-Id: (-?[0-9]{1,19})\r\n", head)
+            text = lambda k: r.get(k, "").encode("utf-8", "surrogateescape").decode("utf-8", "replace")  # noqa: B023, E731
+            yield int(ident[1]) if ident else None, text("URL"), text("IP-address"), text("Archive-date"), head, body
+
+    def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column(0):
+                data, held, size = _plain(content.as_py()), [], 0
+                for row in rows(data):
+                    held.append(row)
+                    size += len(row[-1])
+                    if size >= FILE_BYTES or len(held) >= 2000:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
+                        held, size = [], 0
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, ARCHIVE)
+
+
+def _plain(data: bytes) -> bytes:
+    """The bytes of a file that may be compressed; a broken end of a compressed one is cut off."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out, rest = [], data
+    while rest[:2] == b"\x1f\x8b":
+        d = zlib.decompressobj(31)
+        try:
+            out.append(d.decompress(rest))
+        except zlib.error:
+            break
+        rest = d.unused_data
+    return b"".join(out)
+
+
+def write(archive: DataFrame, least: int = 0) -> str:
+    """Converts ARCHIVE rows to WARC files in the shared folder; returns their path.
+
+    Payloads meet by digest with partial aggregation, so a hot payload is one row for each task; only digests are
+    shuffled for that.
+    """
+    rows = archive.withColumn("digest", F.sha1("payload"))
     each = rows.select("page_id", "digest").distinct()
-    keepers = rows.groupBy("digest").agg(F.max("page_id").alias("keeper"))
+    keepers = each.groupBy("digest").agg(F.max("page_id").alias("keeper"))
     flags = each.join(keepers, "digest").where(~F.col("page_id").eqNullSafe(F.col("keeper"))).select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "keeper")
-    rows = rows.join(flags, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left").select("page_id", "url", "payload", "keeper")
+    rows = rows.join(flags, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left").select("page_id", "url", "ip", "date", "head", "payload", "keeper")
 
     def convert(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
-        for b in batches:
-            ids, urls, keep = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3).to_pylist()
-            for begin in range(0, len(ids), 64):
-                part = slice(begin, begin + 64)
-                turn += 1
-                contents = [b"HTTP/1.0 200 OK\r\nContent-Type: text/html\r\n\r\n" + x.as_py() for x in b.column(2)[part]]
-                arc = arc_file(version or 1 + turn % 2, zip(urls[part], contents))
-                done = [to_warc(r, None if i is None else str(i), None if k is None else str(k), least) for r, i, k in zip(parse_arc(arc), ids[part], keep[part])]
-                yield pa.RecordBatch.from_pydict({"value": pa.array(done, pa.binary())})
-
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    out = rows.mapInArrow(convert, "value binary").select(F.col("value").cast("string").alias("value"))
-    out.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
-    return path
+        def records() -> Iterator[bytes]:
+            for b in batches:
+                plain = [b.column(k).to_pylist() for k in (0, 1, 2, 3, 6)]
+                for ident, url, ip, date, keeper, head, payload in zip(*plain, b.column(4), b.column(5)):
+                    record = {"URL": url, "IP-address": ip, "Archive-date": date if re.fullmatch("[0-9]{14}", date) else DATE, "content": head.as_py() + payload.as_py()}
+                    yield to_warc(record, None if ident is None else str(ident), None if keeper is None else str(keeper), least)
+
+        yield from _parts(records(), b"\r\n\r\n")
+
+    return _files(rows.mapInArrow(convert, "value binary"), "warc", "\r\n\r\n")
+
+
+def convert(spark, path: str, least: int = 0) -> str:
+    """Converts the ARC files at a path to WARC files; returns their path."""
+    return write(read_arc(spark, path), least)
 
 
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, target_uri string, warc_date string"
@@ -178,7 +290,7 @@ def read(spark, path: str) -> DataFrame:
     def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column(0):
-                rows = [_row(h, block) for h, block in parse_warc(gzip.decompress(content.as_py()))]
+                rows = [_row(h, block) for h, block in parse_warc(_plain(content.as_py()))]
                 cols = list(zip(*rows)) or [[]] * 8
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in RECORD.split(", ")])

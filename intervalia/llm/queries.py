@@ -28,7 +28,7 @@ def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = arc_warc.read(spark, arc_warc.write(read_table(spark, sf_dir, "pages")))
+    records = arc_warc.read(spark, arc_warc.convert(spark, arc_warc.write_arc(read_table(spark, sf_dir, "pages"))))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

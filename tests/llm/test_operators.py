@@ -116,15 +116,58 @@ def test_token_ids(docs, none):
 
 
 def test_arc_to_warc(spark):
-    rows = [(1, "http://a/ b", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "http://c", None), (4, "http://d", ""), (5, "u", "é\r\n\r\nWARC/1.1\r\n"), (5, "u", "é\r\n\r\nWARC/1.1\r\n"), (None, "n", "<p>x</p>")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in arc_warc.read(spark, arc_warc.write(pages)).collect()), key=str)
-    assert got == sorted([(1, 8, "revisit", 2), (2, 8, "response", None), (3, 0, "revisit", 4), (4, 0, "response", None), (5, 16, "response", None), (5, 16, "response", None), (None, 8, "revisit", 2)], key=str)
+    """Against brute force, with nulls, empty and long pages, repeated rows, and columns that are not read."""
+    import base64
+
+    r = random.Random(12)
+    long = "".join(r.choice("abé\r\n ") for _ in range(300_000))
+    rows = [(1, "http://a/ b", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "http://c", None), (4, "http://d", ""), (5, "u", "é\r\n\r\nWARC/1.1\r\n"), (5, "u", "é\r\n\r\nWARC/1.1\r\n"), (None, "n", "<p>x</p>"), (6, "v", long), (-7, "v", long), (8, "HTTP/1.0 200 OK", "HTTP/1.0 404\r\nX-Source-Id: 99\r\n\r\n"), (9, "w", "\n\n"), (10, "é", "\n\n")]
+    pages = spark.createDataFrame([(*x, "clash", "clash") for x in rows], "page_id int, url string, html string, payload string, keeper string")
+    most = {}
+    for i, _, html in rows:
+        if i is not None:
+            most[html or ""] = max(i, most.get(html or "", i))
+    want = []
+    for i, _, html in rows:
+        raw, keeper = (html or "").encode(), most[html or ""]
+        want.append((i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), *(("response", None) if i == keeper else ("revisit", keeper))))
+    for version in (None, 1, 2):
+        got = arc_warc.read(spark, arc_warc.convert(spark, arc_warc.write_arc(pages, version))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    large = arc_warc.read(spark, arc_warc.write(arc_warc.read_arc(spark, arc_warc.write_arc(pages)), least=5))
+    assert all(x.record_type == "response" for x in large.where("payload_bytes < 5").collect()) and large.where("record_type = 'revisit'").count() == 3
+    assert arc_warc.read(spark, arc_warc.convert(spark, arc_warc.write_arc(pages.where("false")))).count() == 0
+
+
+def test_arc_files(spark, tmp_path):
+    """Files of others: both versions, plain and compressed, and every kind of damage."""
+    import gzip
+
+    good = [("http://x y", b"HTTP/1.0 200 OK\r\n\r\nbody\n\n"), ("", b""), ("u", b"\xff\xfe no head")]
     for version in (1, 2):
-        data = arc_warc.arc_file(version, [("http://x y", b"HTTP/1.0 200 OK\r\n\r\nbody\n\n"), ("", b"")])
-        assert [(r["URL"], r["content"]) for r in arc_warc.parse_arc(data)] == [("http://x%20y", b"HTTP/1.0 200 OK\r\n\r\nbody\n\n"), ("-", b"")]
-    with pytest.raises(ValueError):
-        list(arc_warc.parse_arc(data[:-6]))
+        data = arc_warc.arc_file(version, good)
+        assert [(r["URL"], r["content"]) for r in arc_warc.parse_arc(data)] == [("http://x%20y", good[0][1]), ("-", b""), ("u", good[2][1])]
+        assert len(list(arc_warc.parse_arc(data[:-6], strict=False))) == 2
+        broken = data.replace(b"http://x%20y ", b"http://x%20y").replace(b"body", b"bodY")
+        for bad in (data[:-6], broken, b"", b"nothing", b"a 5\nb", data[:20]):
+            with pytest.raises(ValueError):
+                list(arc_warc.parse_arc(bad))
+            list(arc_warc.parse_arc(bad, strict=False))
+    assert [r["URL"] for r in arc_warc.parse_arc(arc_warc.arc_file(2, good).replace(b"body", b"bodY"), strict=False)] == ["-", "u"]
+    plain = arc_warc.arc_file(1, good)
+    (tmp_path / "a.arc").write_bytes(plain)
+    (tmp_path / "b.arc.gz").write_bytes(gzip.compress(plain[:60]) + gzip.compress(plain[60:]))
+    (tmp_path / "c.arc.gz").write_bytes(gzip.compress(plain)[:40])
+    (tmp_path / "d.arc").write_bytes(b"junk")
+    got = arc_warc.read_arc(spark, str(tmp_path)).collect()
+    assert len(got) >= 6 and sorted(bytes(r.payload) for r in got)[-2:] == [b"\xff\xfe no head"] * 2
+    assert {r.warc_date for r in arc_warc.read(spark, arc_warc.convert(spark, str(tmp_path / "a.arc"))).collect()} == {"2024-01-01T00:00:00Z"}
+    r = random.Random(2)
+    for _ in range(300):
+        noise = bytearray(plain)
+        for _ in range(5):
+            noise[r.randrange(len(noise))] = r.randrange(256)
+        list(arc_warc.parse_arc(bytes(noise), strict=False))
 
 
 def test_secret_scan(spark, docs, none):
