@@ -108,6 +108,25 @@ def parent_of(children: DataFrame, parents: DataFrame, margin_us: int = 20_000,
     return children.select("id", "series", "start_us", "stop_us", "type").join(first, "id", "left")
 
 
+def nearest(df: DataFrame, others: DataFrame) -> DataFrame:
+    """id and near: the other interval of the series whose end is nearest to the start, or whose start is nearest to the end.
+
+    The others before and after each time come from one window over the times of both, so no pairs are made. Ties
+    go to the smaller id; series without others give no row.
+    """
+    best = None
+    for own, far in (("start_us", "stop_us"), ("stop_us", "start_us")):
+        times = df.select("series", F.col(own).alias("t"), "id", F.lit(None).cast("long").alias("b"))
+        times = times.union(others.select("series", F.col(far).alias("t"), F.lit(None).cast("long").alias("id"), F.col("id").alias("b")))
+        w = Window.partitionBy("series").orderBy("t")
+        known = lambda sign: F.when(F.col("b").isNotNull(), F.struct(F.col("t"), (sign * F.col("b")).alias("k")))
+        times = times.select("id", "t", F.max(known(-1)).over(w.rangeBetween(Window.unboundedPreceding, 0)).alias("p"), F.min(known(1)).over(w.rangeBetween(0, Window.unboundedFollowing)).alias("q")).where("id IS NOT NULL")
+        two = F.array(F.struct((F.col("t") - F.col("p.t")).alias("gap"), (-F.col("p.k")).alias("near")), F.struct((F.col("q.t") - F.col("t")).alias("gap"), F.col("q.k").alias("near")))
+        each = times.select("id", F.inline(two)).where("near IS NOT NULL")
+        best = each if best is None else best.union(each)
+    return best.groupBy("id").agg(F.min(F.struct("gap", "near"))["near"].alias("near"))
+
+
 def windows(df: DataFrame, n: int, overlap_us: int) -> DataFrame:
     """n equal windows of each interval, overlapping by overlap_us."""
     size = F.floor((F.col("stop_us") - F.col("start_us") + (n - 1) * overlap_us) / n)

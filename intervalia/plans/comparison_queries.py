@@ -333,10 +333,10 @@ def t20(spark, d):
     return x.groupBy("g").agg(F.count("*").alias("n"), R(F.avg("s_acctbal"), 5).alias("mean"), R(F.stddev_samp("s_acctbal") / F.sqrt(F.count("*") - 1), 5).alias("sem"))
 
 
-@query("t22_inclusion_filter", "SELECT user_id FROM events GROUP BY 1 HAVING count(*) >= 12 AND avg(value) < 30 AND NOT bool_or(event_type = 'error' AND value > 200)")
+@query("t22_inclusion_filter", "SELECT user_id FROM events GROUP BY 1 HAVING count(*) >= 6 AND avg(value) < 52 AND NOT bool_or(event_type = 'error' AND value > 200)")
 def t22(spark, d):
     g = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.bool_or((F.col("event_type") == "error") & (F.col("value") > 200)).alias("bad"))
-    return g.where("n >= 12 AND m < 30 AND NOT bad").select("user_id")
+    return g.where("n >= 6 AND m < 52 AND NOT bad").select("user_id")
 
 
 @query("t23_score_by_count", "WITH p AS (SELECT l_orderkey, avg(l_discount) AS m, count(*) AS n FROM lineitem GROUP BY 1) SELECT n, round(avg(m), 6) AS mean, round(stddev_samp(m), 6) AS std FROM p GROUP BY 1")

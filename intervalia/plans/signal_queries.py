@@ -437,11 +437,7 @@ def t17(spark, d):
 
 @query("t19_nearest_interval", IV + ", p AS (SELECT e.id, b.id AS near, row_number() OVER (PARTITION BY e.id ORDER BY least(abs(b.stop_us - e.start_us), abs(b.start_us - e.stop_us)), b.id) AS k FROM iv e JOIN iv b ON e.series = b.series AND e.type = 'purchase' AND b.type = 'view') SELECT id, near FROM p WHERE k = 1")
 def t19(spark, d):
-    e = intervals(spark, d, "purchase").alias("e")
-    b = intervals(spark, d, "view").alias("b")
-    far = F.least(F.abs(F.col("b.stop_us") - F.col("e.start_us")), F.abs(F.col("b.start_us") - F.col("e.stop_us")))
-    p = e.join(b, F.col("e.series") == F.col("b.series")).groupBy(F.col("e.id").alias("id"))
-    return p.agg(F.min(F.struct(far.alias("far"), F.col("b.id").alias("id")))["id"].alias("near"))
+    return I.nearest(intervals(spark, d, "purchase"), intervals(spark, d, "view"))
 
 
 @query("t21_most_responsive", "SELECT o_custkey, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS o_orderkey FROM orders GROUP BY 1")

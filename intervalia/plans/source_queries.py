@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from intervalia.operators import intervals as I
-from intervalia.plans.interval_queries import PARENT, _parents
 from intervalia.plans.registry import query
 from intervalia.sources.fixtures import frames, intervals, table, with_
 
@@ -142,14 +141,14 @@ def a08(spark, d):
     return x.groupBy("vec_id").pivot("root", [f"root{k}" for k in range(4)]).agg(R(F.avg("x"), 6))
 
 
-@query("a11_motif_variation", PARENT + ", k AS (SELECT parent, stop_us - start_us AS len, row_number() OVER (PARTITION BY parent ORDER BY start_us, id) AS a, row_number() OVER (PARTITION BY parent ORDER BY start_us DESC, id DESC) AS z, count(*) OVER (PARTITION BY parent) AS n FROM pa WHERE parent IS NOT NULL) SELECT parent, round(stddev_samp(len) / 1e6, 6) AS spread, round(stddev_samp(len) / nullif(avg(len), 0), 6) AS cv, round(avg(len) FILTER (WHERE z <= 2) / nullif(avg(len) FILTER (WHERE a <= 2), 0), 6) AS ratio FROM k WHERE n >= 4 GROUP BY parent")
+@query("a11_motif_variation", IV + ", k AS (SELECT series, type, stop_us - start_us AS len, row_number() OVER (PARTITION BY series, type ORDER BY start_us, id) AS a, row_number() OVER (PARTITION BY series, type ORDER BY start_us DESC, id DESC) AS z, count(*) OVER (PARTITION BY series, type) AS n FROM iv) SELECT series, type, round(stddev_samp(len) / 1e6, 6) AS spread, round(stddev_samp(len) / nullif(avg(len), 0), 6) AS cv, round(avg(len) FILTER (WHERE z <= 2) / nullif(avg(len) FILTER (WHERE a <= 2), 0), 6) AS ratio FROM k WHERE n >= 4 GROUP BY series, type")
 def a11(spark, d):
-    """Spread of children's lengths, and the last two against the first two, of parents with four or more."""
-    by = Window.partitionBy("parent")
+    """Spread of the lengths of a series' motifs of a type, and the last two against the first two, where there are four."""
+    by = Window.partitionBy("series", "type")
     size = F.col("stop_us") - F.col("start_us")
-    k = _parents(spark, d).where("parent IS NOT NULL").select("parent", size.alias("len"), F.row_number().over(by.orderBy("start_us", "id")).alias("a"), F.row_number().over(by.orderBy(F.desc("start_us"), F.desc("id"))).alias("z"), F.count("*").over(by).alias("n")).where("n >= 4")
+    k = intervals(spark, d).select("series", "type", size.alias("len"), F.row_number().over(by.orderBy("start_us", "id")).alias("a"), F.row_number().over(by.orderBy(F.desc("start_us"), F.desc("id"))).alias("z"), F.count("*").over(by).alias("n")).where("n >= 4")
     zero = lambda c: F.nullif(c, F.lit(0.0))
-    return k.groupBy("parent").agg(R(F.stddev_samp("len") / 1e6, 6).alias("spread"), R(F.stddev_samp("len") / zero(F.avg("len")), 6).alias("cv"), R(F.avg(F.when(F.col("z") <= 2, F.col("len"))) / zero(F.avg(F.when(F.col("a") <= 2, F.col("len")))), 6).alias("ratio"))
+    return k.groupBy("series", "type").agg(R(F.stddev_samp("len") / 1e6, 6).alias("spread"), R(F.stddev_samp("len") / zero(F.avg("len")), 6).alias("cv"), R(F.avg(F.when(F.col("z") <= 2, F.col("len"))) / zero(F.avg(F.when(F.col("a") <= 2, F.col("len")))), 6).alias("ratio"))
 
 
 @query("a18_feature_count_guard", "SELECT user_id, count(*) AS n FROM events GROUP BY 1 HAVING count(*) >= 3 * count(DISTINCT event_type)")
