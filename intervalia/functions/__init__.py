@@ -1 +1 @@
-"""Functions of the interval engine."""
+"""Functions for SQL."""

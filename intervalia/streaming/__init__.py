@@ -1 +1 @@
-"""Streaming of the interval engine."""
+"""Streaming twins of the interval operators."""
