@@ -187,6 +187,57 @@ def test_secret_scan(spark, docs, none):
     assert secret_scan.digests(docs).count() == len(corpus()) and secret_scan.scan(none).count() == 0
 
 
+def test_secret_scan_against_brute_force(spark):
+    """Base kinds by their definition, character by character, on noise that is rich in them; spans of planted keys."""
+    import base64
+
+    r = random.Random(21)
+    bits = ["password", "PassWd", "secret", "token", "api_key", "APIKEY", '"', "'", " ", ":", "=", "abcdefgh", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef" * 2, "é", "\n", ".", "x", "/", "+"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(1, 60))) for _ in range(300)] + [None, "", "AKIA" * 9, "f" * 31, "f" * 32, "F" * 64]
+    texts.append("lorem " * 40000 + "password=abcdefgh1")
+
+    def base(t):
+        out = []
+        pattern = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
+        ascii_ = re.compile("[\x00-\x7f]")
+        at = 0
+        while (m := pattern.search(t, at)) is not None:
+            assert all(ascii_.match(c) for c in m[1])
+            if len(m[2]) >= 8:
+                out.append(("assign", *m.span()))
+            at = m.end()
+        for kind, chars, head, least in (("access", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), "AKIA", 16), ("hex", set("0123456789abcdef"), "", 32)):
+            at = 0
+            while at < len(t):
+                end = at + len(head)
+                if t.startswith(head, at):
+                    while end < len(t) and t[end] in chars:
+                        end += 1
+                if end - at > len(head):
+                    if end - at >= least:
+                        out.append((kind, at, end))
+                    at = end
+                else:
+                    at += 1
+        return sorted(out, key=lambda x: (x[1], ("assign", "access", "hex").index(x[0])))
+
+    rows = [(k // 2, t, "clash") for k, t in enumerate(texts)] + [(None, "token=abcdefgh", "clash")]
+    got = secret_scan.digests(spark.createDataFrame(rows, "doc_id int, text string, spans string")).collect()
+    want = []
+    for i, t, _ in rows:
+        b = base(t or "")
+        want.append((i, *[sum(x[0] == kind for x in b) for kind in ("assign", "access", "hex")], hashlib.sha256(",".join(f"{k}:{a}:{e}" for k, a, e in b).encode()).hexdigest()))
+    assert sorted(((x.doc_id, x.n_assign, x.n_access, x.n_hex, x.base_sha256) for x in got), key=str) == sorted(want, key=str)
+    key = base64.b64encode(b"\x30\x81\x8a\x02\x01\x00\x02\x81\x81" + b"\x01" * 129 + b"\x02\x01\x03").decode()
+    for before in ("", "a/", "path/to/", "key=", "x-y_", "a+"):
+        assert secret_scan.confirmed_spans(f"see {before}{key} end") == [("der", 4 + len(before), 4 + len(before) + len(key))]
+    deep = base64.urlsafe_b64encode(b"[" * 100_000).decode().rstrip("=")
+    head = base64.urlsafe_b64encode(b'{"alg":"x"}').decode().rstrip("=")
+    assert not secret_scan.is_jwt(f"{head}.{deep}.abc")
+    for _ in range(2000):
+        secret_scan.confirmed_spans(base64.b64encode(r.randbytes(r.randint(20, 90))).decode() + r.choice("/=._- ") + r.randbytes(40).hex())
+
+
 def test_secret_scan_der_bounds():
     for raw in (b"\x30\xff" + b"\xab" * 30, b"\x30\x9e" + b"\x02" * 30, b"\x30\x84\x00", b"\x30\x80" + b"\x30" * 30):
         assert not secret_scan.is_der(raw)
@@ -332,6 +383,42 @@ def test_quality_rules(docs, none):
     assert quality_rules.score(none).count() == 0
 
 
+def test_quality_verdicts_and_edges(spark, none):
+    """kept against the rules written out in Python, with nulls, repeated rows, long texts and clashing names."""
+    r = random.Random(4)
+    words = ["alpha", "beta", "gamma", "DELTA", "Epsilon!", "#tag", "$5", "1234", "...", "éa", "x" * 20]
+
+    def text():
+        pick = r.sample(words, r.randint(1, len(words)))
+        return "\n".join(r.choice(("", "- ", "* ")) + " ".join(r.choice(pick) + (str(r.random()) if r.random() < 0.5 else "") for _ in range(r.randint(1, 12))) for _ in range(r.randint(1, 30)))
+
+    texts = [text() for _ in range(150)] + [None, "", " ", "word " * 60, "unique" * 300, "a b c " * 20000, " ".join(f"w{k}" for k in range(60))]
+    texts += [texts[0]] * 3 + ["- x\n" * 60, "SHOUT! " * 30 + " ".join(f"LOUD{k}!" for k in range(40)), " ".join(f"{k}..." for k in range(80))]
+
+    def kept(t):
+        t = t or ""
+        w = WORD.findall(t)
+        n, chars, lines = len(w), sum(map(len, w)), t.split("\n")
+        full = [x for x in lines if WORD.search(x)]
+        grams = collections.Counter(zip(w, w[1:], w[2:]))
+        inside = {k + j for k in range(n - 2) if grams[tuple(w[k : k + 3])] > 1 for j in range(3)}
+        dup = len(full) - len(set(full))
+        count = lambda p: len(re.findall(p, t))
+        dots, bullets = count(r"\.\.\.|\u2026"), sum(bool(re.match("[-*\u2022] ", x.lstrip(" "))) for x in lines)
+        bad = [n < 50, 100 * len(inside) > 50 * n, 100 * count(r"[#*$%&|<>]") > 10 * n, 100 * count("[A-Z]") > 40 * chars and 5 * count("!") > n, chars < 2 * n or chars > 14 * n, dup >= 3 and 2 * dup > len(lines), 100 * count("[0-9]") > 40 * chars, dots >= 5 and 100 * dots > 10 * n, len(lines) >= 5 and 100 * bullets > 90 * len(lines), n >= 100 and 100 * len(set(w)) < 5 * n and len(set(w)) < 50, max(map(len, w), default=0) > 1000]
+        return not any(bad)
+
+    rows = [(None if k % 11 == 0 else k // 2, t, "clash", k) for k, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id int, text string, kept string, n_words int")
+    got = quality_rules.score(table)
+    assert len(got.columns) == len(set(got.columns)) and sorted(((x.doc_id, x.text, x.kept) for x in got.collect()), key=str) == sorted(((i, t, kept(t)) for i, t, *_ in rows), key=str)
+    left = quality_rules.keep(table)
+    assert left.columns == table.columns and sorted(map(tuple, left.collect()), key=str) == sorted((x for x in rows if kept(x[1])), key=str)
+    plan = quality_rules.plan_cascade(table, quality_rules.default_rules())
+    assert sorted(x["rule"] for x in plan) == sorted(x.name for x in quality_rules.default_rules()) and all(0 <= x["rejects"] <= 1 and x["cost"] > 0 for x in plan)
+    assert all(x["cost"] == 0 for x in quality_rules.plan_cascade(none, quality_rules.default_rules())) and quality_rules.keep(none).count() == 0
+
+
 def test_piece_counts(docs):
     def greedy(w, first, more):
         at = n = 0
@@ -431,11 +518,105 @@ def test_suffix_array():
         assert sorted(order.tolist()) == list(range(len(a))) and heads == sorted(heads)
 
 
+def test_jaccard_join_families(spark, none):
+    """Large families of near copies, shared passages, and rows that share a doc_id but not a text, against brute force."""
+    for seed in (0, 1):
+        r = random.Random(seed)
+        texts = []
+        for size, words, edits in ((40, r.choice((20, 60, 150)), 9), (20, 80, 2)):
+            base = [f"w{r.randrange(10**6)}" for _ in range(words)]
+            for _ in range(size):
+                v = list(base)
+                for _ in range(r.randint(0, edits)):
+                    v[r.randrange(len(v))] = f"e{r.randrange(40)}"
+                texts.append(" ".join(v))
+        passages = [" ".join(f"p{k}x{j}" for j in range(25)) for k in range(6)]
+        texts += [" ".join(r.sample(passages, 3)) for _ in range(40)] + [None, "", "a", "a", "b c"]
+        a, b = "one " + passages[0] + " " + passages[1] + " " + passages[2], "two " + passages[3] + " " + passages[4] + " " + passages[5]
+        rows = [(r.randrange(300) if seed else 3 * k + 10, t) for k, t in enumerate(texts)] + [(1, a), (1, b), (2, a + " tail"), (3, b + " tail")]
+        sets = [set(jaccard_join.shingle_set(t or "").tolist()) for _, t in rows]
+        label = list(range(len(rows)))
+
+        def find(x):
+            while label[x] != x:  # noqa: B023
+                x = label[x]  # noqa: B023
+            return x
+
+        for i in range(len(rows)):
+            for j in range(i):
+                if sets[i] and sets[j] and 4 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j]):
+                    label[find(i)] = find(j)
+        least = {}
+        for i, (doc, _) in enumerate(rows):
+            least[find(i)] = min(doc, least.get(find(i), doc))
+        want = sorted((doc, len(sets[i]), least[find(i)]) for i, (doc, _) in enumerate(rows))
+        table = spark.createDataFrame([(*x, "clash") for x in rows], "doc_id int, text string, label string").repartition(4)
+        for options in ({}, {"cap": 0, "chunk_bytes": 3000}):
+            assert sorted(map(tuple, jaccard_join.join(table, **options).collect())) == want
+        stay = {doc for doc, _ in rows} - {doc for doc, _ in rows if all(c < d for d, _, c in want if d == doc)}
+        kept = jaccard_join.keep(table)
+        assert kept.columns == table.columns and sorted(x.doc_id for x in kept.collect()) == sorted(doc for doc, _ in rows if doc in stay)
+
+
+def test_null_ids(spark):
+    """Rows with a null doc_id: each operator returns them, and none removes or drops them."""
+    text = " ".join(f"w{k}" for k in range(80))
+    table = spark.createDataFrame([(None, text, "s"), (1, text, "s"), (None, None, None)], "doc_id long, text string, source string")
+    path, words = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("word_bpe_49k.json")
+    assert jaccard_join.join(table).where("doc_id IS NULL AND component_id IS NULL").count() == 2 and jaccard_join.keep(table).count() == 3
+    assert mixing.mix(table).where("doc_id IS NULL").count() == 2
+    assert token_ids.digests(token_ids.write(table, path)).where("doc_id IS NULL").count() == 2
+    assert secret_scan.digests(table).where("doc_id IS NULL").count() == piece_counts.counts(table, words).where("doc_id IS NULL").count() == 2
+    assert quality_rules.score(table).where("doc_id IS NULL").count() == 2
+    assert [x.n_removed for x in suffix_dedup.dedup(table).where("doc_id IS NULL").collect()] == [0, 0]
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+    assert decontaminate.leaks(table, bench).where("doc_id IS NULL").count() == 1
+
+
 def test_pipeline(spark, tmp_path):
+    """Each stage against brute force on what the stage before it kept."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
-    rows = [(i, (t or "") + " " + " ".join(f"w{i}x{k}" for k in range(60)), la, s, 0) for i, t, la, s, *_ in corpus()]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame([(1, " ".join(f"w1x{k}" for k in range(60)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
-    assert 1 not in got and got and [n for n, _ in corpus_pipeline.STAGES][0] == "quality rules"
+    r = random.Random(17)
+    long = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(n))
+    base = [long(r.randint(60, 160)) for _ in range(30)]
+    item = long(30)
+    texts = base + [t + " tail" for t in base[:10]] + [t + " " + item for t in base[10:15]] + [long(20), None, "", "spam " * 200, base[0], base[3]]
+    rows = [(2 * i, t, "en" if i % 3 else None, ["a", "b", None][i % 3], 0) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    at, names = table, [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality rules", "n-gram Jaccard join", "benchmark decontamination", "mixing", "token ids"]
+    left = {i: t for i, t, *_ in rows}
+    for name, stage in corpus_pipeline.STAGES:
+        at = stage(spark, at, str(tmp_path))
+        if name == "token ids":
+            break
+        assert at.columns == table.columns
+        got = [x.doc_id for x in at.collect()]
+        if name == "quality rules":
+            left = {i: t for i, t in left.items() if len((t or "").split()) >= 50 and not (t or "").startswith("spam")}
+        elif name == "n-gram Jaccard join":
+            sets = {i: set(zip(*[t.lower().split()[k:] for k in range(5)])) for i, t in left.items()}
+            left = {i: t for i, t in left.items() if not any(j < i and 4 * len(sets[i] & sets[j]) >= 3 * len(sets[i] | sets[j]) for j in sets)}
+        elif name == "benchmark decontamination":
+            left = {i: t for i, t in left.items() if item not in t}
+        if name == "mixing":
+            plan = {x.doc_id: x.copies for x in mixing.mix(table.where(table.doc_id.isin(list(left)))).collect()}
+            assert collections.Counter(got) == collections.Counter({i: c for i, c in plan.items() if c})
+            mixed = got
+        else:
+            assert sorted(got) == sorted(left), name
+    t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    start, want = 0, []
+    for i in sorted(mixed):
+        ids = t.encode(left[i], add_special_tokens=False).ids + [2]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, at.collect())) == want
+    assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == want
+    empty = spark.createDataFrame([], table.schema)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0
