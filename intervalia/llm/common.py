@@ -13,6 +13,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 
+#: What modules remember in a Python worker from one task to the next.
+CACHES: list[dict] = []
+
+
+def forget() -> None:
+    """Drops what other operators left in this worker, which tasks of all operators share one after the other."""
+    for cache in CACHES:
+        cache.clear()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table as a DataFrame, by any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

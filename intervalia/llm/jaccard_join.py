@@ -44,13 +44,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from intervalia.llm.common import dropped, rows_of, saved, text_of
+from intervalia.llm.common import dropped, forget, rows_of, saved, text_of
 from intervalia.llm.graph import components
 from intervalia.llm.packing import GOLDEN, by_bucket, mixed, pack, unpack
 
@@ -126,6 +125,7 @@ class JaccardJoin:
         width, share = self.width, self.share
 
         def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forget()
             for b in batches:
                 n, m, f = [], [], []
                 for t in b.column(1):
@@ -146,6 +146,7 @@ class JaccardJoin:
         n = int(max(self.partitions, (total >> share) // BUCKET_ROWS + 1))
 
         def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forget()
             for sets, names in _chunks(batches, most, width):
                 if not sets:
                     continue
@@ -168,10 +169,11 @@ class JaccardJoin:
                     used, at = np.unique(y, return_inverse=True)
                     yield _part(b, 0, pack(np.diff(x, prepend=np.uint64(0)), at.astype(np.uint32)), pack(k[used], (used == len(k) - 1).astype(np.int8)))
 
-        def meet(group: pd.DataFrame) -> pd.DataFrame:
-            out = [(b, bytes(x)) for b, kind, x in zip(group["bucket"], group["kind"], group["data"]) if kind]
+        def meet(group: pa.Table) -> pa.Table:
+            rows = list(zip(*[group.column(c).to_pylist() for c in ("bucket", "kind", "data", "names")]))
+            out = [(b, x) for b, kind, x, _ in rows if kind]
             v, k, known = [], [], []
-            for kind, x, y in zip(group["kind"], group["data"], group["names"]):
+            for _, kind, x, y in rows:
                 if not kind:
                     d, at = unpack(x, np.uint64, np.uint32)
                     names, common = unpack(y, np.int64, np.int8)
@@ -194,17 +196,17 @@ class JaccardJoin:
                     held = np.repeat((size > 1) | (np.maximum.reduceat(known, first) > 0), size) & (known == 0)
                     k, c = np.unique(k[held], return_counts=True)
                     out += [(b, pack(x, y)) for b, (x, y) in by_bucket(k % n, n, k, c)]
-            return pd.DataFrame(out, columns=["bucket", "data"])
+            return pa.table({"bucket": pa.array([x[0] for x in out], pa.int32()), "data": pa.array([x[1] for x in out], pa.binary())})
 
-        def add(group: pd.DataFrame) -> pd.DataFrame:
-            got = [unpack(x, np.int64, np.int64) for x in group["data"]]
+        def add(group: pa.Table) -> pa.Table:
+            got = [unpack(x, np.int64, np.int64) for x in group.column("data").to_pylist()]
             k, c = (np.concatenate([x[j] for x in got]) for j in (0, 1))
             name, at = np.unique(k, return_inverse=True)
-            return pd.DataFrame({"k": name, "c": np.bincount(at, c).astype(np.int64)})
+            return pa.table({"k": name, "c": np.bincount(at, c).astype(np.int64)})
 
         parts = self.docs.where("doc IS NOT NULL").select("text").mapInArrow(scan, "bucket int, kind int, data binary, names binary")
-        met = parts.groupBy("bucket").applyInPandas(meet, "bucket int, data binary")
-        return met.groupBy("bucket").applyInPandas(add, "k long, c long")
+        met = parts.groupBy("bucket").applyInArrow(meet, "bucket int, data binary")
+        return met.groupBy("bucket").applyInArrow(add, "k long, c long")
 
     def sets_of(self, named: DataFrame) -> DataFrame:
         """k, n and items of the sets k of named (doc, k)."""

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from intervalia.llm.common import saved, text_of
+from intervalia.llm.common import CACHES, saved, text_of
 from intervalia.llm.piece_counts import byte_alphabet
 
 HEAD = struct.Struct("<4sIQII")
@@ -39,6 +39,7 @@ END_ID = 2
 #: Distinct parts whose ids a worker remembers; when so many are new, those of the time before are dropped.
 REMEMBERED = 400_000
 _known: dict[str, Encoder] = {}
+CACHES.append(_known)
 #: A run of Latin letters and a run of marks, which the byte-level pattern cuts into these two pieces.
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?%&*#$]*)").fullmatch
 
