@@ -148,6 +148,13 @@ def c07(spark, d):
     return x.groupBy("i").agg(F.min_by("lj", F.struct(R("d", 6), "j")).alias("label"))
 
 
+@query("c08_median_rule", TRAIN + ", m AS (SELECT i, lj, median(d) AS m FROM sy GROUP BY i, lj) SELECT i, arg_min(lj, (round(m, 6), lj)) AS label, round(min(m), 6) AS distance FROM m GROUP BY i")
+def c08_median(spark, d):
+    """The label whose members are nearest by their median distance."""
+    m = X.symmetric(X.pairs(train(spark, d))).groupBy("i", "lj").agg(F.percentile("d", 0.5).alias("m"))
+    return m.groupBy("i").agg(F.min_by("lj", F.struct(R("m", 6), "lj")).alias("label"), R(F.min("m"), 6).alias("distance"))
+
+
 @query("c08_nearest_majority", TRAIN + ", n AS (SELECT i, lj, row_number() OVER (PARTITION BY i ORDER BY round(d, 6), j) AS k FROM sy), v AS (SELECT i, lj, count(*) AS n, min(k) AS k FROM n WHERE k <= 5 GROUP BY 1, 2) SELECT i, arg_max(lj, (n, -k)) AS label, max(n) / 5 AS confidence FROM v GROUP BY 1")
 def c08(spark, d):
     """Majority of the five nearest; a tie goes to the earliest neighbour."""

@@ -321,3 +321,73 @@ def p18(spark, d):
     w = tiles.pairs(v, lambda a, b: warp.all_pairs(10 * a, 10 * b, 4), False).select("i", "j", F.col("d").alias("warped"))
     e = tiles.pairs(v, tiles.euclidean).select("i", "j", F.col("d").alias("euclidean"))
     return o.join(w, ["i", "j"]).join(e, ["i", "j"])
+
+
+@query("d23_local_detrend")
+def d23(spark, d):
+    """Signals less their running linear fit."""
+    return each_signal(signals(spark, d), lambda sid, x: sampled(x - dsp.local_line(x, 100, 50), sid), "sid long, k int, y double")
+
+
+@query("m01_series_spectrum")
+def m01(spark, d):
+    """The multitaper spectrum of whole signals."""
+
+    def one(sid, x):
+        j, f = dsp.series_transform(x, FS)
+        return pd.DataFrame({"sid": sid, "hz": f, "power": (np.abs(j) ** 2).mean(0)})
+
+    return each_signal(signals(spark, d), one, "sid long, hz double, power double")
+
+
+@query("m02_line_test")
+def m02(spark, d):
+    """F of a sine wave at each frequency of a signal."""
+
+    def one(sid, x):
+        v, amplitude, f = dsp.line_test(x, FS)
+        return pd.DataFrame({"sid": sid, "hz": f, "F": v, "amplitude": amplitude})
+
+    return each_signal(signals(spark, d), one, "sid long, hz double, F double, amplitude double")
+
+
+def neighbours(spark, d) -> DataFrame:
+    """sid, x and y: each signal and the one after it, of one length."""
+    s = signals(spark, d)
+    after = s.select((F.col("sid") - 1).alias("sid"), F.col("x").alias("y"))
+    return s.join(after, "sid").where(F.size("x") == F.size("y"))
+
+
+@query("m03_coherence")
+def m03(spark, d):
+    def run(batches):
+        for b in batches:
+            for sid, x, y in zip(b["sid"], b["x"], b["y"]):
+                c, phase, f = dsp.coherence(np.asarray(x), np.asarray(y), FS)
+                yield pd.DataFrame({"sid": int(sid), "hz": f, "coherence": c, "phase": phase})
+
+    return neighbours(spark, d).mapInPandas(run, "sid long, hz double, coherence double, phase double")
+
+
+@query("m04_segment_spectra")
+def m04(spark, d):
+    """The mean spectrum of the segments of each signal."""
+
+    def one(sid, x):
+        parts = [dsp.series_transform(x[k : k + 128], FS) for k in range(0, len(x) - 127, 128)]
+        return pd.DataFrame({"sid": sid, "hz": parts[0][1], "power": np.mean([(np.abs(j) ** 2).mean(0) for j, _ in parts], 0), "segments": len(parts)})
+
+    return each_signal(signals(spark, d), one, "sid long, hz double, power double, segments int")
+
+
+@query("q16_two_group_spectrum")
+def q16(spark, d):
+    """Normal deviate of the log spectra of each signal and the next."""
+
+    def run(batches):
+        for b in batches:
+            for sid, x, y in zip(b["sid"], b["x"], b["y"]):
+                (p, f), (q, _) = dsp.series_transform(np.asarray(x), FS), dsp.series_transform(np.asarray(y), FS)
+                yield pd.DataFrame({"sid": int(sid), "hz": f, "z": dsp.two_spectra(p, q)})
+
+    return neighbours(spark, d).mapInPandas(run, "sid long, hz double, z double")

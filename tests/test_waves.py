@@ -58,6 +58,28 @@ def test_multitaper_by_definition():
     assert d[0, 1, 7] == pytest.approx(s.real) and d[1, 1, 7] == pytest.approx((1j * s).real)
 
 
+def test_lines_coherence_and_two_groups():
+    t = np.arange(512) / 1000
+    tone = np.sin(2 * np.pi * 125 * t)
+    v, amplitude, f = dsp.line_test(tone + 0.1 * DRAW.normal(size=512), 1000.0)
+    assert f[v.argmax()] == 125 and v.max() > 1000 and amplitude[v.argmax()] == pytest.approx(0.5, rel=0.05)
+    x, noise = DRAW.normal(size=512), DRAW.normal(size=512)
+    c, phase, _ = dsp.coherence(x, 2 * x, 1000.0)
+    assert np.allclose(c, 1) and np.allclose(phase, 0, atol=1e-6) and dsp.coherence(x, noise, 1000.0)[0].mean() < 0.7
+    draws = lambda m: (DRAW.normal(size=(m, 4000)) + 1j * DRAW.normal(size=(m, 4000)))
+    z = dsp.two_spectra(draws(6), draws(9))
+    assert abs(z.mean()) < 0.06 and abs(z.std() - 1) < 0.06
+    assert dsp.digamma(1.0) == pytest.approx(-0.5772156649) and dsp.trigamma(1.0) == pytest.approx(math.pi**2 / 6)
+
+
+def test_local_line():
+    t = np.arange(300.0)
+    assert np.allclose(dsp.local_line(3 * t - 5, 50, 25), 3 * t - 5) and np.allclose(dsp.local_line(2 * t[:20], 50, 25), 2 * t[:20])
+    x = DRAW.normal(size=300).cumsum()
+    y = dsp.local_line(x, 300, 10)
+    assert np.allclose(y, np.polyval(np.polyfit(t, x, 1), t)) and len(dsp.local_line(x, 70, 33)) == 300
+
+
 def test_short_time_round_trip_and_gate():
     x = DRAW.normal(size=400)
     assert np.allclose(dsp.overlap_added(dsp.short_time(x, 64, 16, 128), 64, 16, 128), x[: 16 * 21 + 64], atol=1e-9)
