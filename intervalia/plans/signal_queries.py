@@ -10,7 +10,7 @@ from intervalia.operators import measures as X
 from intervalia.operators.offsets import slid
 from intervalia.operators.rangejoin import points_in
 from intervalia.plans.registry import query
-from intervalia.sources.fixtures import frames, intervals, points, table, vectors, with_
+from intervalia.sources.fixtures import frames, intervals, points, spread, table, vectors, with_
 
 FR, IV, VE = with_("fr"), with_("iv"), with_("ve")
 R = F.round
@@ -320,7 +320,7 @@ def grams(n: int):
 
 @query("n01_ngram_counts", "WITH w AS (SELECT doc_id, text, unnest(range(1, length(text) - 2)) AS k FROM documents), g AS (SELECT substr(text, k, 4) AS gram, count(*) AS n FROM w GROUP BY 1) SELECT gram, n FROM g WHERE n > 20")
 def n01(spark, d):
-    t = table(spark, d, "documents").where(F.length("text") >= 4)
+    t = spread(table(spark, d, "documents").where(F.length("text") >= 4).select("doc_id", "text"), "doc_id")
     g = t.select(F.explode(grams(4)).alias("gram"))
     return g.groupBy("gram").agg(F.count("*").alias("n")).where("n > 20")
 

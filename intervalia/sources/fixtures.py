@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df dealt out by a key where its scan has fewer partitions than there are cores; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def intervals(spark: SparkSession, sf_dir: str, *types: str) -> DataFrame:
     """id, series, type, start_us, stop_us; value is a length in minutes. Times are whole microseconds."""
     e = table(spark, sf_dir, "events")
