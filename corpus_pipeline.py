@@ -1,4 +1,12 @@
-"""The corpus pipeline: quality rules, near-duplicate join, decontamination, mixing, token ids."""
+"""The corpus pipeline: quality rules, near-duplicate join, decontamination, mixing, token ids.
+
+Each stage works on all that the one before it kept. Null, blank and short texts fail the quality rules; of documents
+within 0.75 of one another by word shingles the smallest doc_id stays; documents with a passage of the benchmark go;
+the mix repeats or leaves out whole documents by source, null being a source; the last stage writes the
+ids of every document left in order of doc_id, each as often as the mix takes it. Rows with a null doc_id pass the join,
+rows that share a doc_id stay or go together there. Empty tables pass through every stage. Columns beside doc_id, text and
+source are kept up to the last stage, whatever they hold.
+"""
 
 from __future__ import annotations
 
@@ -30,7 +38,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality rules", quality), ("n-gram Jaccard join", unlike), ("benchmark decontamination", unleaked), ("mixing", mixed), ("token ids", encoded)]
-#: Hash thresholds and a tokenizer are beyond SQL; tests compare the stages with brute force.
+#: Hash thresholds and a tokenizer are beyond SQL; tests/llm compares each stage with brute force.
 ORACLE_SQL = None
 
 
