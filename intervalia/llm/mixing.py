@@ -9,8 +9,12 @@ is found by sums of sizes by source and hash bucket: the bucket in which the res
 one that the next level looks at, with finer buckets. Nothing is sorted, and a smaller budget takes a
 subset of what a larger one takes.
 
-Null and blank texts have size 0 and are taken as nothing. Rows with equal doc_id, source and size have
-the same hash and share one decision. An empty table gives an empty mix.
+What a source takes differs from its target by at most half of the document at its threshold, so by at most half of its
+longest document; one document that holds most of a source's words makes that much.
+
+Null, blank and empty texts have size 0 and are taken as nothing; very long ones count whole. Rows with equal doc_id, source
+and size, such as repeated ones, have the same hash and share one decision. Null doc_ids are ids like others. An
+empty table gives an empty mix. keep() keeps all columns, whatever their names; mix() reads doc_id, source and text alone.
 """
 
 from __future__ import annotations

@@ -11,11 +11,14 @@ The chunk index gives random access to any run of ids without reading the rest.
 
 Documents are range-partitioned by doc_id, so a shard holds a run of doc_ids and the segments of a
 shard follow one another. Null texts are empty; null doc_ids come first; rows with equal doc_id are
-ordered by text. A task holds one segment at a time. A document is never split between segments.
+ordered by text, and repeated rows are written each. A task holds one segment at a time. A document is never split between
+segments, so a very long text may make one of its own. An empty table gives no segments and no rows. Columns beside doc_id
+and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -50,7 +53,8 @@ class Encoder:
     A plain space before a character that is no blank always begins a new piece of the byte-level
     pattern, so a text is cut there and the ids of each part are remembered. A part of Latin letters and
     then plain marks is two pieces, which go to the tokenizer's model by themselves; other parts, and
-    texts with a special token or another blank after a space, go through the tokenizer whole.
+    texts with a special token or another blank after a space, go through the tokenizer whole. So do all texts
+    if the file is of another kind than byte-level BPE with that pattern and without a normalizer.
     """
 
     def __init__(self, path: str):
@@ -59,6 +63,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.model = self.tokenizer.model
+        kind = json.loads(self.tokenizer.to_str())
+        cut = kind["pre_tokenizer"] or {}
+        self.plain = kind["normalizer"] is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and kind["model"]["type"] == "BPE" and not kind["model"].get("dropout")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.blank: set[str] = set()
         self.parts: dict[str, bytes] = {}
@@ -107,6 +114,8 @@ class Encoder:
             self.parts.update(zip(hard, self._ids([" " + x for x in hard])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.plain:
+            return self._ids(texts)
         if len(self.parts) > REMEMBERED or len(self.words) > REMEMBERED:
             # parts that begin with a blank are learnt anew, as they mark their texts
             for part in self.blank:

@@ -113,6 +113,13 @@ def test_token_ids(docs, none):
         files = token_ids.write(docs, path, planes=planes, segment_ids=500, block=64)
         assert sorted(map(tuple, token_ids.digests(files).collect())) == want
     assert token_ids.digests(token_ids.write(none, path)).count() == 0
+    other = tokenizer_path("word_bpe_49k.json")
+    whole = Tokenizer.from_file(other)
+    texts = [t or "" for _, t, *_ in corpus()]
+    assert not token_ids.Encoder(other).plain and token_ids.Encoder(path).plain
+    assert token_ids.Encoder(other).encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch(texts, add_special_tokens=False)]
+    twice = docs.union(docs)
+    assert token_ids.digests(token_ids.write(twice, path)).count() == 2 * len(corpus())
 
 
 def test_arc_to_warc(spark):
