@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from intervalia.llm.common import dropped, saved, text_of
+from intervalia.llm.common import dropped, forget, saved, text_of
 from intervalia.llm.packing import by_bucket, mixed, pack, unpack
 
 LENGTH = 50
@@ -277,6 +277,7 @@ class SuffixDedup:
         n, length, hot = self.buckets, self.length, self.hot
 
         def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forget()
             for docs, texts, hashes in _chunks(batches, CHUNK_BYTES):
                 least: dict[bytes, int] = {}
                 for i, t in enumerate(texts):
@@ -380,6 +381,7 @@ class SuffixDedup:
         n, length, common = self.buckets, self.length, self.common
 
         def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forget()
             for docs, texts, more in _chunks(batches, CHUNK_BYTES // 4):
                 held: dict[bytes, list] = {}
                 done, extra = [], []
@@ -445,6 +447,7 @@ class SuffixDedup:
         kinds = [pa.int64()] * 4 + [pa.string()] * 2
 
         def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            forget()
             for b in batches:
                 rows = []
                 for doc, t, g in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
