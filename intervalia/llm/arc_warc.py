@@ -161,13 +161,13 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4 + size + 4
 
 
-ARCHIVE = "page_id long, url string, ip string, date string, head binary, payload binary"
+ARCHIVE = "page_id long, url string, ip string, date string, head binary, payload binary, digest string"
 
 
 def _files(rows: DataFrame, tag: str, end: str) -> str:
     """Writes each binary value as a file of its own in the shared folder; returns their path."""
     path = f"{shared_dir(rows.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", end).option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
+    rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", end).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", 1).text(path)
     return path
 
 
@@ -208,32 +208,40 @@ def write_arc(pages: DataFrame, version: int | None = None) -> str:
     return _files(rows.mapInArrow(archive, "value binary"), "arc", "\n")
 
 
-def read_arc(spark, path: str) -> DataFrame:
-    """ARCHIVE of the records of the ARC files at a path, one file at a time in a task; what is malformed is passed over."""
+def read_arc(spark, path: str, bodies: bool = True) -> DataFrame:
+    """ARCHIVE of the records of the ARC files at a path, one file at a time in a task; what is malformed is passed over.
+
+    Without bodies, page_id and digest alone.
+    """
     names = [x.split()[0] for x in ARCHIVE.split(", ")]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary()]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.binary(), pa.string()]
+    own = range(len(names)) if bodies else (0, len(names) - 1)
 
     def rows(data: bytes) -> Iterator[tuple]:
         for r in parse_arc(data, strict=False):
             head, body = http_parts(r["content"])
             ident = re.search(rb"\r\nX-Source-Id: (-?[0-9]{1,19})\r\n", head)
             text = lambda k: r.get(k, "").encode("utf-8", "surrogateescape").decode("utf-8", "replace")  # noqa: B023, E731
-            yield int(ident[1]) if ident else None, text("URL"), text("IP-address"), text("Archive-date"), head, body
+            yield int(ident[1]) if ident else None, text("URL"), text("IP-address"), text("Archive-date"), head, body, digest_of(body)
 
     def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column(0):
                 data, held, size = _plain(content.as_py()), [], 0
                 for row in rows(data):
-                    held.append(row)
-                    size += len(row[-1])
+                    held.append([row[k] for k in own])
+                    size += len(row[5])
                     if size >= FILE_BYTES or len(held) >= 2000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
+                        yield batch(held)
                         held, size = [], 0
                 if held:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
+                    yield batch(held)
+
+    def batch(held: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, k in zip(zip(*held), own)], names=[names[k] for k in own])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, ARCHIVE)
+    schema = ", ".join(x for k, x in enumerate(ARCHIVE.split(", ")) if k in own)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, schema)
 
 
 def _plain(data: bytes) -> bytes:
@@ -251,14 +259,14 @@ def _plain(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def write(archive: DataFrame, least: int = 0) -> str:
+def write(archive: DataFrame, least: int = 0, digests: DataFrame | None = None) -> str:
     """Converts ARCHIVE rows to WARC files in the shared folder; returns their path.
 
     Payloads meet by digest with partial aggregation, so a hot payload is one row for each task; only digests are
-    shuffled for that.
+    shuffled for that. They may be given by themselves (page_id, digest), if that is cheaper than the archive again.
     """
-    rows = archive.withColumn("digest", F.sha1("payload"))
-    each = rows.select("page_id", "digest").distinct()
+    rows = archive
+    each = (archive if digests is None else digests).select("page_id", "digest").distinct()
     keepers = each.groupBy("digest").agg(F.max("page_id").alias("keeper"))
     flags = each.join(keepers, "digest").where(~F.col("page_id").eqNullSafe(F.col("keeper"))).select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "keeper")
     rows = rows.join(flags, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left").select("page_id", "url", "ip", "date", "head", "payload", "keeper")
@@ -278,7 +286,7 @@ def write(archive: DataFrame, least: int = 0) -> str:
 
 def convert(spark, path: str, least: int = 0) -> str:
     """Converts the ARC files at a path to WARC files; returns their path."""
-    return write(read_arc(spark, path), least)
+    return write(read_arc(spark, path), least, read_arc(spark, path, bodies=False))
 
 
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, target_uri string, warc_date string"
