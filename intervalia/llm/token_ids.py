@@ -73,6 +73,7 @@ class Encoder:
         self.before = {}, {}
         letters = {b: c for c, b in byte_alphabet().items()}
         self.shown = [letters[b] for b in range(256)]
+        self.packed = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -88,30 +89,31 @@ class Encoder:
         if ids is None:
             ids = self.before[1].get(piece)
             if ids is None:
-                shown = "".join([self.shown[b] for b in piece.encode()])
-                ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
+                # ASCII letters and marks show as themselves, so only a space before them is replaced
+                shown = self.shown[32] + piece[1:] if piece[0] == " " and piece.isascii() else "".join([self.shown[b] for b in piece.encode()])
+                ids = b"".join([self.packed[t.id] for t in self.model.tokenize(shown)])
             self.words[piece] = ids
         return ids
 
     def _learn(self, new: list[str]) -> None:
         """Ids of parts that follow a space."""
-        hard, older = [], self.before[0].get
+        hard, older, parts, piece = [], self.before[0].get, self.parts, self._piece
         for part in new:
             ids = older(part)
             if ids is not None:
-                self.parts[part] = ids
-                continue
-            m = _PLAIN(part)
-            if m is not None:
-                ids = self._piece(" " + m[1])
-                self.parts[part] = ids + self._piece(m[2]) if m[2] else ids
+                parts[part] = ids
+            elif part.isascii() and part.isalpha():
+                parts[part] = piece(" " + part)
+            elif (m := _PLAIN(part)) is not None:
+                ids = piece(" " + m[1])
+                parts[part] = ids + piece(m[2]) if m[2] else ids
             elif not part or part[0].isspace():
                 self.blank.add(part)
-                self.parts[part] = b""
+                parts[part] = b""
             else:
                 hard.append(part)
         if hard:
-            self.parts.update(zip(hard, self._ids([" " + x for x in hard])))
+            parts.update(zip(hard, self._ids([" " + x for x in hard])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.plain:
@@ -124,7 +126,7 @@ class Encoder:
         cut = [t.split(" ") for t in texts]
         heads_of = [c.pop(0) for c in cut]
         seen = set().union(*cut)
-        new = [x for x in seen if x not in self.parts]
+        new = seen.difference(self.parts)
         if new:
             self._learn(new)
         get, blank, special = self.parts.__getitem__, self.blank, self.special
