@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intervalia.llm import arc_warc, decontaminate, jaccard_join, license_scan, mixing, piece_counts, quality_rules, secret_scan, suffix_dedup, token_ids
+from intervalia.llm import arc_warc, centroid_clusters, decontaminate, jaccard_join, license_scan, mixing, piece_counts, quality_rules, secret_scan, suffix_dedup, token_ids
 from intervalia.llm.common import read_table
 
 
@@ -58,10 +58,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.cluster(read_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    found = [op1_jaccard_join, op2_source_mixing, op3_token_ids, op4_arc_to_warc, op5_secret_scan, op6_decontamination, op7_license_scan, op8_quality_rules, op9_token_counts, op10_suffix_dedup]
+    found = [op1_jaccard_join, op2_source_mixing, op3_token_ids, op4_arc_to_warc, op5_secret_scan, op6_decontamination, op7_license_scan, op8_quality_rules, op9_token_counts, op10_suffix_dedup, op11_centroid_clusters]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_centroid_clusters": centroid_clusters.sql()}
