@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from intervalia.llm import arc_warc, centroid_clusters, decontaminate, jaccard_join, license_scan, mixing, piece_counts, quality_rules, secret_scan, suffix_dedup, token_ids
+from intervalia.llm import arc_warc, centroid_clusters, decontaminate, jaccard_join, license_scan, mixing, piece_codes, piece_counts, quality_rules, runs, secret_scan, suffix_dedup, token_ids
 from intervalia.llm.common import read_table
 
 
@@ -62,8 +62,16 @@ def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clusters.cluster(read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_piece_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codes.round_trip(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    found = [op1_jaccard_join, op2_source_mixing, op3_token_ids, op4_arc_to_warc, op5_secret_scan, op6_decontamination, op7_license_scan, op8_quality_rules, op9_token_counts, op10_suffix_dedup, op11_centroid_clusters]
+    found = [op1_jaccard_join, op2_source_mixing, op3_token_ids, op4_arc_to_warc, op5_secret_scan, op6_decontamination, op7_license_scan, op8_quality_rules, op9_token_counts, op10_suffix_dedup, op11_centroid_clusters, op12_piece_codes, op13_word_runs]
     return {f.__name__: f for f in found}
 
 
