@@ -115,7 +115,8 @@ def test_other_vocabularies(tmp_path, extra):
     r = random.Random(5)
     for _ in range(500):
         t = "".join(r.choice("aaabbbc xy ") for _ in range(r.randint(0, 14)))
-        assert codes.encode(t)[0] == sp.encode(t), t
+        assert codes.encode([t])[0][0] == sp.encode(t), t
+        assert codes.encode([t])[0][1]
 
 
 def test_other_kinds_are_refused(tmp_path):
