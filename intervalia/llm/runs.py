@@ -3,12 +3,12 @@
 Every run holds a Lyndon root of its period, and that root is the longest Lyndon word at its start under one of two
 opposite orders of the alphabet. So the words of a document become numbers, their suffixes are sorted, and the longest
 Lyndon word at every place ends at the next smaller value of the inverse suffix array, under the opposite order at the
-next larger one. Two equal roots in a row are extended to both sides by the longest common prefix of two suffixes, and of
+next larger one. Roots in a row are extended to both sides by the longest common prefix of two suffixes, and of
 two prefixes by the same over the words in reverse: each is the least of a range of the array of adjacent common prefixes, looked up in a sparse table.
 The table is built level by level, and each level answers the ranges of its size before the next one replaces it.
 
 Documents are handled in groups of about GROUP words with a separator of its own after each, a long one by itself. A
-group goes to the second step with those documents alone that have two equal roots in a row.
+group goes to the second step with those documents alone that have as many like roots in a row as a wanted run has.
 
 A run is maximal, has its smallest period, at least `least` words and at least `times` periods, two or more. Words are `[^\\x20\\x09-\\x0D]+`.
 Null, blank and empty texts have no words and no run. Very long texts are searched whole, one at a time. Every row is
@@ -145,23 +145,29 @@ def joined(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, np.cumsum([len(w) + 1 for w in documents]) - 1
 
 
-def roots(x: np.ndarray, stops: np.ndarray, twice: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Start and length of longest Lyndon words under either order.
+def roots(x: np.ndarray, stops: np.ndarray, least: int, times: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of longest Lyndon words under either order, with the first root of every wanted run.
 
-    twice: those alone after which one of the same length, first and last word comes, as after some root of every run
-    of three periods or more.
+    A run of m words and period q holds at least (m - q + 1) // q roots in a row from its first one. A Lyndon word of length q
+    is left out if the last or the middle one of as many does not have its length, first, middle and last word.
     """
     _, place = suffix_array(x)
     starts, lengths, at = [], [], np.arange(len(x))
     for ends in lyndon_ends(place.tolist(), stops.tolist()):
         size = np.array(ends, np.int64) - at
         i = np.flatnonzero(size)
-        if twice:
-            i = i[size[i + size[i]] == size[i]]
-            after = i + size[i]
-            i = i[(x[i] == x[after]) & (x[after - 1] == x[after + size[i] - 1])]
+        q = size[i]
+        more = (np.maximum(least, times * q) - q + 1) // q - 1
+        for share in (1, 2):
+            other = i + (more + share - 1) // share * q
+            inside = other < len(x)
+            i, q, more, other = i[inside], q[inside], more[inside], other[inside]
+            same = size[other] == q
+            i, q, more, other = i[same], q[same], more[same], other[same]
+            same = (x[i] == x[other]) & (x[i + q // 2] == x[other + q // 2]) & (x[i + q - 1] == x[other + q - 1])
+            i, q, more = i[same], q[same], more[same]
         starts.append(i)
-        lengths.append(size[i])
+        lengths.append(q)
     return np.concatenate(starts), np.concatenate(lengths)
 
 
@@ -173,7 +179,7 @@ def periodic(documents: list[np.ndarray], least: int = LEAST, times: int = TIMES
     if not held:
         return out
     x, stops = joined([documents[k] for k in held])
-    start, size = roots(x, stops, times >= 3)
+    start, size = roots(x, stops, least, times)
     if not len(start):
         return out
     # again with the documents that have candidates alone
