@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from intervalia.plans import comparison_queries, interval_queries, learning_queries, model_queries, rule_queries, signal_queries, source_queries, wave_queries  # noqa: F401
+    from intervalia.plans import comparison_queries, interval_queries, learning_queries, model_queries, rule_queries, signal_queries, source_queries, spectral_queries, wave_queries  # noqa: F401
 
 
 def queries() -> dict:
