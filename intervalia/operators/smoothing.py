@@ -65,7 +65,7 @@ def regressions(rows: DataFrame, ks: list[int], stretch: float, degree: int = 2)
     r = ranked(rows, stretch)
     halo = F.explode(F.sequence(F.greatest(F.floor((F.col("r") - most) / BUCKET), F.lit(0)), F.floor(F.least(F.col("r") + most, F.col("n") - 1) / BUCKET)))
 
-    def fit(key, points: pd.DataFrame) -> pd.DataFrame:
+    def fit(key, points):
         points = points.sort_values("r", kind="stable")
         core = np.flatnonzero((points["r"] // BUCKET == key[1]).to_numpy())
         x, y, n = points["x"].to_numpy(), points["y"].to_numpy(), int(points["n"].iloc[0])

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from intervalia.operators import distributions
 from intervalia.operators.dsp import slepian
@@ -80,12 +81,12 @@ def transforms(rows: DataFrame, grid: Grid, *, less_rate: bool = False) -> DataF
     return out.join(F.broadcast(level), ["i", "k"]).select("series", "trial", "i", "k", "hz", (F.col("re") - share * F.col("hr")).alias("re"), (F.col("im") - share * F.col("hi")).alias("im"), "n")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_quantile(p: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series(distributions.chi2_quantile(p, dof))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_quantile(p: pd.Series, dof: pd.Series) -> pd.Series:
     """NaN below one degree of freedom."""
     return pd.Series(np.where(dof >= 1, distributions.t_quantile(p, np.maximum(dof, 1)), np.nan))
