@@ -13,7 +13,9 @@ The base kinds assign, access and hex follow their patterns alone. Offsets are c
 exclusive. Spans of the added kinds may lie inside those of the base kinds; at one start the kinds follow the order
 of KINDS. Null and empty texts have no secrets; very long texts are searched whole, one at a time; rows that share a
 doc_id, or are the same, are searched each by itself and returned each; null doc_ids stay null; an empty table gives
-no rows. Columns beside the key and the text are not read, whatever their names.
+no rows. Columns beside the key and the text are not read, whatever their names. The work grows with the length of a text
+also where it is one long run of separators and beginnings of keys or tokens, as each of these is told by a few bytes; an SSH key
+has FIELDS fields at most.
 """
 
 from __future__ import annotations
@@ -57,15 +59,38 @@ def unbase64(s: str) -> bytes | None:
         return None
 
 
-def is_jwt(s: str) -> bool:
-    parts = s.split(".")
-    if len(parts) != 3 or not parts[2]:
-        return False
+def json_object(s: str) -> dict | None:
+    """The JSON object that a part of a token holds."""
     try:
-        head, body = (json.loads(unbase64(p) or b"") for p in parts[:2])
+        found = json.loads(unbase64(s) or b"")
     except (ValueError, RecursionError):  # nesting beyond any token's
+        return None
+    return found if isinstance(found, dict) else None
+
+
+#: Base64 characters of a part by whose JSON most false beginnings are told, a multiple of four.
+HEAD = 64
+
+
+def may_be_json(s: str, at: int) -> bool:
+    """Whether the part of a token from `at` on can be a JSON object, by its first characters and its last four bytes or so."""
+    rest = (len(s) - at) % 4
+    if rest == 1:
         return False
-    return isinstance(head, dict) and isinstance(body, dict) and isinstance(head.get("alg"), str)
+    if len(s) - at <= HEAD:
+        return True
+    head = unbase64(s[at : at + HEAD])
+    if head is None:
+        return False
+    text = head.decode(json.detect_encoding(head), "ignore")
+    try:
+        json.loads(text)
+    except json.JSONDecodeError as e:
+        # a string that the cut ends is told by its beginning, all else by where it went wrong
+        if not e.msg.startswith("Unterminated string") and e.pos < len(text) - 12:
+            return False
+    tail = (unbase64(s[len(s) - 8 - rest :]) or b"").strip(b" \t\r\n\0")
+    return tail.endswith(b"}") or not tail
 
 
 def der_end(data: bytes, at: int, depth: int = 0) -> int | None:
@@ -166,10 +191,7 @@ def jwt_spans(s: str) -> Iterator[tuple[int, int]]:
             begin.append(begin[-1] + len(p) + 1)
         k = 0
         while k + 2 < len(parts):
-            tail = f".{parts[k + 1]}.{parts[k + 2]}"
-            cuts = [0, *[x.end() for x in re.finditer(r"[-_]+", parts[k])]]
-            # a JSON object begins with a brace, or with blanks before it
-            at = next((x for x in cuts if parts[k][x : x + 1] in ("e", "I", "C", "D") and is_jwt(parts[k][x:] + tail)), None)
+            at = _token_start(parts[k]) if parts[k + 2] and json_object(parts[k + 1]) is not None else None
             if at is None:
                 k += 1
             else:
@@ -177,6 +199,17 @@ def jwt_spans(s: str) -> Iterator[tuple[int, int]]:
                 k += 3
 
 
+def _token_start(part: str) -> int | None:
+    """Where the header of a token begins in a part, at its start or after a separator."""
+    for at in [0, *[x.end() for x in re.finditer(r"[-_]+", part)]]:
+        # a JSON object begins with a brace, or with blanks before it
+        if part[at : at + 1] in ("e", "I", "C", "D") and may_be_json(part, at):
+            head = json_object(part[at:])
+            if head is not None and isinstance(head.get("alg"), str):
+                return at
+    return None
+
+
 def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the added kinds."""
     out = []
@@ -196,18 +229,58 @@ def confirmed_spans(text: str) -> list[tuple[str, int, int]]:
 STARTS = re.compile(r"M[A-Za-z]|AAAA|b3Bl|30[0-9a-fA-F]{2}")
 
 
-def _declares(s: str) -> bool:
-    """Whether the head of a key allows it to end with s: a look at a few bytes, before all of it is decoded."""
-    if s.startswith(("AAAA", "b3Bl")):
-        return True
-    hexed = re.fullmatch(r"[0-9a-fA-F]+", s) if s[0] in "0123456789abcdefABCDEF" else None
-    head, have = (bytes.fromhex(s[:12]), len(s) // 2) if hexed else (unbase64(s[:8]), len(s.rstrip("=")) * 3 // 4)
+#: Fields of a key at most, of which its head is walked through.
+FIELDS = 64
+
+
+def _declares(s: str, at: int, size: int) -> bool:
+    """Whether the head of a key at `at` allows it to end with s, which is size characters without padding.
+
+    A look at a few bytes, before all of it is decoded: the length of a DER sequence, or those of the fields of an SSH key or container.
+    """
+    have = (size - at) * 3 // 4
+    if s.startswith(("AAAA", "b3Bl"), at):
+        return _fields_end(s, at, have)
+    hexed = s[at] in "0123456789abcdefABCDEF" and re.compile(r"[0-9a-fA-F]+").fullmatch(s, at)
+    head = bytes.fromhex(s[at : at + 12]) if hexed else unbase64(s[at : at + 8])
+    have = (len(s) - at) // 2 if hexed else have
     if not head or head[0] != 0x30:
         return False
     k = head[1] & 0x7F if head[1] & 0x80 else 0
     return k <= 4 and (int.from_bytes(head[2 : 2 + k], "big") + 2 + k if k else head[1] + 2) == have
 
 
+def _fields_end(s: str, begin: int, have: int) -> bool:
+    """Whether fields with their lengths before them come to the end of the `have` bytes that base64 from `begin` on holds."""
+
+    def number(at: int) -> int:
+        # three bytes are four characters, so the four bytes are in eight at most
+        group = at // 3 * 4
+        data = unbase64(s[begin + group : begin + group + 8])
+        return int.from_bytes(data[at % 3 : at % 3 + 4], "big") if data else -1
+
+    at, left = 0, FIELDS
+    if s.startswith("b3Bl", begin):
+        data = unbase64(s[begin : begin + 20])
+        if data != MAGIC:
+            return False
+        at = len(MAGIC)
+        for _ in range(3):
+            if at + 4 > have:
+                return False
+            at += 4 + number(at)
+        left = number(at) + 1 if at + 4 <= have else 0
+        if not 1 < left <= FIELDS:
+            return False
+        at += 4
+    while left and at + 4 <= have:
+        length = number(at)
+        if length < 0 or at == 0 and not 4 <= length <= 64:
+            return False
+        at, left = at + 4 + length, left - 1
+    return at == have
+
+
 def _key_spans(s: str, at: int) -> list[tuple[str, int, int]]:
     """DER and SSH keys in a run without web tokens that begins at `at`; what is before a separator may be a name."""
     out = []
@@ -215,15 +288,13 @@ def _key_spans(s: str, at: int) -> list[tuple[str, int, int]]:
     at += lead
     for part in re.split(r"([.]|(?<==)(?=[^=]))", s[lead:]):
         if part and len(part) >= 32:
-            cuts = [0, *[m.end() for m in re.finditer(r"[-_/+]+", part)]]
-            for cut in cuts:
+            size = len(part.rstrip("="))
+            for cut in [0, *[m.end() for m in re.finditer(r"[-_/+]+", part)]]:
                 if len(part) - cut < 32:
                     break
-                if cut and not STARTS.match(part, cut):
+                if cut and not (STARTS.match(part, cut) and _declares(part, cut, size)):
                     continue
                 own = part[cut:]
-                if cut and not _declares(own):
-                    continue
                 raw = bytes.fromhex(own) if len(own) % 2 == 0 and re.fullmatch(r"[0-9a-fA-F]+", own) else unbase64(own)
                 kind = "der" if is_der(raw) else "ssh" if is_ssh(raw) else None
                 if kind:
