@@ -1,15 +1,16 @@
 """License scans by wording differences and conditional compression.
 
-A candidate block is the words around a license cue, as many on each side as the longest notice has, across
-lines and comment marks; blocks that touch are one. Every notice of every template is looked for at every
-word of a block: the words of a notice that a span lacks or adds, by a word difference, may be at most
-`tolerance` of the notice.
+Every notice of every template is looked for at every word of a text. The words of a notice that a span lacks and those that it adds
+may together be at most `tolerance` of the notice, counted exactly: what is left of both after their longest common
+subsequence of words. A notice that may lack `most` words has the most + 1 longest of its words as cues, one of which
+is in every such span; the words about a cue, as many as a span can have, are a candidate block if enough of them are
+words of the notice. Blocks run across lines and comment marks, and those that touch are one.
 
-Conditional compression. A block is compressed alone and with each template as a raw zstandard dictionary; the
+Conditional compression. A block, in lower case like the templates, is compressed alone and with each template as a raw zstandard dictionary; the
 templates are ranked by how much smaller the block gets. In that order their notices are confirmed by
 the exact differences of wording, and a confirmed span must itself get smaller with its template. No template is
 left out for its rank. All confirmed notices that do not overlap are reported; of those that do, the one with the most
-words above twice its differences, then that of the better rank.
+words above twice its differences, then that of the better rank, then the one that begins first.
 
 Null, blank and empty texts have no blocks; very long ones are searched whole, block by block. Repeated rows, and rows
 of one doc_id, are searched each by itself; null doc_ids stay null; texts without a notice, and an empty table, give no
@@ -20,10 +21,9 @@ names. Offsets are code points, ends exclusive. `rank` is 1 for the template tha
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterable, Iterator
-from difflib import SequenceMatcher
+from collections.abc import Iterable
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -63,101 +63,145 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "mit": ("Released under the MIT License.", MIT, MIT + MIT_REST + NO_WARRANTY, "SPDX-License-Identifier: MIT"),
     "mpl-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "SPDX-License-Identifier: MPL-2.0"),
 }
-CUE = re.compile(r"licen[cs]|copyright|permission|redistribut|warrant|reserved|SPDX", re.I)
 TERMS = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
+@dataclass
+class Notice:
+    name: str
+    words: list[str]
+    most: int
+    count: Counter = field(init=False)
+    cues: set[str] = field(init=False)
+    number: dict[str, int] = field(init=False)
+
+    def __post_init__(self):
+        self.count = Counter(self.words)
+        # of so many places one at least is matched by a span within the tolerance
+        longest = sorted(range(len(self.words)), key=lambda k: (-len(self.words[k]), k))[: self.most + 1]
+        self.cues = {self.words[k] for k in longest}
+        self.number = {w: k for k, w in enumerate(dict.fromkeys(self.words))}
+        self.row = np.array([self.number[w] for w in self.words])
+
+    @property
+    def reach(self) -> int:
+        """Words of a span at most."""
+        return len(self.words) + self.most
+
+    def windows(self, have: list[str], lo: int, hi: int) -> list[tuple[int, int]]:
+        """Stretches of the words lo to hi in which every span lies: of as many words, enough are those of the notice."""
+        left, common, out = Counter(self.count), 0, []
+        least = len(self.words) - self.most
+        for end in range(lo, hi):
+            if have[end] in left:
+                left[have[end]] -= 1
+                common += left[have[end]] >= 0
+            gone = end - self.reach
+            if gone >= lo and have[gone] in left:
+                left[have[gone]] += 1
+                common -= left[have[gone]] > 0
+            if common >= least:
+                first = max(lo, gone + 1)
+                if out and first <= out[-1][1]:
+                    out[-1] = out[-1][0], end + 1
+                else:
+                    out.append((first, end + 1))
+        return out
+
+    def spans(self, have: list[str], lo: int, hi: int) -> list[tuple[int, int, int]]:
+        """Words lacking and added, first and last (exclusive) of the best span that ends at each word, if within the tolerance.
+
+        The best has fewest differences, then fewest words. A column holds, for each beginning of the notice, the differences
+        times `unit` less the start of the span, so one minimum serves both.
+        """
+        n, unit = len(self.words), hi - lo + 2
+        steps = np.arange(n + 1) * unit
+        column, out = steps.copy(), []
+        get = self.number.get
+        for end in range(lo, hi):
+            word = get(have[end], -1)
+            new = column + unit
+            if word >= 0:
+                np.minimum(new[1:], np.where(self.row == word, column[:-1], new[1:]), out=new[1:])
+            new[0] = lo - end - 1
+            column = np.minimum.accumulate(new - steps) + steps
+            differ = -(-int(column[n]) // unit)
+            if differ <= self.most and word >= 0:
+                out.append((differ, lo + differ * unit - int(column[n]), end + 1))
+        return out
+
+
 class Scanner:
     def __init__(self, templates: dict[str, tuple[str, ...]], tolerance: float = 0.1):
         import zstandard as z
 
-        self.tolerance = tolerance
         self.alone = z.ZstdCompressor(level=12)
-        self.given = {name: z.ZstdCompressor(level=12, dict_data=z.ZstdCompressionDict("\n".join(notices).encode(), dict_type=z.DICT_TYPE_RAWCONTENT)) for name, notices in templates.items()}
-        notices = [(name, [w.lower() for w in TERMS.findall(n)]) for name, notices in sorted(templates.items()) for n in notices]
-        self.notices: dict[str, list] = {}
-        for name, words in notices:
-            if words:
-                self.notices.setdefault(name, []).append((words, Counter(words), int(tolerance * len(words))))
-        self.reach = max((len(words) + most for own in self.notices.values() for words, _, most in own), default=0)
+        self.given = {name: z.ZstdCompressor(level=12, dict_data=z.ZstdCompressionDict("\n".join(notices).lower().encode(), dict_type=z.DICT_TYPE_RAWCONTENT)) for name, notices in templates.items()}
+        self.notices = []
+        for name, notices in sorted(templates.items()):
+            for words in ([w.lower() for w in TERMS.findall(n)] for n in notices):
+                if words:
+                    self.notices.append(Notice(name, words, min(int(tolerance * len(words)), len(words) - 1)))
+        self.cues = set().union(*[n.cues for n in self.notices])
         self.gain = lru_cache(20_000)(self._gain)
 
     def _gain(self, span: str, name: str) -> float:
-        raw = span.encode()
+        raw = span.lower().encode()
         return 1 - len(self.given[name].compress(raw)) / len(self.alone.compress(raw))
 
-    def blocks(self, text: str) -> Iterator[list[tuple[str, int, int]]]:
-        """The words (in lower case, with their places) about the cues of a text."""
-        cues = [m.start() for m in CUE.finditer(text)]
-        if not cues:
-            return
-        spots = [(m[0].lower(), m.start(), m.end()) for m in TERMS.finditer(text)]
-        ends = [e for _, _, e in spots]
-        lo = hi = 0
-        for c in cues:
-            at = bisect_right(ends, c)
-            if at - self.reach > hi:
-                yield spots[lo:hi]
-                lo = at - self.reach
-            lo, hi = max(lo, 0), min(len(spots), at + self.reach + 1)
-        yield spots[lo:hi]
-
     def ranked(self, block: str) -> list[str]:
         """The templates by how much smaller a block gets with each as its dictionary, the best first."""
-        raw = block.encode("utf-8", "surrogatepass")
-        return sorted(self.notices, key=lambda name: (len(self.given[name].compress(raw)), name))
+        raw = block.lower().encode("utf-8", "surrogatepass")
+        return sorted(self.given, key=lambda name: (len(self.given[name].compress(raw)), name))
+
+    def candidates(self, have: list[str]) -> list[tuple[Notice, int, int]]:
+        """Notices with the stretches of words in which their spans lie."""
+        places: dict[str, list[int]] = {}
+        for k, w in enumerate(have):
+            if w in self.cues:
+                places.setdefault(w, []).append(k)
+        out = []
+        for notice in self.notices:
+            at = sorted(k for w in notice.cues if w in places for k in places[w])
+            around: list[list[int]] = []
+            for k in at:
+                lo, hi = max(0, k - notice.reach + 1), min(len(have), k + notice.reach)
+                if around and lo <= around[-1][1]:
+                    around[-1][1] = hi
+                else:
+                    around.append([lo, hi])
+            out += [(notice, a, b) for lo, hi in around for a, b in notice.windows(have, lo, hi)]
+        return out
 
     def judge(self, text: str) -> list[tuple[str, float, int, int, int, int, int]]:
         """license, gain, start, end, words lacking and added, and rank of every confirmed notice of a text."""
+        if self.cues.isdisjoint(map(str.lower, TERMS.findall(text))):
+            return []
+        spots = [(m.start(), m.end()) for m in TERMS.finditer(text)]
+        have = [text[a:b].lower() for a, b in spots]
+        blocks: list[tuple[int, int, list]] = []
+        for notice, a, b in sorted(self.candidates(have), key=lambda x: x[1:]):
+            if blocks and a <= blocks[-1][1]:
+                lo, hi, own = blocks[-1]
+                blocks[-1] = lo, max(hi, b), [*own, (notice, a, b)]
+            else:
+                blocks.append((a, b, [(notice, a, b)]))
         out = []
-        for spots in self.blocks(text):
-            have = [s[0] for s in spots]
-            count = Counter(have)
-            may = {name: [x for x in own if sum((x[1] & count).values()) >= len(x[0]) - x[2]] for name, own in self.notices.items()}
-            if not any(may.values()):
-                continue
-            found = []
-            for rank, name in enumerate(self.ranked(text[spots[0][1] : spots[-1][2]]), 1):
-                for words, own, most in may[name]:
-                    for first, last, lacking, added in self._confirm(have, words, own, most):
-                        gain = self.gain(text[spots[first][1] : spots[last - 1][2]], name)
-                        if gain > 0:
-                            found.append((2 * (lacking + added) - len(words), rank, name, gain, first, last, lacking, added))
-            taken = np.zeros(len(have), bool)
-            for _, rank, name, gain, first, last, lacking, added in sorted(found):
-                if not taken[first:last].any():
-                    taken[first:last] = True
-                    out.append((name, round(gain, 6), spots[first][1], spots[last - 1][2], lacking, added, rank))
+        for lo, hi, own in blocks:
+            rank = {name: k for k, name in enumerate(self.ranked(text[spots[lo][0] : spots[hi - 1][1]]), 1)}
+            found = [(2 * differ - len(n.words), rank[n.name], n.name, first, last, differ, len(n.words)) for n, a, b in own for differ, first, last in n.spans(have, a, b)]
+            taken = np.zeros(hi - lo, bool)
+            for _, place, name, first, last, differ, size in sorted(found):
+                if taken[first - lo : last - lo].any():
+                    continue
+                start, end = spots[first][0], spots[last - 1][1]
+                gain = self.gain(text[start:end], name)
+                if gain > 0:
+                    taken[first - lo : last - lo] = True
+                    same = (size + last - first - differ) // 2
+                    out.append((name, round(gain, 6), start, end, size - same, last - first - same, place))
         return sorted(out, key=lambda x: (x[2], x[0]))
 
-    @staticmethod
-    def _confirm(have: list[str], words: list[str], count: Counter, most: int) -> Iterator[tuple[int, int, int, int]]:
-        """first, last, words lacking and words added of all spans that fit a notice."""
-        # words of the notice in the window of each place, as a bound of what can match
-        size, left, common = len(words) + most, Counter(count), 0
-        for end in range(len(have) + size):
-            if end < len(have) and have[end] in left:
-                left[have[end]] -= 1
-                common += left[have[end]] >= 0
-            first = end - size
-            if first >= 0 and have[first] in left:
-                left[have[first]] += 1
-                common -= left[have[first]] > 0
-            first += 1
-            if first < 0 and end < len(have) - 1 or common < len(words) - most:
-                continue
-            first = max(first, 0)
-            if first >= len(have) or have[first] not in count:
-                continue
-            same = [b for b in SequenceMatcher(None, words, have[first : first + size], autojunk=False).get_matching_blocks() if b.size]
-            if not same:
-                continue
-            a, last = first + same[0].b, first + same[-1].b + same[-1].size
-            n = sum(b.size for b in same)
-            lacking, added = len(words) - n, last - a - n
-            if lacking + added <= most:
-                yield a, last, lacking, added
-
 
 def scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, tolerance: float = 0.1) -> DataFrame:
     """A row for each confirmed notice: doc_id, license, start, end, gain, lacking, added, rank."""
