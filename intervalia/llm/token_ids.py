@@ -47,12 +47,23 @@ CACHES.append(_known)
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?%&*#$]*)").fullmatch
 
 
+class Parts(dict):
+    """Ids of parts that follow a space; those that are not known are learnt when they are asked for."""
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, part: str) -> bytes:
+        return self.encoder._learn(part)
+
+
 class Encoder:
     """The ids of a text, as little-endian uint32 bytes.
 
     A plain space before a character that is no blank always begins a new piece of the byte-level
-    pattern, so a text is cut there and the ids of each part are remembered. A part of Latin letters and
-    then plain marks is two pieces, which go to the tokenizer's model by themselves; other parts, and
+    pattern, so a text is cut there and the ids of each part are remembered. A line of Latin letters and
+    then plain marks is two pieces, which go to the tokenizer's model by themselves; parts that are not lines of that kind, and
     texts with a special token or another blank after a space, go through the tokenizer whole. So do all texts
     if the file is of another kind than byte-level BPE with that pattern and without a normalizer.
     """
@@ -67,12 +78,13 @@ class Encoder:
         cut = kind["pre_tokenizer"] or {}
         self.plain = kind["normalizer"] is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and kind["model"]["type"] == "BPE" and not kind["model"].get("dropout")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.blank: set[str] = set()
-        self.parts: dict[str, bytes] = {}
+        self.blank = False
+        self.parts = Parts(self)
         self.words: dict[str, bytes] = {}
         self.before = {}, {}
         letters = {b: c for c, b in byte_alphabet().items()}
         self.shown = [letters[b] for b in range(256)]
+        self.line_end = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(self.shown[10])]) if self.plain else b""
         self.packed = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
 
     @classmethod
@@ -95,44 +107,51 @@ class Encoder:
             self.words[piece] = ids
         return ids
 
-    def _learn(self, new: list[str]) -> None:
-        """Ids of parts that follow a space."""
-        hard, older, parts, piece = [], self.before[0].get, self.parts, self._piece
-        for part in new:
-            ids = older(part)
-            if ids is not None:
-                parts[part] = ids
-            elif part.isascii() and part.isalpha():
-                parts[part] = piece(" " + part)
-            elif (m := _PLAIN(part)) is not None:
-                ids = piece(" " + m[1])
-                parts[part] = ids + piece(m[2]) if m[2] else ids
-            elif not part or part[0].isspace():
-                self.blank.add(part)
-                parts[part] = b""
-            else:
-                hard.append(part)
-        if hard:
-            parts.update(zip(hard, self._ids([" " + x for x in hard])))
+    def _by_piece(self, part: str, space: str) -> bytes | None:
+        """Ids of a part of plain lines: a line end between two characters that are no blanks is a piece of its own."""
+        piece, out = self._piece, []
+        for line in part.split("\n"):
+            m = _PLAIN(line)
+            if m is None:
+                return None
+            out.append(piece(space + m[1]))
+            if m[2]:
+                out.append(piece(m[2]))
+            out.append(self.line_end)
+            space = ""
+        del out[-1]
+        return b"".join(out)
+
+    def _learn(self, part: str) -> bytes:
+        """Ids of a part that follows a space and is not known."""
+        if not part or part[0].isspace():
+            # not remembered, so that each text with such a part is told
+            self.blank = True
+            return b""
+        ids = self.before[0].get(part)
+        if ids is None:
+            ids = self._piece(" " + part) if part.isascii() and part.isalpha() else self._by_piece(part, " ")
+            if ids is None:
+                ids = self._ids([" " + part])[0]
+        self.parts[part] = ids
+        return ids
+
+    def _encode(self, text: str) -> bytes:
+        head, *rest = text.split(" ")
+        first = self._by_piece(head, "")
+        if first is None:
+            first = self._ids([head])[0]
+        self.blank = False
+        ids = first + b"".join(map(self.parts.__getitem__, rest))
+        return self._ids([text])[0] if self.blank else ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.plain:
             return self._ids(texts)
         if len(self.parts) > REMEMBERED or len(self.words) > REMEMBERED:
-            # parts that begin with a blank are learnt anew, as they mark their texts
-            for part in self.blank:
-                del self.parts[part]
-            self.before, self.parts, self.words, self.blank = (self.parts, self.words), {}, {}, set()
-        cut = [t.split(" ") for t in texts]
-        heads_of = [c.pop(0) for c in cut]
-        seen = set().union(*cut)
-        new = seen.difference(self.parts)
-        if new:
-            self._learn(new)
-        get, blank, special = self.parts.__getitem__, self.blank, self.special
-        whole = [bool(blank) and not blank.isdisjoint(c) or any(x in t for x in special) for t, c in zip(texts, cut)]
-        heads = self._ids([t if w else h for t, h, w in zip(texts, heads_of, whole)])
-        return [h if w else h + b"".join(map(get, c)) for h, c, w in zip(heads, cut, whole)]
+            self.before, self.parts, self.words = (self.parts, self.words), Parts(self), {}
+        special = self.special
+        return [self._ids([t])[0] if any([x in t for x in special]) else self._encode(t) for t in texts]
 
 
 def pack_block(ids: np.ndarray, planes: str, compressor) -> bytes:
