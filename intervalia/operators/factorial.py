@@ -150,3 +150,23 @@ def unweighted_sql(factors: list[str], source: str) -> str:
 WITH cells AS (SELECT {", ".join(factors)}, count(*) AS n, sum(x) AS s, sum(x * x) AS q, avg(x) AS m FROM ({source}) GROUP BY ALL),
 means AS (SELECT *, {means} FROM cells)
 SELECT effect, ss, df, df_error, ss / df / (error / df_error) AS "F" FROM ({" UNION ALL ".join(rows)})"""
+
+
+def repeated_one(f: DataFrame) -> DataFrame:
+    """df, df_error and F of x by the within-subject factor a; f has s, a and x, at most one row of each s and a.
+
+    Subjects without every level are left out.
+    """
+    x = f.dropna(subset=["s", "a", "x"])
+    levels = x.agg(F.count_distinct("a").alias("k"))
+    own = x.groupBy("s").agg(F.count("*").alias("c"), F.avg("x").alias("ms"))
+    whole = own.crossJoin(F.broadcast(levels)).where("c = k").select("s", "ms", "k")  # one row
+    x = x.join(whole, "s")
+    # levels are few, and sums of all come down to one row
+    by = x.groupBy("a").agg(F.avg("x").alias("ma"), F.count("*").alias("n"))
+    mean = x.agg(F.avg("x").alias("g"))
+    c = x.join(F.broadcast(by), "a").crossJoin(F.broadcast(mean))
+    square = lambda v: F.sum(v * v)
+    df, left = F.first("k") - 1, (F.first("k") - 1) * (F.first("n") - 1)
+    out = c.agg(df.alias("df"), left.alias("df_error"), square(F.col("ma") - F.col("g")).alias("between"), square(F.col("x") - F.col("ma") - F.col("ms") + F.col("g")).alias("rest"))
+    return out.where("df > 0 AND df_error > 0").select("df", "df_error", (F.col("between") / F.col("df") / (F.col("rest") / F.col("df_error"))).alias("F"))

@@ -106,7 +106,7 @@ def local(spark, d):
 
 @query("l01_local_regression")
 def l01(spark, d):
-    """The value of events over time by user: local parabolas over as many neighbours as cross-validation takes."""
+    """The value of events over time by user: local parabolas over as many neighbours as cross-validation takes, with limits."""
     return smoothing.smoothed(local(spark, d))
 
 
@@ -116,6 +116,15 @@ def l02(spark, d):
     return smoothing.cross_validation(local(spark, d))
 
 
+@query("l03_local_predictions")
+def l03(spark, d):
+    """The local parabola of 24 events of each user at noon of every day."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("series"), F.col("event_id").alias("id"), (F.unix_micros(F.col("ts").cast("timestamp")) / DAY_US).alias("x"), F.col("value").alias("y"))
+    days = e.groupBy("series").agg(F.floor(F.min("x")).alias("a"), F.floor(F.max("x")).alias("b"))
+    noon = days.select("series", F.explode(F.sequence("a", "b")).alias("id")).withColumn("x", F.col("id") + 0.5)
+    return smoothing.predicted(e, noon, 24, 1.0)
+
+
 def with_hum(spark, d):
     """Signals with a sine of 60 Hz as strong as four times what they have themselves."""
     power = F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v) / F.size("x")

@@ -228,7 +228,8 @@ def plain_local(x, y, at, k, degree=2):
     scaled = (x - at) / (h or 1)
     basis = scaled[:, None] ** np.arange(degree + 1)
     inverse = np.linalg.pinv(basis.T @ (w[:, None] * basis), rcond=1e-10)
-    return float((inverse @ (basis.T @ (w * y)))[0]), float(inverse[0, 0])
+    weights = inverse[0] @ (basis.T * w)
+    return float(weights @ y), float(inverse[0, 0]), float(weights @ weights)
 
 
 def test_local_regression(spark):
@@ -240,18 +241,28 @@ def test_local_regression(spark):
     assert len(best) == len(e)
     for u, own in e.groupby("user_id"):
         x, y, ids = own["x"].to_numpy(), own["value"].to_numpy(), own["event_id"].to_numpy()
-        scores = {}
+        scores, errors, norms = {}, {}, {}
         for k in iq.NEIGHBOURS:
             plain = [plain_local(x, y, v, min(k, len(x))) for v in x]
             rows = got[(got["series"] == u) & (got["k"] == k)].set_index("id").loc[ids]
             assert np.allclose(rows["fit"], [p[0] for p in plain], atol=1e-4) and np.allclose(rows["leverage"], [p[1] for p in plain], atol=1e-4)
             trace, res = sum(p[1] for p in plain), sum((a - p[0]) ** 2 for a, p in zip(y, plain))
+            free = len(x) - 2 * trace + sum(p[2] for p in plain)
+            errors[k] = math.sqrt(res / free) if free > 1e-6 else math.nan
+            norms[k] = np.array([p[2] for p in plain])
             scores[k] = len(x) * res / (len(x) - trace) ** 2 if len(x) - trace > 1e-6 else math.inf
             own_gcv = gcv[(gcv["series"] == u) & (gcv["k"] == k)].iloc[0]
             if math.isfinite(scores[k]):
-                assert np.isclose(own_gcv["gcv"], scores[k], rtol=1e-3) and np.isclose(own_gcv["trace"], trace, rtol=1e-3)
+                assert np.isclose(own_gcv["gcv"], scores[k], rtol=1e-3) and np.isclose(own_gcv["trace"], trace, rtol=1e-3) and np.isclose(own_gcv["sigma"], errors[k], rtol=1e-3)
+                assert np.isclose(own_gcv["aic"], len(x) * math.log(res / len(x)) + 2 * trace, rtol=1e-3)
+                if max(p[1] for p in plain) < 0.9:
+                    assert np.isclose(own_gcv["lcv"], sum(((a - p[0]) / (1 - p[1])) ** 2 for a, p in zip(y, plain)), rtol=1e-3)
         finite = {k: v for k, v in scores.items() if math.isfinite(v)}
-        assert set(best[best["series"] == u]["k"]) == {min(finite, key=lambda k: (finite[k], k)) if finite else max(scores)}
+        chosen = min(finite, key=lambda k: (finite[k], k)) if finite else max(scores)
+        rows = best[best["series"] == u].set_index("id").loc[ids]
+        assert set(rows["k"]) == {chosen}
+        if math.isfinite(errors[chosen]):
+            assert np.allclose(rows["upper"] - rows["lower"], 2 * 1.959963984540054 * errors[chosen] * np.sqrt(norms[chosen]), rtol=1e-3, atol=1e-3)
 
 
 def test_local_regression_across_buckets(spark):
@@ -264,12 +275,37 @@ def test_local_regression_across_buckets(spark):
     own = fits[fits["series"] == 1].sort_values("id")
     assert len(own) == 1500
     for i in range(0, 1500, 37):
-        f, h = plain_local(x, y, x[i], 60)
+        f, h, _ = plain_local(x, y, x[i], 60)
         assert abs(own["fit"].iloc[i] - f) < 1e-6 and abs(own["leverage"].iloc[i] - h) < 1e-6
     assert np.abs(own["fit"] - np.sin(x / 3)).max() < 0.2
     assert fits[fits["series"] == 2]["fit"].tolist() == [3.0] and np.allclose(fits[fits["series"] == 4]["fit"], 2.0) and set(fits["series"]) == {1, 2, 4}
 
 
+def test_local_predictions(spark):
+    e = pd.read_parquet(f"{SF}/events.parquet")
+    e["x"] = e["ts"].astype("datetime64[us]").astype("int64") / iq.DAY_US
+    got = iq.l03(spark, SF).toPandas()
+    for u, own in e.groupby("user_id"):
+        own = own.sort_values(["x", "event_id"])
+        x, y = own["x"].to_numpy(), own["value"].to_numpy()
+        rows = got[got["series"] == u].sort_values("id")
+        assert rows["id"].tolist() == list(range(math.floor(x.min()), math.floor(x.max()) + 1))
+        assert np.allclose(rows["fit"], [plain_local(x, y, v, min(24, len(x)))[0] for v in rows["x"]], atol=1e-4)
+
+
+def test_predictions_across_buckets(spark):
+    draw = np.random.default_rng(10)
+    x = np.sort(draw.uniform(0, 40, 1300))
+    y = np.cos(x / 2)
+    rows = spark.createDataFrame([(1, i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "series long, id long, x double, y double")
+    at = [-1.0, 0.0, float(x[511]), float(x[512]), 20.0, 20.0, 39.9, 41.0]
+    asked = spark.createDataFrame([(1, i, v) for i, v in enumerate(at)] + [(2, 0, 1.0), (1, 99, None)], "series long, id long, x double")
+    got = {(r.series, r.id): r.fit for r in smoothing.predicted(rows, asked, 50, 3.0).collect()}
+    assert set(got) == {*((1, i) for i in range(8)), (2, 0)} and got[2, 0] is None
+    for i, v in enumerate(at):
+        assert abs(got[1, i] - plain_local(x, y, v, 50)[0]) < 1e-6
+
+
 def test_planted_lines_vanish():
     draw = np.random.default_rng(9)
     t = np.arange(512) / 1000
