@@ -1,7 +1,7 @@
 """Multitaper transforms of point processes and sampled series as sums over rows, their spectra, coherence and errors.
 
-A row is an event or a sample: series, trial, t (time since the start of the trial) and w (1 for an event, the value of
-a sample). The transform of a trial is a sum over its rows, so tasks send partial sums and a series
+A row is an event or a sample: series, trial, t (time since the start of the trial) and w (1 for an event, the events of a bin, or the value of
+a sample); n is the sum of w. The transform of a trial is a sum over its rows, so tasks send partial sums and a series
 or trial with a very large share of the rows is shared by many tasks. A transform has a row for each series, trial,
 frequency number i and taper k: (series, trial, i, k, hz, re, im, n). Spectra, coherence and their jackknives are groupings and windows over those
 rows. A trial of a series exists if it has a row.
@@ -61,13 +61,13 @@ def transforms(rows: DataFrame, grid: Grid, *, less_rate: bool = False) -> DataF
                 series, trial = own["series"].to_numpy(), own["trial"].to_numpy()
                 first = np.flatnonzero(np.concatenate(([True], (series[1:] != series[:-1]) | (trial[1:] != trial[:-1]))))
                 total = np.add.reduceat(grid.parts(own["t"].to_numpy(float), own["w"].to_numpy(float)), first, axis=0)
-                count = np.diff(np.append(first, len(own)))
+                count = np.add.reduceat(own["w"].to_numpy(float), first)
                 yield pd.DataFrame({"series": series[first], "trial": trial[first], "n": count, "re": list(total.real), "im": list(total.imag)})
 
     # neighbours in a range of series, trials and times are summed before they are sent; a range can part a trial
     near = rows.select(F.col("series").cast("long").alias("series"), F.col("trial").cast("long").alias("trial"), F.col("t").cast("double").alias("t"), F.col("w").cast("double").alias("w"))
     near = near.repartitionByRange("series", "trial", "t").sortWithinPartitions("series", "trial", "t")
-    sums = near.mapInPandas(part, "series long, trial long, n long, re array<double>, im array<double>")
+    sums = near.mapInPandas(part, "series long, trial long, n double, re array<double>, im array<double>")
     each = sums.select("series", "trial", "n", F.posexplode(F.arrays_zip("re", "im")).alias("at", "z")).groupBy("series", "trial", "at")
     each = each.agg(F.sum("n").alias("n"), F.sum("z.re").alias("re"), F.sum("z.im").alias("im"))
     i = F.floor(F.col("at") / grid.k).cast("int")
@@ -193,6 +193,31 @@ def in_trials(points: DataFrame, width_us: int, unit_us: int, weight: Column | N
     return points.select("series", trial.alias("trial"), ((F.col("t_us") - trial * width_us) / unit_us).alias("t"), (F.lit(1.0) if weight is None else weight).alias("w"))
 
 
+def counted(points: DataFrame, width_us: int, unit_us: int, fs: float) -> DataFrame:
+    """The same for events that are counted by sampling interval: their number, at its middle."""
+    x = in_trials(points, width_us, unit_us)
+    return x.groupBy("series", "trial", F.floor(F.col("t") * fs).alias("s")).agg(F.sum("w").alias("w")).select("series", "trial", ((F.col("s") + 0.5) / fs).alias("t"), "w")
+
+
+def about(triggers: DataFrame, points: DataFrame, before_us: int, after_us: int, unit_us: int) -> DataFrame:
+    """Rows for transforms of the points (series, t_us) about triggers (series, id, t_us): a trial is a trigger, its start before_us ahead of it.
+
+    A point at the end of a trial is left out, so trials that touch do not share it.
+    """
+    from intervalia.operators.rangejoin import points_in
+
+    width = before_us + after_us
+    trials = triggers.select("series", F.col("id").alias("trial"), (F.col("t_us") - before_us).alias("start_us"), (F.col("t_us") + after_us - 1).alias("stop_us"))
+    near = points_in(trials, points.select("series", "t_us"), width)
+    return near.select("series", "trial", ((F.col("t_us") - F.col("start_us")) / unit_us).alias("t"), F.lit(1.0).alias("w"))
+
+
+def by_trial(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """pairs with each trial as a series of its own, numbered in `series`, for coherence over tapers alone; and the numbers."""
+    trials = pairs.select("series", "trial").distinct()
+    return pairs.withColumn("series", F.xxhash64("series", "trial")), trials.select(F.xxhash64("series", "trial").alias("pair"), "series", "trial")
+
+
 def sampled(points: DataFrame, width_us: int, unit_us: int, fs: float) -> DataFrame:
     """The same for events with a value: the sum of the values of each sampling interval, at its middle."""
     x = in_trials(points, width_us, unit_us, F.col("value"))

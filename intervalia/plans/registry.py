@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from intervalia.plans import analysis_queries, comparison_queries, file_queries, inference_queries, interval_queries, learning_queries, mode_queries, model_queries, repeat_queries, rule_queries, signal_queries, source_queries, spectral_queries, wave_queries  # noqa: F401
+    from intervalia.plans import analysis_queries, comparison_queries, file_queries, inference_queries, interval_queries, learning_queries, mode_queries, model_queries, recognition_queries, repeat_queries, rule_queries, signal_queries, source_queries, spectral_queries, wave_queries  # noqa: F401
 
 
 def queries() -> dict:

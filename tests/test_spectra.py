@@ -240,5 +240,68 @@ def test_distributions():
     assert np.allclose(dist.chi2_cdf(3.0, 2), 1 - math.exp(-1.5)) and np.allclose(dist.t_two_sided(1.0, 1), 0.5)
 
 
+def test_binned_spectrum(spark):
+    e = events()
+    got = sq.m13(spark, SF).toPandas()
+    u = int(got["series"].iloc[0])
+    own = e[(e["user_id"] == u) & (e["event_type"] == "view")]
+    parts, count = [], 0
+    for _, x in own.groupby("trial"):
+        c = np.bincount((x["t"] * RATE).astype(int), minlength=N)
+        wave = np.exp(-2j * np.pi * HZ[:, None] * MIDDLES)
+        parts.append(wave @ (TAPERS * (c - c.mean())).T)
+        count += len(x)
+    s, _, m = jackknife(stacked(parts))
+    rows = got[got["series"] == u].sort_values("hz")
+    assert np.allclose(rows["power"], s) and np.allclose(rows["rate"], count / (6 * len(parts)))
+
+
+def test_triggered_spectrum(spark):
+    e = events()
+    e["us"] = e["ts"].astype("datetime64[us]").astype("int64")
+    got = sq.m14(spark, SF).toPandas()
+    u = int(got["series"].iloc[0])
+    own = e[e["user_id"] == u]
+    seen = own[own["event_type"] == "view"]["us"].to_numpy()
+    hz = sq.ABOUT.hz
+    tapers, middles = slepian(48, 3.0, 5) * math.sqrt(RATE), (np.arange(48) + 0.5) / RATE
+    level = np.exp(-2j * np.pi * hz[:, None] * middles) @ tapers.T
+    parts, day = [], 86_400_000_000
+    for t0 in own[own["event_type"] == "purchase"]["us"]:
+        t = (seen[(seen >= t0 - day) & (seen < t0 + day)] - t0 + day) / day
+        if len(t):
+            w = np.array([[np.interp(a, middles, row) for row in tapers] for a in t])
+            parts.append(np.exp(-2j * np.pi * hz[:, None] * t) @ w - level * len(t) / 48)
+    rows = got[got["series"] == u].sort_values("hz")
+    assert np.allclose(rows["power"], (np.abs(stacked(parts)) ** 2).mean(1))
+
+
+def test_coherogram(spark):
+    e = events()
+    got = sq.m15(spark, SF).toPandas()
+    u = int(got["series"].iloc[0])
+    spent, viewed = spending_of(e, u), views_of(e, u)
+    own = got[got["series"] == u]
+    assert sorted(set(own["trial"])) == sorted(set(spent) & set(viewed))
+    for trial, rows in own.groupby("trial"):
+        c, _, _ = pair_of(spent[trial], viewed[trial][0])
+        rows = rows.sort_values("hz")
+        assert np.allclose(rows["coherence"], np.abs(c)) and np.allclose(np.exp(1j * rows["phase"]), np.exp(1j * np.angle(c)))
+
+
+def test_welch(spark, signals):
+    got = sq.m16(spark, SF).toPandas()
+    for sid in list(signals)[:5]:
+        x, parts = signals[sid], []
+        taper = np.array([0.5 - 0.5 * math.cos(2 * math.pi * k / 128) for k in range(128)])
+        for s in range(0, len(x) - 127, 64):
+            y = (x[s : s + 128] - x[s : s + 128].mean()) * taper
+            j = np.array([abs(sum(y * np.exp(-2j * np.pi * f * np.arange(128) / 128))) ** 2 for f in range(65)])
+            j[1:64] *= 2
+            parts.append(j / 1000 / (taper**2).sum())
+        rows = got[got["sid"] == sid].sort_values("hz")
+        assert np.allclose(rows["power"], np.mean(parts, 0)) and (rows["windows"] == len(parts)).all()
+
+
 def test_registered():
     assert {"m05_point_spectrum", "m06_spike_field_coherence", "m07_point_spectrogram", "m08_segment_coherence", "q14_spectral_errors", "q16_two_group_coherence"} <= set(registry.queries())
