@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from intervalia.operators import tiles
+from intervalia.sources.shared import written
 
 
 def total(x: Column) -> Column:
@@ -16,9 +17,9 @@ def euclidean(a: Column, b: Column) -> Column:
     return F.sqrt(total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))))
 
 
-def pairs(vectors: DataFrame) -> DataFrame:
-    """i < j, Euclidean distance and labels of all pairs, in tiles."""
-    return tiles.pairs(vectors, tiles.euclidean)
+def pairs(vectors: DataFrame, within: bool = False) -> DataFrame:
+    """i < j, Euclidean distance and labels of all pairs, or of those within a label, in tiles."""
+    return tiles.pairs(vectors, tiles.euclidean, within=within)
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
@@ -44,8 +45,9 @@ def empirical(edges: DataFrame, ranges: int = 64) -> DataFrame:
     """Rank over N of each distance, ties by (i, j), without one task for all rows.
 
     Distances are cut into ranges at percentiles; a row's rank is its rank in the range after the rows of
-    the ranges before it.
+    the ranges before it. The edges are written to the shared folder once, as they are read three times.
     """
+    edges = written(edges, "edges")
     cuts = edges.agg(F.percentile_approx("d", F.lit([k / ranges for k in range(1, ranges)])).alias("cuts"))
     cut = edges.crossJoin(F.broadcast(cuts)).withColumn("g", F.aggregate("cuts", F.lit(0), lambda a, c: a + F.when(c < F.col("d"), 1).otherwise(0))).drop("cuts")
     sizes = cut.groupBy("g").agg(F.count("*").alias("n"))

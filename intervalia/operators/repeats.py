@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from intervalia.operators.smoothing import ranked
-from intervalia.sources.shared import shared_folder
+from intervalia.sources.shared import written
 
 #: Places of a class that one task sorts, symbols that a larger class is divided by, and symbols that a smaller one is first sorted by.
 MOST, STEP, FIRST = 20_000, 6, 32
@@ -27,12 +27,6 @@ def placed(rows: DataFrame, stretch: float) -> DataFrame:
     return at.select("series", "id", "x", "r").join(rows.select("series", "id", "x", "c"), ["series", "id", "x"]).select("series", "r", "c")
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    path = shared_folder(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _chunks(symbols: DataFrame, size: int) -> DataFrame:
     """series, b and s: the symbols of places b * size up to (b + 2) * size."""
     own = symbols.groupBy("series", F.floor(F.col("r") / size).alias("b")).agg(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("r", "c"))), lambda t: t["c"])).alias("s"))

@@ -14,19 +14,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIZE = 256
+#: Pairs whose rows are laid side by side at a time.
+AT_ONCE = 8192
 
 
-def tiled(items: DataFrame, key: str, f: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame], schema: str, size: int = SIZE) -> DataFrame:
+def tiled(items: DataFrame, key: str, f: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame], schema: str, size: int = SIZE, within: str | None = None) -> DataFrame:
     """f(a, b, same) over all pairs of blocks: two frames of items, or the same one twice.
 
-    Rows with a null key are left out. An empty table gives no rows.
+    within names a column: blocks are then of items that are alike in it, and only those meet. Rows with a null key, or null
+    there, are left out. An empty table gives no rows.
     """
     items = items.where(F.col(key).isNotNull())
-    n = max(1, -(-items.count() // size))
-    block = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    if within is None:
+        items = items.withColumn("_n", F.lit(max(1, -(-items.count() // size))))
+    else:
+        counts = items.groupBy(within).agg(F.ceil(F.count("*") / size).alias("_n"))
+        items = items.join(counts, within)
+    block = F.pmod(F.xxhash64(key), F.col("_n")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int")))
     dealt = items.withColumn("_b", block).withColumn("_o", other)
-    dealt = dealt.withColumns({"_x": F.least("_b", "_o"), "_y": F.greatest("_b", "_o")}).drop("_o")
+    dealt = dealt.withColumns({"_x": F.least("_b", "_o"), "_y": F.greatest("_b", "_o")}).drop("_o", "_n")
 
     def each(group: pd.DataFrame) -> pd.DataFrame:
         x, y = int(group["_x"].iloc[0]), int(group["_y"].iloc[0])
@@ -34,13 +41,14 @@ def tiled(items: DataFrame, key: str, f: Callable[[pd.DataFrame, pd.DataFrame, b
         a, b = (own[own["_b"] == k].drop(columns="_b") for k in (x, y))
         return f(a, b, x == y)
 
-    return dealt.groupBy("_x", "_y").applyInPandas(each, schema)
+    return dealt.groupBy("_x", "_y", *([within] if within else [])).applyInPandas(each, schema)
 
 
-def pairs(vectors: DataFrame, measure: Callable[[np.ndarray, np.ndarray], np.ndarray], symmetric: bool = True, size: int = SIZE) -> DataFrame:
-    """i < j, labels li and lj, and d = measure(rows, rows) of all pairs of vectors (vec_id, v, label).
+def pairs(vectors: DataFrame, measure: Callable[[np.ndarray, np.ndarray], np.ndarray], symmetric: bool = True, size: int = SIZE, within: bool = False) -> DataFrame:
+    """i < j, labels li and lj, and d = measure(rows, rows) of all pairs of vectors (vec_id, v, label), or of those within a label.
 
-    A measure that is not symmetric gets i as its first row.
+    A symmetric measure gives the distances of all rows of one to all rows of the other. One that is not gets
+    a row of i and one of j for each pair, and gives their distances.
     """
 
     def each(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
@@ -50,12 +58,14 @@ def pairs(vectors: DataFrame, measure: Callable[[np.ndarray, np.ndarray], np.nda
         ka, kb, la, lb = a["vec_id"].to_numpy(), b["vec_id"].to_numpy(), a["label"].to_numpy(), b["label"].to_numpy()
         x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
         turn = ka[i] > kb[j]
-        d = measure(x, y)[i, j]
-        if turn.any() and not symmetric:
-            d = np.where(turn, measure(y, x)[j, i], d)
+        if symmetric:
+            d = measure(x, y)[i, j]
+        else:
+            parts = [slice(k, k + AT_ONCE) for k in range(0, len(i), AT_ONCE)]
+            d = np.concatenate([np.zeros(0), *[measure(np.where(turn[p, None], y[j[p]], x[i[p]]), np.where(turn[p, None], x[i[p]], y[j[p]])) for p in parts]])
         return pd.DataFrame({"i": np.where(turn, kb[j], ka[i]), "j": np.where(turn, ka[i], kb[j]), "li": np.where(turn, lb[j], la[i]), "lj": np.where(turn, la[i], lb[j]), "d": d})
 
-    return tiled(vectors.select("vec_id", "v", "label"), "vec_id", each, "i long, j long, li int, lj int, d double", size)
+    return tiled(vectors.select("vec_id", "v", "label"), "vec_id", each, "i long, j long, li int, lj int, d double", size, "label" if within else None)
 
 
 def euclidean(a: np.ndarray, b: np.ndarray) -> np.ndarray:

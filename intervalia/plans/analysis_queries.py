@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from intervalia.operators import codebooks, factorial, linkage, measures, models, ranks, tiles, triggered
+from intervalia.operators import codebooks, factorial, linkage, matching, measures, models, neighbours, ranks, tiles, triggered
 from intervalia.plans.learning_queries import regressions
 from intervalia.plans.registry import query
 from intervalia.plans.signal_queries import TRAIN, train
@@ -256,3 +256,30 @@ def f10(spark, d):
     near = measures.empirical(measures.pairs(v).withColumn("d", F.round("d", 6))).select("i", "j", "p")
     along = measures.empirical(tiles.pairs(v, codebooks.city).withColumn("d", F.round("d", 6))).select("i", "j", F.col("p").alias("q"))
     return near.join(along, ["i", "j"]).select("i", "j", F.round(F.sqrt(F.col("p") * F.col("q")), 9).alias("fused"))
+
+
+@query("p20_nearest_neighbours", TRAIN + ", q AS (SELECT a.vec_id AS i, b.vec_id AS j, round(list_distance(a.v, b.v), 6) AS d FROM ve a JOIN ve b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id) SELECT i, j, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS place FROM q QUALIFY place <= 5")
+def p20(spark, d):
+    """The five nearest vectors of every one whose id is divisible by 20."""
+    v = vectors(spark, d)
+    return neighbours.nearest(v, v.where("vec_id % 20 = 0"), 5).withColumn("d", F.round("d", 6))
+
+
+def template_scores(spark, d):
+    v = vectors(spark, d)
+    return matching.scores(v, matching.templates(v, 4))
+
+
+@query("c30_template_matches")
+def c30(spark, d):
+    """The type of template that each vector is most like, of four templates of each label."""
+    return matching.best(template_scores(spark, d))
+
+
+@query("c31_consensus_matches")
+def c31(spark, d):
+    """The type that the vectors of each label are most like on the whole, and the share of them that say so alone."""
+    s = template_scores(spark, d).join(vectors(spark, d).select(F.col("vec_id").alias("i"), "label"), "i")
+    alone = matching.best(s).join(vectors(spark, d).select(F.col("vec_id").alias("i"), "label"), "i").select("label", F.col("type").alias("own"))
+    whole = matching.best(s, "label")
+    return alone.join(whole, "label").groupBy("label", "type", "score").agg(F.avg((F.col("own") == F.col("type")).cast("double")).alias("agreement"))

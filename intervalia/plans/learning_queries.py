@@ -38,7 +38,7 @@ def c06(spark, d):
 def fused(spark, d, *, cepstral: bool = False):
     """Pairs with the geometric mean of their ranks by warped and by plain distance."""
     v = vectors(spark, d)
-    far = tiles.pairs(v, lambda a, b: warp.all_pairs(10 * a, 10 * b, 2 if cepstral else 4), False)
+    far = tiles.pairs(v, lambda a, b: warp.each_pair(10 * a, 10 * b, 2 if cepstral else 4), False)
     near = tiles.pairs(v, tiles.euclidean)
     rank = lambda x, name: measures.empirical(x.select("i", "j", "d")).select("i", "j", F.col("p").alias(name))
     return rank(far, "p").join(rank(near, "q"), ["i", "j"]).select("i", "j", F.sqrt(F.col("p") * F.col("q")).alias("d"))
@@ -119,7 +119,7 @@ def k12(spark, d):
 @query("k05_adapted_threshold")
 def k05(spark, d):
     """The 90th percentile of the distances within each label: two members drawn again and again come to all its pairs."""
-    p = tiles.pairs(vectors(spark, d), tiles.euclidean).where("li = lj")
+    p = tiles.pairs(vectors(spark, d), tiles.euclidean, within=True)
     return p.groupBy(F.col("li").alias("label")).agg(F.round(F.percentile("d", 0.9), 9).alias("threshold"), F.count("*").alias("pairs"))
 
 

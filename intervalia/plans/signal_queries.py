@@ -252,7 +252,7 @@ CENTRE = TRAIN + ", me AS (SELECT i, li, avg(d * d) AS ms, sum(d * d) AS ss FROM
 
 
 def medoids(spark, d):
-    own = X.symmetric(X.pairs(train(spark, d))).where("li = lj")
+    own = X.symmetric(X.pairs(train(spark, d), within=True))
     each = own.groupBy("i", "li").agg(F.avg(F.col("d") * F.col("d")).alias("ms"))
     return each.groupBy(F.col("li").alias("label")).agg(F.min(F.struct(R("ms", 9).alias("r"), "i", "ms")).alias("m")).select("label", F.col("m.i").alias("medoid"), F.col("m.ms").alias("ms"))
 
@@ -275,14 +275,14 @@ def c10(spark, d):
 
 @query("c11_cluster_diameter", TRAIN + " SELECT li AS label, round(max(d), 6) AS diameter, round(avg(d), 6) AS mean_sep, round(stddev_samp(d), 6) AS std_sep FROM pr WHERE li = lj GROUP BY li")
 def c11(spark, d):
-    return X.pairs(train(spark, d)).where("li = lj").groupBy(F.col("li").alias("label")).agg(R(F.max("d"), 6).alias("diameter"), R(F.avg("d"), 6).alias("mean_sep"), R(F.stddev_samp("d"), 6).alias("std_sep"))
+    return X.pairs(train(spark, d), within=True).groupBy(F.col("li").alias("label")).agg(R(F.max("d"), 6).alias("diameter"), R(F.avg("d"), 6).alias("mean_sep"), R(F.stddev_samp("d"), 6).alias("std_sep"))
 
 
 CENTRAL = TRAIN + ", a AS (SELECT i, li, avg(d) AS m FROM sy WHERE li = lj GROUP BY i, li), o AS (SELECT i, li, row_number() OVER (PARTITION BY li ORDER BY round(m, 6), i) AS place FROM a)"
 
 
 def central(spark, d):
-    a = X.symmetric(X.pairs(train(spark, d))).where("li = lj").groupBy("i", "li").agg(F.avg("d").alias("m"))
+    a = X.symmetric(X.pairs(train(spark, d), within=True)).groupBy("i", "li").agg(F.avg("d").alias("m"))
     return a.withColumn("place", F.row_number().over(Window.partitionBy("li").orderBy(R("m", 6), "i")))
 
 

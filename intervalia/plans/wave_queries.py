@@ -285,7 +285,7 @@ def a03(spark, d):
 
 @query("p04_time_warp")
 def p04(spark, d):
-    return tiles.pairs(vectors(spark, d), lambda a, b: warp.all_pairs(10 * a, 10 * b, 4), False).select("i", "j", F.round("d", 9).alias("d"))
+    return tiles.pairs(vectors(spark, d), lambda a, b: warp.each_pair(10 * a, 10 * b, 4), False).select("i", "j", F.round("d", 9).alias("d"))
 
 
 @query("p05_length_normalised_warp")
@@ -308,7 +308,7 @@ def p06(spark, d):
         return pd.DataFrame({"vec_id": [sid], "v": [mel(x)[0].reshape(-1)]})
 
     c = each_signal(signals(spark, d).where(F.size("x") == 512), one, "vec_id long, v array<double>").withColumn("label", F.lit(0))
-    return tiles.pairs(c, lambda a, b: warp.all_pairs(a, b, 13), False).select("i", "j", F.round("d", 9).alias("d"))
+    return tiles.pairs(c, lambda a, b: warp.each_pair(a, b, 13), False).select("i", "j", F.round("d", 9).alias("d"))
 
 
 @query("p18_distance_panel")
@@ -318,7 +318,7 @@ def p18(spark, d):
 
     v = vectors(spark, d)
     o = offsets.slid(v).where("i < j").select("i", "j", "distance", "mean", "most", "least", "median", "rms")
-    w = tiles.pairs(v, lambda a, b: warp.all_pairs(10 * a, 10 * b, 4), False).select("i", "j", F.col("d").alias("warped"))
+    w = tiles.pairs(v, lambda a, b: warp.each_pair(10 * a, 10 * b, 4), False).select("i", "j", F.col("d").alias("warped"))
     e = tiles.pairs(v, tiles.euclidean).select("i", "j", F.col("d").alias("euclidean"))
     return o.join(w, ["i", "j"]).join(e, ["i", "j"])
 

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from intervalia.operators import codebooks, factorial, linkage, ranks, triggered
+from intervalia.operators import codebooks, factorial, linkage, neighbours, ranks, tiles, triggered
 from intervalia.operators.dsp import local_line
 from intervalia.plans import analysis_queries as aq
 
@@ -155,3 +155,64 @@ def test_regressions_of_all_dimensions(spark, table):
 def test_all_dimensions_of_a_mixture(spark):
     got = aq.c16_all(spark, SF).toPandas()
     assert sorted(got["dim"]) == list(range(64)) and (got["d_prime"] >= 0).all()
+
+
+def test_nearest_with_ties_and_few(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "ASKED", 3)
+    monkeypatch.setattr(neighbours, "HELD", 7)
+    draw = np.random.default_rng(4)
+    x = np.round(draw.normal(size=(60, 2)))
+    rows = [(k, [float(v) for v in x[k]]) for k in range(60)] + [(99, None)]
+    v = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    got = {}
+    for r in neighbours.nearest(v, v.where("vec_id % 7 = 0"), 4).collect():
+        got.setdefault(r.i, []).append((r.place, r.j, r.d))
+    assert set(got) == set(range(0, 60, 7))
+    for i, found in got.items():
+        want = sorted((float(np.linalg.norm(x[i] - x[j])), j) for j in range(60) if j != i)[:4]
+        assert [f[1] for f in sorted(found)] == [j for _, j in want] and np.allclose([f[2] for f in sorted(found)], [d for d, _ in want])
+    one = v.where("vec_id = 0")
+    assert neighbours.nearest(one, one, 3).count() == 0
+
+
+def test_pairs_within_labels(spark, table):
+    ids, label, x = table
+    from intervalia.sources.fixtures import vectors
+
+    got = {(r.i, r.j): (r.li, r.lj, r.d) for r in tiles.pairs(vectors(spark, SF), tiles.euclidean, size=8, within=True).collect()}
+    want = {(ids[a], ids[b]) for a in range(len(ids)) for b in range(len(ids)) if ids[a] < ids[b] and label[a] == label[b]}
+    assert set(got) == want
+    for a, b in list(want)[:50]:
+        p, q = np.flatnonzero(ids == a)[0], np.flatnonzero(ids == b)[0]
+        assert got[a, b][0] == got[a, b][1] == label[p] and np.isclose(got[a, b][2], np.linalg.norm(x[p] - x[q]))
+
+
+def test_template_matches(spark, table):
+    from intervalia.operators import warp
+
+    ids, label, x = table
+    chosen = sorted(i for b in set(label) for i in ids[label == b][:4])
+    at = [int(np.flatnonzero(ids == i)[0]) for i in chosen]
+    near = np.sqrt(((x[:, None] - x[at][None]) ** 2).sum(2))
+    far = warp.all_pairs(10 * x, 10 * x[at], 4)
+
+    def ranks_of(d):
+        order = sorted((round(d[i, j], 9), ids[i], j) for i in range(len(ids)) for j in range(len(at)))
+        out = np.zeros(d.shape)
+        place = {i: k for k, i in enumerate(ids)}
+        for r, (_, i, j) in enumerate(order, 1):
+            out[place[i], j] = r / len(order)
+        return out
+
+    f = np.sqrt(ranks_of(near) * ranks_of(far))
+    apart = 1 - np.corrcoef(np.concatenate([f, f[at]]))[: len(ids), len(ids) :]
+    types = sorted(set(label))
+    means = np.stack([apart[:, [label[k] == t for k in at]].mean(1) for t in types], 1)
+    got = {r.i: (r.type, r.score) for r in aq.c30(spark, SF).collect()}
+    assert set(got) == set(ids.tolist())
+    for k, i in enumerate(ids):
+        assert got[i][0] == types[int(np.argmin(np.round(means[k], 9)))] and np.isclose(got[i][1], means[k].min(), atol=1e-7)
+    best = np.array(types)[means.argmin(1)]
+    for r in aq.c31(spark, SF).collect():
+        own = means[label == r.label]
+        assert r.type == types[int(own.mean(0).argmin())] and np.isclose(r.score, own.mean(0).min(), atol=1e-7) and np.isclose(r.agreement, (best[label == r.label] == r.type).mean())
