@@ -1,7 +1,9 @@
-"""Nearest neighbours of some vectors among all, without forming all pairs."""
+"""Searches of some vectors among all, without forming all pairs: nearest neighbours, and mean distances to types of templates."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -13,33 +15,63 @@ from intervalia.operators import tiles
 ASKED, HELD = 1024, 4096
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """i, j, d and place of the k vectors (vec_id, v) nearest to each query (vec_id, v), itself left out; equal distances by vec_id.
+def by_blocks(vectors: DataFrame, queries: DataFrame, f: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """f(asks, holds) over all pairs of a block of queries and a block of vectors, both (vec_id, v, label); null vectors are left out.
 
-    Queries go to the tasks of the vectors in blocks; each task keeps the k best of its block for every query, so what is shuffled is k rows for each query
-    and block, not all pairs.
+    Vectors are sent once for each block of queries, and queries once for each block of vectors; f should give less than a row for each pair.
     """
-    x = vectors.where("v IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("v"))
-    q = queries.where("v IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("v"))
+    typed = lambda x: x.where("v IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("v"), F.col("label").cast("int").alias("label"))
+    x, q = typed(vectors), typed(queries)
     m, n = max(1, -(-q.count() // ASKED)), max(1, -(-x.count() // HELD))
-    block = lambda c, parts: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
-    ask = q.withColumn("a", block("vec_id", m)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("asks", F.lit(True))
-    have = x.withColumn("b", block("vec_id", n)).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).withColumn("asks", F.lit(False))
+    block = lambda parts: F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
+    ask = q.withColumn("a", block(m)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("asks", F.lit(True))
+    hold = x.withColumn("b", block(n)).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).withColumn("asks", F.lit(False))
 
-    def best(own):
+    def each(own):
         a, b = own[own["asks"]].sort_values("vec_id"), own[~own["asks"]].sort_values("vec_id")
-        out = {"i": [], "j": [], "d": []}
+        return f(a, b)
+
+    return ask.unionByName(hold).groupBy("a", "b").applyInPandas(each, schema)
+
+
+def rows_of(x: pd.DataFrame) -> np.ndarray:
+    return np.stack(x["v"].to_numpy()) if len(x) else np.zeros((0, 0))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """i, j, its label lj, d and place of the k vectors (vec_id, v, label) nearest to each query, itself left out; distances equal to six places by vec_id.
+
+    Each task keeps the k best of its block for every query, so what is shuffled after it is k rows for each query and block.
+    """
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = {"i": [], "j": [], "lj": [], "d": []}
         if len(a) and len(b):
-            d = tiles.euclidean(np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy()))
-            ids = b["vec_id"].to_numpy()
-            for key, row in zip(a["vec_id"].to_numpy(), d):
+            ids, labels = b["vec_id"].to_numpy(), b["label"].to_numpy()
+            for key, row in zip(a["vec_id"].to_numpy(), np.round(tiles.euclidean(rows_of(a), rows_of(b)), 6)):
                 keep = np.flatnonzero(ids != key)
                 keep = keep[np.lexsort((ids[keep], row[keep]))[:k]]
                 out["i"] += [key] * len(keep)
-                out["j"] += ids[keep].tolist()
-                out["d"] += row[keep].tolist()
-        return pd.DataFrame(out).astype({"i": "int64", "j": "int64", "d": "float64"})
+                for name, values in (("j", ids), ("lj", labels), ("d", row)):
+                    out[name] += values[keep].tolist()
+        return pd.DataFrame(out).astype({"i": "int64", "j": "int64", "lj": "float64", "d": "float64"})
 
-    found = ask.unionByName(have).groupBy("a", "b").applyInPandas(best, "i long, j long, d double")
+    found = by_blocks(vectors, queries, best, "i long, j long, lj double, d double").withColumn("lj", F.col("lj").cast("int"))
     # k rows of each block of vectors meet in the window of a query
     return found.withColumn("place", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("place") <= k)
+
+
+def mean_by_type(vectors: DataFrame, templates: DataFrame) -> DataFrame:
+    """item, label, type and d: the mean distance of every vector to the templates of each label, itself left out."""
+
+    def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"item": [], "label": [], "type": [], "s": [], "n": []}).astype({"item": "int64", "label": "int32", "type": "int32", "s": "float64", "n": "int64"})
+        d = tiles.euclidean(rows_of(b), rows_of(a))
+        other = b["vec_id"].to_numpy()[:, None] != a["vec_id"].to_numpy()
+        types = np.unique(a["label"].to_numpy())
+        kind = a["label"].to_numpy()[:, None] == types
+        return pd.DataFrame({"item": np.repeat(b["vec_id"].to_numpy(), len(types)), "label": np.repeat(b["label"].to_numpy(), len(types)), "type": np.tile(types, len(b)), "s": ((d * other) @ kind).reshape(-1), "n": (other @ kind.astype(int)).reshape(-1)})
+
+    parts = by_blocks(vectors.where("label IS NOT NULL"), templates.where("label IS NOT NULL"), sums, "item long, label int, type int, s double, n long")
+    return parts.groupBy("item", "label", "type").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).where("n > 0").select("item", "label", "type", (F.col("s") / F.col("n")).alias("d"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from intervalia.operators import intervals as I
 from intervalia.operators import measures as X
+from intervalia.operators import neighbours
 from intervalia.operators.rangejoin import points_in
 from intervalia.plans.interval_queries import PARENT, _parents
 from intervalia.operators.offsets import slid
@@ -107,9 +108,8 @@ ROOTS = "SELECT a.vec_id AS i, g AS root, round(avg(list_distance(a.v[g * 16 + 1
 
 
 def by_root(spark, d, *roots):
-    v = vectors(spark, d).select("vec_id", F.explode(F.array(*[F.lit(g) for g in roots])).alias("root"), "v").withColumn("v", F.slice("v", F.col("root") * 16 + 1, F.lit(16)))
-    a, b = v.select("root", F.col("vec_id").alias("i"), F.col("v").alias("a")), v.select("root", F.col("vec_id").alias("j"), F.col("v").alias("b"))
-    return a.join(b, "root").where("i < j").select("root", "i", "j", X.euclidean(F.col("a"), F.col("b")).alias("d"))
+    v = vectors(spark, d).select("vec_id", F.explode(F.array(*[F.lit(g) for g in roots])).alias("label"), "v").withColumn("v", F.slice("v", F.col("label") * 16 + 1, F.lit(16)))
+    return X.pairs(v, within=True).select(F.col("li").alias("root"), "i", "j", "d")
 
 
 def mean_of_both(pairs):
@@ -144,8 +144,8 @@ def f09(spark, d):
 @query("c07_assign_to_nearest", TRAIN + " SELECT i, arg_min(lj, (round(d, 6), j)) AS label FROM sy WHERE i % 20 = 0 AND j % 20 <> 0 GROUP BY i")
 def c07(spark, d):
     """Rows divisible by 20 count as unlabelled; each takes the label of its nearest labelled row."""
-    x = X.symmetric(X.pairs(train(spark, d))).where("i % 20 = 0 AND j % 20 <> 0")
-    return x.groupBy("i").agg(F.min_by("lj", F.struct(R("d", 6), "j")).alias("label"))
+    v = vectors(spark, d)
+    return neighbours.nearest(v.where("vec_id % 20 <> 0"), v.where("vec_id % 20 = 0"), 1).select("i", F.col("lj").alias("label"))
 
 
 @query("c08_median_rule", TRAIN + ", m AS (SELECT i, lj, median(d) AS m FROM sy GROUP BY i, lj) SELECT i, arg_min(lj, (round(m, 6), lj)) AS label, round(min(m), 6) AS distance FROM m GROUP BY i")
@@ -158,7 +158,7 @@ def c08_median(spark, d):
 @query("c08_nearest_majority", TRAIN + ", n AS (SELECT i, lj, row_number() OVER (PARTITION BY i ORDER BY round(d, 6), j) AS k FROM sy), v AS (SELECT i, lj, count(*) AS n, min(k) AS k FROM n WHERE k <= 5 GROUP BY 1, 2) SELECT i, arg_max(lj, (n, -k)) AS label, max(n) / 5 AS confidence FROM v GROUP BY 1")
 def c08(spark, d):
     """Majority of the five nearest; a tie goes to the earliest neighbour."""
-    n = X.symmetric(X.pairs(train(spark, d))).withColumn("k", F.row_number().over(Window.partitionBy("i").orderBy(R("d", 6), "j"))).where("k <= 5")
+    n = neighbours.nearest(train(spark, d), train(spark, d), 5).withColumnRenamed("place", "k")
     v = n.groupBy("i", "lj").agg(F.count("*").alias("n"), F.min("k").alias("k"))
     return v.groupBy("i").agg(F.max_by("lj", F.struct("n", -F.col("k"))).alias("label"), (F.max("n") / 5).alias("confidence"))
 
@@ -176,9 +176,7 @@ SCORED = VE + ", s AS (SELECT i.vec_id AS item, i.label, t.label AS type, avg(li
 
 def scored(spark, d):
     v = vectors(spark, d)
-    t = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("t"), F.col("label").alias("type"), F.col("v").alias("tv"))
-    x = v.crossJoin(t).where("t <> vec_id").select(F.col("vec_id").alias("item"), "label", "type", X.euclidean(F.col("tv"), F.col("v")).alias("d"))
-    return x.groupBy("item", "label", "type").agg(F.avg("d").alias("d"))
+    return neighbours.mean_by_type(v, v.where("vec_id % 20 = 0"))
 
 
 @query("c19_template_match", SCORED + " SELECT item, arg_min(type, (round(d, 6), type)) AS best, round(min(d), 6) AS score FROM s GROUP BY 1")

@@ -220,8 +220,8 @@ def p13(spark, d):
 
 @query("p15_length_distance", "WITH e AS (SELECT s_suppkey AS id, s_acctbal AS value FROM supplier), p AS (SELECT a.id AS i, b.id AS j, abs(a.value - b.value) AS d FROM e a JOIN e b ON a.id < b.id) SELECT i, j, round(d / max(d) OVER (), 6) AS d FROM p")
 def p15(spark, d):
-    e = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("value"))
-    p = e.alias("a").join(e.alias("b"), F.col("a.id") < F.col("b.id")).select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), F.abs(F.col("a.value") - F.col("b.value")).alias("d"))
+    e = table(spark, d, "supplier").select(F.col("s_suppkey").alias("vec_id"), F.array(F.col("s_acctbal").cast("double")).alias("v"), F.lit(0).alias("label"))
+    p = X.pairs(e).select("i", "j", "d")
     return p.crossJoin(F.broadcast(p.agg(F.max("d").alias("m")))).select("i", "j", R(F.col("d") / F.col("m"), 6).alias("d"))
 
 

@@ -162,15 +162,20 @@ def test_nearest_with_ties_and_few(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "HELD", 7)
     draw = np.random.default_rng(4)
     x = np.round(draw.normal(size=(60, 2)))
-    rows = [(k, [float(v) for v in x[k]]) for k in range(60)] + [(99, None)]
-    v = spark.createDataFrame(rows, "vec_id long, v array<double>")
+    rows = [(k, [float(v) for v in x[k]], k % 3) for k in range(60)] + [(99, None, 1)]
+    v = spark.createDataFrame(rows, "vec_id long, v array<double>, label int")
     got = {}
     for r in neighbours.nearest(v, v.where("vec_id % 7 = 0"), 4).collect():
         got.setdefault(r.i, []).append((r.place, r.j, r.d))
     assert set(got) == set(range(0, 60, 7))
     for i, found in got.items():
-        want = sorted((float(np.linalg.norm(x[i] - x[j])), j) for j in range(60) if j != i)[:4]
+        want = sorted((round(float(np.linalg.norm(x[i] - x[j])), 6), j) for j in range(60) if j != i)[:4]
         assert [f[1] for f in sorted(found)] == [j for _, j in want] and np.allclose([f[2] for f in sorted(found)], [d for d, _ in want])
+    means = {(r.item, r.type): r.d for r in neighbours.mean_by_type(v, v.where("vec_id % 7 = 0")).collect()}
+    for i in range(60):
+        for t in range(3):
+            far = [np.linalg.norm(x[i] - x[j]) for j in range(0, 60, 7) if j % 3 == t and j != i]
+            assert np.isclose(means[i, t], np.mean(far)) if far else (i, t) not in means
     one = v.where("vec_id = 0")
     assert neighbours.nearest(one, one, 3).count() == 0
 
