@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from intervalia.sources.shared import written
+
 #: Points of a bucket.
 BUCKET = 512
 #: Points that are fitted at a time.
@@ -102,6 +104,8 @@ def smoothed(fits: DataFrame, share: float = 0.95) -> DataFrame:
     from intervalia.operators.distributions import normal_quantile
 
     edge = float(normal_quantile((1 + share) / 2))
+    # read twice: for the scores, and for the fits of the best
+    fits = written(fits, "local-fits")
     order = F.struct(F.col("gcv").isNull(), "gcv", F.when(F.col("gcv").isNull(), -F.col("k")).otherwise(F.col("k")), "k", "sigma")
     best = cross_validation(fits).groupBy("series").agg(F.min(order).alias("m")).select("series", F.col("m.k").alias("k"), F.col("m.sigma").alias("sigma"))
     half = edge * F.col("sigma") * F.sqrt("norm")
