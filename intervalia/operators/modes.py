@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from intervalia.sources.fixtures import apart
+
 
 def cross_matrix(transform: DataFrame, block: Column) -> DataFrame:
     """block, i, hz, a, b, re and im of the mean of conj(Ja) Jb over trials and tapers, for all channels a and b of a block."""
@@ -62,4 +64,4 @@ def space_modes(transform: DataFrame, block: Column) -> DataFrame:
         rows = s.shape[1]
         return pd.DataFrame({"block": key[0], "trial": key[1], "hz": np.repeat(hz, rows), "mode": np.tile(np.arange(1, rows + 1), len(i)), "value": s.reshape(-1), "space": list(np.abs(u).transpose(0, 2, 1).reshape(-1, len(channels)))})
 
-    return x.groupBy("block", "trial").applyInPandas(modes, "block long, trial long, hz double, mode int, value double, space array<double>")
+    return apart(x, "block", "trial").groupBy("block", "trial").applyInPandas(modes, "block long, trial long, hz double, mode int, value double, space array<double>")

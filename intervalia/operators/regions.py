@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from intervalia.operators.warp import MARGIN, PENALTY
+from intervalia.sources.fixtures import apart
 
 #: Starts of a chunk.
 CHUNK = 4096
@@ -77,7 +78,7 @@ def scored(frames: DataFrame, templates: list[tuple[int, np.ndarray]], margin: i
             out.append(pd.DataFrame({"series": key[0], "template": number, "start": begin, "stop": begin + length[some], "distance": far[some]}))
         return pd.concat(out)
 
-    return chunked(frames, reach, chunk).groupBy("series", "c").applyInPandas(search, "series long, template long, start long, stop long, distance double")
+    return apart(chunked(frames, reach, chunk), "series", "c").groupBy("series", "c").applyInPandas(search, "series long, template long, start long, stop long, distance double")
 
 
 def best_regions(scores: DataFrame) -> DataFrame:

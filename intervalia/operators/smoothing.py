@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from intervalia.sources.fixtures import apart
 from intervalia.sources.shared import written
 
 #: Points of a bucket.
@@ -79,7 +80,7 @@ def regressions(rows: DataFrame, ks: list[int], stretch: float, degree: int = 2)
         return pd.concat(out)
 
     typed = r.select(F.col("series").cast("long").alias("series"), F.col("id").cast("long").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "r", "n", halo.alias("b"))
-    return typed.groupBy("series", "b").applyInPandas(fit, "series long, id long, x double, y double, k int, fit double, leverage double, norm double")
+    return apart(typed, "series", "b").groupBy("series", "b").applyInPandas(fit, "series long, id long, x double, y double, k int, fit double, leverage double, norm double")
 
 
 def cross_validation(fits: DataFrame) -> DataFrame:
@@ -141,5 +142,5 @@ def predicted(rows: DataFrame, at: DataFrame, k: int, stretch: float, degree: in
         return out
 
     typed = points.select(F.col("series").cast("long").alias("series"), "id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "r", "n", "b")
-    out = typed.groupBy("series", "b").applyInPandas(fit, "series long, id long, x double, fit double")
+    out = apart(typed, "series", "b").groupBy("series", "b").applyInPandas(fit, "series long, id long, x double, fit double")
     return out.select("series", "id", "x", F.when(~F.isnan("fit"), F.col("fit")).alias("fit"))

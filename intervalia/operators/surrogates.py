@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from intervalia.operators import distributions
+from intervalia.sources.fixtures import apart
 
 BLOCK = 2048
 #: Labels that are drawn at a time.
@@ -55,7 +56,7 @@ def permuted(rows: DataFrame, trials: int, seed: int = 1, block: int = BLOCK) ->
         return pd.concat(out)
 
     x = _blocked(_typed(rows), block)
-    return _added(x.groupBy("key", "block").applyInPandas(part, SUMS))
+    return _added(apart(x, "key", "block").groupBy("key", "block").applyInPandas(part, SUMS))
 
 
 def drawn(rows: DataFrame, trials: int, seed: int = 1, block: int = BLOCK) -> DataFrame:
@@ -82,7 +83,7 @@ def drawn(rows: DataFrame, trials: int, seed: int = 1, block: int = BLOCK) -> Da
 
     # a row for each key, whose cells are as many as the levels of the factors
     x = _blocked(x, block).join(share, "key")
-    return _added(x.groupBy("key", "block").applyInPandas(part, SUMS))
+    return _added(apart(x, "key", "block").groupBy("key", "block").applyInPandas(part, SUMS))
 
 
 def _added(sums: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from intervalia.sources.fixtures import apart
+
 SIZE = 256
 #: Pairs whose rows are laid side by side at a time.
 AT_ONCE = 8192
@@ -41,7 +43,8 @@ def tiled(items: DataFrame, key: str, f: Callable[[pd.DataFrame, pd.DataFrame, b
         a, b = (own[own["_b"] == k].drop(columns="_b") for k in (x, y))
         return f(a, b, x == y)
 
-    return dealt.groupBy("_x", "_y", *([within] if within else [])).applyInPandas(each, schema)
+    by = ["_x", "_y", *([within] if within else [])]
+    return apart(dealt, *by).groupBy(*by).applyInPandas(each, schema)
 
 
 def pairs(vectors: DataFrame, measure: Callable[[np.ndarray, np.ndarray], np.ndarray], symmetric: bool = True, size: int = SIZE, within: bool = False) -> DataFrame:

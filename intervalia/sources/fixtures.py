@@ -16,6 +16,11 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
+def apart(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt out by keys to as many partitions as shuffles have; small data that cost much work are then not put together into one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def intervals(spark: SparkSession, sf_dir: str, *types: str) -> DataFrame:
     """id, series, type, start_us, stop_us; value is a length in minutes. Times are whole microseconds."""
     e = table(spark, sf_dir, "events")
