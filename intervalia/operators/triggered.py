@@ -63,3 +63,34 @@ def evoked(trials: DataFrame, draws: int = 20, smooth: int = 0, seed: int = 1) -
     drawn = sums.groupBy("key", "draw").agg(F.first("n").alias("n"), ordered.alias("z")).select("key", "draw", "n", F.col("z.s").alias("s"), F.col("z.q").alias("q"))
     # as many rows of a key as draws
     return drawn.groupBy("key").applyInPandas(finish, "key long, k int, n long, mean double, sem double, error double")
+
+
+def event_related(triggers: DataFrame, points: DataFrame, bin_us: int, bins: int) -> DataFrame:
+    """key, bin, n, mean, sem and sign of the counts of points about triggers, less what the rate of the series gives.
+
+    triggers are key, series, id and t_us; points series and t_us; bins lie from -bins to bins - 1 about a trigger. The rate of a series is the number of its
+    points over the time from the first trigger or point of any series to the last. Triggers without a point in a bin count 0 there. sign is 1 or -1 where
+    the mean is above or below 0 by more than the errors that 95 % of t allow, else 0.
+    """
+    from intervalia.operators.rangejoin import points_in
+    from intervalia.operators.spectra import t_quantile
+
+    # one row
+    span = triggers.select("t_us").union(points.select("t_us")).agg((F.max("t_us") - F.min("t_us")).alias("span"))
+    rate = points.groupBy("series").agg(F.count("*").alias("c")).crossJoin(F.broadcast(span)).select("series", F.when(F.col("span") > 0, F.col("c") * bin_us / F.col("span")).otherwise(0.0).alias("b"))
+    t = triggers.join(rate, "series", "left").withColumn("b", F.coalesce("b", F.lit(0.0)))
+    whole = t.groupBy("key").agg(F.count("*").alias("n"), F.sum("b").alias("sb"), F.sum(F.col("b") * F.col("b")).alias("qb"))
+    spans = t.select("key", "series", "id", "b", F.col("t_us").alias("at"), (F.col("t_us") - bins * bin_us).alias("start_us"), (F.col("t_us") + bins * bin_us - 1).alias("stop_us"))
+    met = points_in(spans, points.select("series", "t_us"), 2 * bins * bin_us)
+    counts = met.groupBy("key", "series", "id", "b", F.floor((F.col("t_us") - F.col("at")) / bin_us).alias("bin")).agg(F.count("*").alias("c"))
+    sums = counts.groupBy("key", "bin").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"), F.sum(F.col("c") * F.col("b")).alias("x"))
+    # as many rows as keys and bins
+    all_ = whole.select("key", "n", "sb", "qb", F.explode(F.sequence(F.lit(-bins).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin")).join(sums, ["key", "bin"], "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    out = all_.withColumns({"mean": (zero("s") - F.col("sb")) / F.col("n"), "square": zero("q") - 2 * zero("x") + F.col("qb")})
+    spread = F.greatest(F.col("square") - F.col("n") * F.col("mean") * F.col("mean"), F.lit(0.0)) / (F.col("n") - 1) / F.col("n")
+    out = out.withColumn("sem", F.when(F.col("n") > 1, F.sqrt(spread)))
+    few = out.select("n").distinct().select("n", t_quantile(F.lit(0.975), (F.col("n") - 1).cast("double")).alias("t"))
+    out = out.join(few, "n")
+    sign = F.when(F.col("mean") - F.col("t") * F.col("sem") > 0, 1).when(F.col("mean") + F.col("t") * F.col("sem") < 0, -1).otherwise(0)
+    return out.select("key", "bin", "n", "mean", "sem", sign.alias("sign"))

@@ -283,3 +283,55 @@ def c31(spark, d):
     alone = matching.best(s).join(vectors(spark, d).select(F.col("vec_id").alias("i"), "label"), "i").select("label", F.col("type").alias("own"))
     whole = matching.best(s, "label")
     return alone.join(whole, "label").groupBy("label", "type", "score").agg(F.avg((F.col("own") == F.col("type")).cast("double")).alias("agreement"))
+
+
+@query("t34_event_related_mean")
+def t34(spark, d):
+    """Views about purchases in bins of six hours, less what each user's rate gives, for purchases of both halves of the month."""
+    month, hour = 30 * 86_400_000_000, 3_600_000_000
+    half = F.when(F.col("start_us") % month < month // 2, "first").otherwise("second")
+    bought = intervals(spark, d, "purchase").select(half.alias("key"), "series", "id", F.col("start_us").alias("t_us"))
+    return triggered.event_related(bought, intervals(spark, d, "view").select("series", F.col("start_us").alias("t_us")), 6 * hour, 4)
+
+
+#: Symbols of users with a blank mark where more than a day passes between the end of an event and the start of the next.
+SILENT = with_("iv") + """, g AS (SELECT series, start_us, id, substr(type, 1, 1) AS c, start_us - lag(stop_us) OVER (PARTITION BY series ORDER BY start_us, id) > 86400000000 AS apart FROM iv),
+s AS (SELECT series, string_agg(CASE WHEN apart THEN '_' || c ELSE c END, '' ORDER BY start_us, id) AS s FROM g GROUP BY series),
+k AS (SELECT s, unnest(range(1, length(s) + 1)) AS k FROM s)"""
+
+
+def with_silence(spark, d):
+    """series, start_us, id, part and c: the symbols of users, silence as one of its own before what follows it."""
+    w = Window.partitionBy("series").orderBy("start_us", "id")
+    apart = F.coalesce(F.col("start_us") - F.lag("stop_us").over(w) > 86_400_000_000, F.lit(False))
+    x = intervals(spark, d).withColumn("apart", apart).withColumn("c", F.substring("type", 1, 1))
+    return x.select("series", "start_us", "id", F.posexplode(F.when(F.col("apart"), F.array(F.lit("_"), "c")).otherwise(F.array("c"))).alias("part", "c"))
+
+
+@query(
+    "n10_grams_against_chain",
+    SILENT + """, t AS (SELECT substr(s, k, 3) AS gram, count(*) AS n FROM k WHERE k + 2 <= length(s) GROUP BY 1), b AS (SELECT substr(s, k, 2) AS pair, count(*) AS n FROM k WHERE k + 1 <= length(s) GROUP BY 1),
+f AS (SELECT substr(pair, 1, 1) AS c, sum(n) AS n FROM b GROUP BY 1)
+SELECT gram, t.n AS n, round(p.n * q.n / f.n, 6) AS expected, round(t.n / (p.n * q.n / f.n), 6) AS ratio FROM t JOIN b p ON p.pair = substr(gram, 1, 2) JOIN b q ON q.pair = substr(gram, 2, 2) JOIN f ON f.c = substr(gram, 2, 1)""",
+)
+def n10(spark, d):
+    """Runs of three symbols, silence being one, against what a chain of first order expects."""
+    w = Window.partitionBy("series").orderBy("start_us", "id", "part")
+    x = with_silence(spark, d).select("c", F.lead("c", 1).over(w).alias("d"), F.lead("c", 2).over(w).alias("e"))
+    t = x.where("e IS NOT NULL").groupBy("c", "d", "e").agg(F.count("*").alias("n"))
+    # as many pairs as symbols squared
+    b = x.where("d IS NOT NULL").groupBy("c", "d").agg(F.count("*").alias("n"))
+    p, q = b.withColumnRenamed("n", "p"), b.select(F.col("c").alias("d"), F.col("d").alias("e"), F.col("n").alias("q"))
+    f = b.groupBy(F.col("c").alias("d")).agg(F.sum("n").alias("f"))
+    m = t.join(p, ["c", "d"]).join(q, ["d", "e"]).join(f, "d")
+    expected = F.col("p") * F.col("q") / F.col("f")
+    return m.select(F.concat("c", "d", "e").alias("gram"), "n", F.round(expected, 6).alias("expected"), F.round(F.col("n") / expected, 6).alias("ratio"))
+
+
+@query("n11_transitions_with_silence", SILENT + ", b AS (SELECT substr(s, k, 1) AS before, substr(s, k + 1, 1) AS after, count(*) AS n FROM k WHERE k + 1 <= length(s) GROUP BY 1, 2) SELECT before, after, n, round(n / sum(n) OVER (PARTITION BY after), 9) AS share FROM b")
+def n11(spark, d):
+    """Transitions between symbols and silence, as shares of what comes after."""
+    w = Window.partitionBy("series").orderBy("start_us", "id", "part")
+    x = with_silence(spark, d).select(F.col("c").alias("before"), F.lead("c", 1).over(w).alias("after")).where("after IS NOT NULL")
+    b = x.groupBy("before", "after").agg(F.count("*").alias("n"))
+    return b.select("before", "after", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("after")), 9).alias("share"))

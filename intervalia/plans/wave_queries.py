@@ -329,6 +329,12 @@ def d23(spark, d):
     return each_signal(signals(spark, d), lambda sid, x: sampled(x - dsp.local_line(x, 100, 50), sid), "sid long, k int, y double")
 
 
+@query("d29_running_line")
+def d29(spark, d):
+    """The running linear fit itself: lines through windows of 100 samples, 50 apart, blended."""
+    return each_signal(signals(spark, d), lambda sid, x: sampled(dsp.local_line(x, 100, 50), sid), "sid long, k int, y double")
+
+
 @query("m01_series_spectrum")
 def m01(spark, d):
     """The multitaper spectrum of whole signals."""

@@ -221,3 +221,28 @@ def test_template_matches(spark, table):
     for r in aq.c31(spark, SF).collect():
         own = means[label == r.label]
         assert r.type == types[int(own.mean(0).argmin())] and np.isclose(r.score, own.mean(0).min(), atol=1e-7) and np.isclose(r.agreement, (best[label == r.label] == r.type).mean())
+
+
+def test_event_related_mean(spark):
+    from intervalia.operators import distributions
+
+    e = pd.read_parquet(f"{SF}/events.parquet")
+    us = e["ts"].astype("datetime64[us]").astype("int64")
+    e = e.assign(us=us, half=np.where(us % (30 * 86_400_000_000) < 15 * 86_400_000_000, "first", "second"))
+    bought, seen = e[e["event_type"] == "purchase"], e[e["event_type"] == "view"]
+    both = pd.concat([bought, seen])["us"]
+    width = 6 * 3_600_000_000
+    got = {(r.key, r.bin): r for r in aq.t34(spark, SF).collect()}
+    assert len(got) == 16
+    for key, own in bought.groupby("half"):
+        for b in range(-4, 4):
+            x = []
+            for t, u in zip(own["us"], own["user_id"]):
+                mine = seen[seen["user_id"] == u]["us"]
+                x.append(((mine - t) // width == b).sum() - len(mine) * width / (both.max() - both.min()))
+            x = np.array(x)
+            sem = x.std(ddof=1) / np.sqrt(len(x))
+            edge = distributions.t_quantile(0.975, len(x) - 1) * sem
+            r = got[key, b]
+            assert r.n == len(x) and np.isclose(r["mean"], x.mean()) and np.isclose(r.sem, sem)
+            assert r.sign == (1 if x.mean() - edge > 0 else -1 if x.mean() + edge < 0 else 0)

@@ -369,3 +369,19 @@ def test_exemplars_and_recut(spark):
     for _, own in got.groupby("cluster"):
         assert set(own["exemplar"]) == {own.index.min()} and set(own["n"]) == {len(own)}
     assert got["n"].sum() == (got["cluster"].value_counts() ** 2).sum()
+
+
+def test_running_lines(spark, signals):
+    smooth, rest = rows(spark, "d29_running_line"), rows(spark, "d23_local_detrend")
+    for sid in list(signals)[:6]:
+        x = signals[sid]
+        n = len(x)
+        total, weight = np.zeros(n), np.zeros(n)
+        for begin in sorted({*range(0, n - 99, 50), n - 100}):
+            t = np.arange(100)
+            slope = ((t - 49.5) * x[begin : begin + 100]).sum() / ((t - 49.5) ** 2).sum()
+            w = (1 - np.abs((t + 1 - 50.5) / 50.5) ** 3) ** 3
+            total[begin : begin + 100] += w * (x[begin : begin + 100].mean() + slope * (t - 49.5))
+            weight[begin : begin + 100] += w
+        assert np.allclose(smooth[smooth["sid"] == sid].sort_values("k")["y"], total / weight)
+        assert np.allclose(rest[rest["sid"] == sid].sort_values("k")["y"], x - total / weight)
